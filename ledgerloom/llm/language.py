@@ -3,7 +3,8 @@ language whose dictionary makes it smallest wins.
 
 A dictionary is raw content: pieces of documents of that language, drawn by a hash of their ids. The draw is bounded
 (PIECES pieces of PIECE characters for each language), whatever the size of the table, and the dictionaries are the
-only thing sent to the executors. Texts are cut into chunks that are compressed on their own, so that what a long
+only thing sent to the executors. Dictionaries and texts are lower-cased letters with one space for anything else, so
+that capitals, digits and marks don't hide the words. Texts are cut into chunks that are compressed on their own, so that what a long
 text says itself doesn't take the dictionary's place; the sizes of all chunks of the whole text are added up.
 """
 
@@ -12,44 +13,53 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .audio import _pieces
 from .common import held_out, table
 
-PIECES = 64  #: pieces of text in a dictionary
-PIECE = 1500  #: characters of a piece
+PIECES = 256  #: pieces of text in a dictionary
+PIECE = 1000  #: characters of a piece
 LANGUAGES = 500  #: most languages that a model may have
-CHUNK = 2048  #: bytes compressed at a time
-LEVEL = 3
+CHUNK = 1024  #: bytes compressed at a time
+LEVEL = 5
 MARGIN = 0.01  #: a best size less than this share below the second best is rejected
 
 
+def letters(text: Column) -> Column:
+    """text lower-cased, with one space for each run of other characters than letters."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")
+
+
 def learn(docs: DataFrame, pieces: int = PIECES, piece: int = PIECE) -> dict[str, bytes]:
     """The dictionary of each language, from rows (doc_id, text, lang) with a lang.
 
     Each of `pieces` hash buckets of a language gives the document with the least hash among those with at least
     200 characters and a letter (or, where a bucket has none, nothing), and of it `piece` characters from a place
-    that the hash picks. Languages come in code-point order. Raises if there are over LANGUAGES of them.
+    that the hash picks. Languages come by their number of documents, then in code-point order. Raises if there are over LANGUAGES of them.
     """
     long_enough = (F.length("text") >= 200) & F.col("text").rlike(r"\p{L}")
     for enough in (long_enough, F.col("text").rlike(r"\p{L}")):
         rows = docs.where(F.col("lang").isNotNull() & enough).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), "text")
         bucket = F.pmod("h", F.lit(pieces))
         start = (F.pmod(F.shiftrightunsigned("h", 16), F.greatest(F.lit(1), F.length("text") - piece)) + 1).cast("int")
-        least = rows.groupBy("lang", bucket.alias("b")).agg(F.min("h").alias("h"))
-        picked = [(r["lang"], r["h"]) for r in least.limit(LANGUAGES * pieces + 1).collect()]
+        least = rows.groupBy("lang", bucket.alias("b")).agg(F.min("h").alias("h"), F.count("*").alias("n"))
+        found = least.limit(LANGUAGES * pieces + 1).collect()
+        picked = [(r["lang"], r["h"]) for r in found]
         if len({x for x, _ in picked}) > LANGUAGES:
             raise ValueError(f"more than {LANGUAGES} languages")
         if picked:
             break
-    chosen = rows.where(F.col("h").isin([h for _, h in picked])).select("lang", "h", F.substring("text", start, F.lit(piece)).alias("t")).distinct()
+    chosen = rows.where(F.col("h").isin([h for _, h in picked])).select("lang", "h", letters(F.substring("text", start, F.lit(piece))).alias("t")).distinct()
     out: dict[str, list[bytes]] = {}
+    seen: dict[str, int] = {}
+    for r in found:
+        seen[r["lang"]] = seen.get(r["lang"], 0) + r["n"]
     for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["h"], r["t"])) if picked else []:
         if (r["lang"], r["h"]) in set(picked):
             out.setdefault(r["lang"], []).append(r["t"].encode())
-    return {k: b"\n".join(v) for k, v in sorted(out.items())}
+    return {k: b" ".join(v) for k, v in sorted(out.items(), key=lambda x: (-seen[x[0]], x[0]))}
 
 
 def chunks(data: bytes) -> list[bytes]:
@@ -75,7 +85,8 @@ def compressors_of(model: dict[str, bytes]) -> list:
 def classify(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN) -> DataFrame:
     """doc_id, best, margin, score, lang for each row of docs.
 
-    best is the language with the smallest encoding (the first in code-point order on ties), margin the share by
+    best is the language with the smallest encoding (on ties the one that comes first in the model, where the one with
+    the most training documents comes first), margin the share by
     which it lies below the second smallest, score 1 - 2 ** -(1 + 100 * margin) (0.5 for a tie, towards 1), lang is
     best or null where the margin is narrower than `margin`. Null texts and texts without a letter have `und` for
     best, null for lang and margin and score 0, as has every text if the model is empty. Ids may repeat; other
@@ -102,7 +113,7 @@ def classify(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", t
                 gap.append(float(1 - s[k] / second))
             yield pa.record_batch([batch.column("doc_id"), pa.array(best, pa.string()), pa.array(gap, pa.float64())], ["doc_id", "best", "margin"])
 
-    data = F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col).cast("binary"))
+    data = F.when(F.col(text_col).rlike(r"\p{L}"), letters(F.col(text_col)).cast("binary"))
     rows = docs.select(F.col(id_col).alias("doc_id"), data.alias("data"))
     found = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, best string, margin double")
     score = F.coalesce(1 - F.pow(F.lit(2.0), -(1 + 100 * F.col("margin"))), F.lit(0.0))
