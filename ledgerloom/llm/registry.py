@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, language, mixing
+from . import audio, html, language, mixing, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_html": html.op2_html,
         "op3_language": language.op3_language,
+        "op4_urls": urls.op4_urls,
         "op7_audio": audio.op7_audio,
     }
 
