@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, html, language, mixing, toxicity, urls
+from . import audio, decontaminate, html, language, mixing, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language": language.op3_language,
         "op4_urls": urls.op4_urls,
         "op7_audio": audio.op7_audio,
+        "op8_decontamination": decontaminate.op8_decontamination,
         "op9_toxicity": toxicity.op9_toxicity,
     }
 
