@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, decontaminate, html, language, mixing, pii, toxicity, urls
+from . import audio, decontaminate, html, language, mixing, near, pii, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_html": html.op2_html,
         "op3_language": language.op3_language,
         "op4_urls": urls.op4_urls,
+        "op5_near_duplicates": near.op5_near_duplicates,
         "op6_pii": pii.op6_pii,
         "op7_audio": audio.op7_audio,
         "op8_decontamination": decontaminate.op8_decontamination,
