@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, decontaminate, html, language, mixing, near, pii, toxicity, urls
+from . import audio, decontaminate, html, language, mixing, near, pii, substrings, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_audio": audio.op7_audio,
         "op8_decontamination": decontaminate.op8_decontamination,
         "op9_toxicity": toxicity.op9_toxicity,
+        "op10_substrings": substrings.op10_substrings,
     }
 
 
