@@ -26,6 +26,7 @@ BLOCK = 48
 CLASSES = 8
 #: Folds of a source's last block, of which one is kept: a source of few documents has no small one to round last otherwise.
 TRIES = 8
+SEED = 17
 WEIGHTS = (5.0, 2.0, 1.0)
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -108,17 +109,9 @@ def _settled(p: Column) -> Column:
     return F.when(p < 1e-9, 0.0).when(p > 1 - 1e-9, 1.0).otherwise(p)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies for each row of docs.
-
-    size is the number of words; targets come from source_targets; copies is the number of times that the mix
-    takes the row and taken is copies * size. copies is target / source_size rounded down or up, so taken never
-    exceeds `most` times the size. Equal inputs give equal results whatever the partitions.
-
-    Null text has size 0 and like every empty text is never taken (0 copies). Null source is a source of its own,
-    the last in order. Rows that are equal in id, source and text are one unit with a multiplicity, whose copies
-    are dealt out evenly; null ids are allowed. An empty table gives an empty result; other columns are ignored.
-    """
+def _decided(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share=1.5, most=2.0, seed=SEED) -> DataFrame:
+    """doc_id, source, _text (a hash), size, source_size, target, _n and _copies of each distinct row of docs: how
+    many rows are alike, and how many copies the mix takes of them together."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col), F.lit(seed)).alias("_text"))
     keys = checkpointed(rows.groupBy("doc_id", "source", "size", "_text").agg(F.count("*").alias("_n")))
     targets = source_targets(keys.groupBy("source").agg(F.sum(F.col("size") * F.col("_n")).alias("source_size")), weights, share, most)
@@ -128,7 +121,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     expected = F.when(F.col("size") > 0, F.col("_n") * F.col("_each")).otherwise(0.0)
     whole = F.floor(expected + 1e-9)
     key = F.xxhash64("doc_id", "source", "size", "_text", F.lit(seed))
-    row = F.struct("doc_id", "size", "source_size", "target", "_n", whole.alias("_whole"))
+    row = F.struct("doc_id", "source", "_text", "size", "source_size", "target", "_n", whole.alias("_whole"))
     unit = _unit(F.col("size").cast("double"), key, _settled(expected - whole), row)
 
     blocks = max(1, math.ceil(keys.count() / BLOCK))
@@ -154,11 +147,40 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         level = rest.withColumn("_block", F.pmod(F.col("_block"), F.lit(blocks)))
         depth += 1
     out = functools.reduce(DataFrame.unionByName, done).select("unit.row.*", (F.col("unit.row._whole") + F.col("unit.p").cast("long")).alias("_copies"))
-    dealt = out.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    return out.drop("_whole")
+
+
+def mix(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies for each row of docs.
+
+    size is the number of words; targets come from source_targets; copies is the number of times that the mix
+    takes the row and taken is copies * size. copies is target / source_size rounded down or up, so taken never
+    exceeds `most` times the size. Equal inputs give equal results whatever the partitions. Named arguments:
+    id_col, text_col, source_col, weights, share, most, seed.
+
+    Null text has size 0 and like every empty text is never taken (0 copies). Null source is a source of its own,
+    the last in order. Rows that are equal in id, source and text are one unit with a multiplicity, whose copies
+    are dealt out evenly; null ids are allowed. An empty table gives an empty result; other columns are ignored.
+    """
+    dealt = _decided(docs, **how).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
     copies = F.floor(F.col("_copies") / F.col("_n")) + (F.col("_i") <= F.col("_copies") % F.col("_n")).cast("long")
     return dealt.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
 
+def mixed(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
+    """The rows of docs (doc_id, text, source and any others) that the mix takes, each as often as it takes it, with
+    `copy` counted from 1; a column copy of docs is replaced. Arguments and cases are those of mix(); of rows equal
+    in doc_id, source and text one stands for all.
+    """
+    decided = _decided(docs, seed=seed, **how).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("_text").alias("_h"), "_n", "_copies")
+    rows = docs.drop("copy").withColumn("_hash", F.xxhash64("text", F.lit(seed)))
+    if not decided.where("_n > 1").isEmpty():
+        rows = rows.dropDuplicates(["doc_id", "source", "_hash"])
+    same = (F.col("_hash") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+    met = rows.join(decided.where("_copies > 0"), same)
+    return met.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[c for c in docs.columns if c != "copy"], "copy")
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents: doc_id, size, source_size, target, taken, copies."""
     return mix(table(spark, sf_dir, "documents"))
