@@ -1,10 +1,73 @@
-"""A training-data pipeline over documents: each stage's rows are written and read again by the next."""
+"""A training-data pipeline over documents in five stages, each written as Parquet and read again by the next.
+
+1. toxicity: documents whose score reaches the rejection threshold go.
+2. near duplicates: of each class of texts linked by similarity one document stays.
+3. benchmark decontamination: documents in which a benchmark item occurs go.
+4. personal data: valid values become pseudonyms of the same format.
+5. mixing: each document is repeated as often as the mix takes it, with a copy number.
+
+Every stage but the last returns the columns of documents; n_chars follows the text. The stages are judged on what
+the stage before kept.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import decontaminate, mixing, near, pii, toxicity
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that score toxicity.THRESHOLD or more; learned from labels of documents that aren't held out."""
+    net = toxicity.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, net, [*COLUMNS[:1], *COLUMNS[2:], "text"])
+    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near.one_of_each(docs).select(*COLUMNS)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.without_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
+def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes: the columns of documents and copy, from 1; one row for each copy."""
+    return mixing.mixed(docs).select(*COLUMNS, "copy")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", one_of_each),
+    ("benchmark decontamination", drop_benchmark),
+    ("personal data", hide_personal),
+    ("mixing sources", mix),
+]
+
+#: The stages learn a network, compare signatures and draw; SQL can't express them. Tests check each by brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What stages return is written below the session's spark.checkpoint.dir."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="corpus-pipeline-")
+    docs, at = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
+        docs = spark.read.parquet(f"{at}/{k}")
+    return docs
