@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..streaming.queries import Q as STREAMS
+from .queries_orders import Q as ORDERS
+from .queries_rules import Q as RULES
+
+ALL = ORDERS | RULES | STREAMS
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: f for k, (f, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in ALL.items() if sql}
