@@ -8,7 +8,9 @@ at offsets 0, Q, 2 Q and so on. Only positions whose place isn't settled by a co
    anchor are a unit. Equal windows have equal anchors, so only units in one anchor's bucket can share a window.
 2. Units are refined by the identifiers that follow their start. A unit whose refined bucket also holds an earlier
    one is repeated as a whole, and an anchor's bucket with one refined bucket alone needs no more.
-3. What is left (first units of buckets that split) is refined to single windows of LENGTH bytes.
+3. What is left (first units of buckets that split) is refined by strings of HALF bytes that end or start with
+   the anchor: every window holds one of the two, and can only be repeated if that occurs twice.
+4. The windows around what still shares a bucket are refined to LENGTH bytes.
 
 Spark groups buckets by their identifiers; numpy computes identifiers within documents. In each Arrow batch only the
 first occurrence of an identifier takes part in the grouping, and the others are known to be repeated: a bucket that
@@ -28,7 +30,7 @@ from .audio import _pieces
 from .common import checkpointed, small, table
 from .near import _mixed, keyed
 
-LENGTH, Q = 100, 20
+LENGTH, Q, HALF = 100, 20, 60
 _SPAN = LENGTH - Q  #: the last offset of a Q-gram in a window
 _SEGMENT = 1 << 22  #: windows of a document handled at a time
 _POS = np.uint64((1 << 24) - 1)
@@ -97,7 +99,8 @@ def _emit(keys, found):
     a, b, owner, start, more = (np.concatenate(x) for x in zip(*found))
     known = ~_first_seen(a, b)
     at = start << 9 | more << 1 | known
-    return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(keys[owner]), pa.array(at)], _NAMES)
+    a, b = np.where(known, keys[owner], a.view(np.int64)), np.where(known, 0, b.view(np.int64))  # a bucket apart
+    return pa.record_batch([pa.array(a), pa.array(b), pa.array(keys[owner]), pa.array(at)], _NAMES)
 
 
 def _in_order(batch):
@@ -119,29 +122,65 @@ def _unit_rows(batches):
             yield _emit(keys, found)
 
 
-def _window_rows(batches):
+def _open_parts(batches):
+    """Batches as (keys, [(number of the document, start of the part, its Q-grams, starts and further windows of what
+    is open in it)])."""
     for batch in _pieces(batches, 8 << 20):
         keys, data, order = _in_order(batch)
-        open_units, found = batch.column("open").to_pylist(), []
+        spans, parts = batch.column("open"), []
         for n, x in enumerate(data):
-            mine = np.unique(np.array(open_units[order[n]], np.int64))
+            mine = np.unique(np.array(spans[order[n]].as_py(), np.int64))
             lo, more = mine >> 9, (mine >> 1) & 255
             for start, part in _segments(x):
                 here = (lo >= start) & (lo < start + _SEGMENT)
                 if here.any():
-                    first, count = lo[here] - start, more[here] + 1
-                    at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-                    a, b = window_ids(grams(part), at)
-                    found.append((a, b, np.full(len(at), n), at + start, np.zeros(len(at), np.int64)))
+                    parts.append((n, start, grams(part), lo[here] - start, more[here]))
+        yield keys, parts
+
+
+def _half_rows(batches):
+    """The two strings of HALF bytes of each open unit, with the windows that hold them; `twice` where that is known."""
+    for keys, parts in _open_parts(batches):
+        found = []
+        for n, start, g, lo, more in parts:
+            # the anchor has the least identifier of the unit's windows
+            low = (g & ~_POS) | np.arange(len(g), dtype=np.uint64)
+            hi = lo + more
+            anchor = np.array([int(low[i : j + 1].min() & _POS) for i, j in zip(hi, np.minimum(lo + _SPAN, len(g) - 1))], np.int64)
+            split = anchor - (HALF - Q)  # windows that start here or before hold the left string
+            for first, last, at in ((lo, np.minimum(hi, split), split), (np.maximum(lo, split + 1), hi, anchor)):
+                some = first <= last
+                at = at[some]
+                x, y = g[at], g[at]
+                for k in range(Q, HALF, Q):
+                    x, y = x * _C[6] + g[at + k], y * _C[7] + g[at + k]
+                found.append((_mixed(x), _mixed(y ^ _C[5]), np.full(len(at), n), first[some] + start, (last - first)[some]))
+        if found and sum(len(f[0]) for f in found):
+            a, b, owner, start, more = (np.concatenate(x) for x in zip(*found))
+            both = a ^ (b * _C[5])
+            _, at, count = np.unique(both, return_inverse=True, return_counts=True)
+            first = _first_seen(a, b)
+            twice = count[at] > 1
+            a, b = np.where(first, a.view(np.int64), keys[owner]), np.where(first, b.view(np.int64), 0)
+            yield pa.record_batch([pa.array(a), pa.array(b), pa.array(keys[owner]), pa.array(start << 9 | more << 1), pa.array(twice)], [*_NAMES, "twice"])
+
+
+def _window_rows(batches):
+    for keys, parts in _open_parts(batches):
+        found = []
+        for n, start, g, first, more in parts:
+            count = more + 1
+            at = np.unique(np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum()))
+            a, b = window_ids(g, at)
+            found.append((a, b, np.full(len(at), n), at + start, np.zeros(len(at), np.int64)))
         if found:
             yield _emit(keys, found)
 
 
 def _repeated(rows: DataFrame, by: list[str]) -> DataFrame:
-    """rows with `first`, the least key among those of their bucket; known repeats are in a bucket of their own."""
+    """rows with `first`, the least key among those of their bucket; null for known repeats."""
     known = F.col("at").bitwiseAND(1) == 1
-    bucket = F.when(known, F.xxhash64("_key", "at")).otherwise(F.col("a"))
-    return rows.withColumn("a", bucket).withColumn("first", F.when(known, F.lit(None)).otherwise(F.min("_key").over(Window.partitionBy(*by))))
+    return rows.withColumn("first", F.when(~known, F.min("_key").over(Window.partitionBy(*by))))
 
 
 DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -176,7 +215,11 @@ def repeated_spans(firsts: DataFrame) -> DataFrame:
     later = F.col("first").isNull() | (F.col("first") < F.col("_key"))
     judged = checkpointed(seen.select("_key", "at", later.alias("repeated"), "splits").where("repeated or splits"))
     unsettled = judged.where("not repeated").groupBy("_key").agg(F.collect_list("at").alias("open"))
-    windows = rows.join(unsettled, "_key").mapInArrow(_window_rows, _ROWS)
+    halves = rows.join(unsettled, "_key").mapInArrow(_half_rows, f"{_ROWS}, twice boolean")
+    bucket = Window.partitionBy("a", "b")
+    shared = halves.withColumn("shared", F.col("twice") | (F.count("*").over(bucket) > 1)).withColumn("shared", F.max("shared").over(bucket))
+    still = shared.where("shared").groupBy("_key").agg(F.collect_list("at").alias("open"))
+    windows = rows.join(still, "_key").mapInArrow(_window_rows, _ROWS)
     again = _repeated(windows, ["a", "b"]).where(later).select("_key", "at")
     return judged.where("repeated").select("_key", "at").unionByName(again).groupBy("_key").agg(F.collect_list("at").alias("cut"))
 
