@@ -134,9 +134,13 @@ def classify(df: DataFrame, whole_titles: bool = False, compat_dayfirst: bool =
         "delivery_type": c("_d_delivery_type"), "delivery_cost": c("_delivery"), "payment_method": c("_d_payment_method"), "payment_status": c("_d_payment_status"),
         "payment_amount": c("_payment"), "currency": c("_code"), "total_amount": c("_tot2"), "items_json": c("_items.items"),
     }
+    # A filter on the outcome must not be pushed down: substituting it through all groups would multiply the
+    # expressions at each. Spark pushes nothing through columns that aren't deterministic.
+    held = lambda x: F.when(F.monotonically_increasing_id() >= 0, x)
     details = F.transform(codes, lambda x: F.struct(x.alias("code"), R.lookup(x, DETAILS).alias("detail")))
     material = F.exists("corrections", lambda x: ~x["rule_code"].isin(*CASTS))
-    return s.select(*others, *(v.alias(k) for k, v in final.items()), status.alias("quality_status"), codes.alias("error_codes"), details.alias("error_details"), "corrections", material.alias("materially_corrected"), "raw_record")
+    outcome = final | {"quality_status": status, "error_codes": codes, "error_details": details, "corrections": c("corrections"), "materially_corrected": material}
+    return s.select(*others, *(held(v).alias(k) for k, v in outcome.items()), "raw_record")
 
 
 def split_by_status(df: DataFrame) -> tuple[DataFrame, DataFrame]:

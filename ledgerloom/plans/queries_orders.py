@@ -19,7 +19,8 @@ ORDERS = """od AS (SELECT CAST(o_orderkey AS VARCHAR) order_id, CAST(o_custkey A
 ITEMS = """it AS (SELECT CAST(l_orderkey AS VARCHAR) order_id, CAST(l_partkey AS VARCHAR) sku, p_name name, CAST(l_quantity AS DECIMAL(18,2)) qty,
  CAST(p_retailprice AS DECIMAL(18,2)) unit_price, CAST(round(CAST(l_quantity AS DECIMAL(18,2)) * CAST(p_retailprice AS DECIMAL(18,2)), 2) AS DECIMAL(18,2)) total
  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)"""
-AVG = "CAST(round(CAST(sum({0}) AS DECIMAL(38,10)) / count({0}), 2) AS DOUBLE)"
+# the mean of a money column, ties to even: whole cents with the remainder judged
+AVG = "CAST((CAST(sum({0}) * 100 AS HUGEINT) // count({0}) + CASE WHEN CAST(sum({0}) * 100 AS HUGEINT) % count({0}) * 2 > count({0}) THEN 1 WHEN CAST(sum({0}) * 100 AS HUGEINT) % count({0}) * 2 = count({0}) THEN (CAST(sum({0}) * 100 AS HUGEINT) // count({0})) % 2 ELSE 0 END) AS DOUBLE) / 100"
 FLAT = ("order_id", "customer_id", "customer_name", "city", "order_date", "status", "payment_method", "payment_status", "total_amount")
 FLAT_SQL = "order_id, customer_id, customer_name, city, order_date, status, payment_method, payment_status, CAST(total_amount AS DOUBLE) total_amount"
 PRODUCT_SQL = f"CAST(sum(qty) AS DOUBLE) total_units_sold, CAST(sum(total) AS DOUBLE) total_revenue, count(*) orders_count, {AVG.format('unit_price')} avg_unit_price"
@@ -172,7 +173,7 @@ def _raw_resume(s, d):
 Q = {
     "sales_by_city": (lambda s, d: C.sales_by_city(order_heads(s, d), delivered=DELIVERED), f"WITH {ORDERS} SELECT city, CAST(sum(total_amount) AS DOUBLE) total_revenue, count(*) order_count, {AVG.format('total_amount')} avg_order_value, count(*) FILTER (WHERE status = 'F') delivered_orders FROM od GROUP BY city ORDER BY total_revenue DESC, city LIMIT 20"),
     "orders_by_customer": (_named("orders_by_customer", customer_id="7"), _found("customer_id = '7'")),
-    "orders_by_city_and_status": (_named("orders_by_city_and_status", city="FRANCE", status="O"), _found("city = 'FRANCE' AND status = 'O'")),
+    "orders_by_city_and_status": (_named("orders_by_city_and_status", city="NATION_13", status="O"), _found("city = 'NATION_13' AND status = 'O'")),
     "high_value_orders": (_named("high_value_orders", min_amount="200000", limit="500"), _found("total_amount >= 200000", "total_amount DESC, order_id", 500)),
     "orders_by_payment_status": (_named("orders_by_payment_status", payment_status="unpaid"), _found("payment_status = 'unpaid'")),
     "orders_by_payment_status_method": (_named("orders_by_payment_status", payment_status="paid", payment_method="1-URGENT"), _found("payment_status = 'paid' AND payment_method = '1-URGENT'")),
