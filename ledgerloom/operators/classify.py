@@ -45,7 +45,8 @@ def classify(df: DataFrame, whole_titles: bool = False, compat_dayfirst: bool =
     quality_status, error_codes, error_details, corrections, materially_corrected, raw_record. Missing columns of FIELDS
     and null values count as blank.
     """
-    others = [c for c in df.columns if c not in FIELDS and c != "is_duplicate"]
+    made = ("is_duplicate", "quality_status", "error_codes", "error_details", "corrections", "materially_corrected", "raw_record")
+    others = [c for c in df.columns if c not in FIELDS and c not in made]
     raw = {c: R.text_of(F.col(c)) if c in df.columns else F.lit("") for c in FIELDS}
     kept = F.struct(*(F.col(c).cast("string").alias(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in FIELDS))
     is_dup = F.coalesce(F.col("is_duplicate"), F.lit(False)) if "is_duplicate" in df.columns else F.lit(False)

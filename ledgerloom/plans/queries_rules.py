@@ -13,7 +13,12 @@ from . import catalog as C
 from .adapter import dirty_orders, table
 from .scratch import scratch
 
-K = F.col("o_orderkey")
+
+
+def _k():
+    return F.col("o_orderkey")
+
+
 ARABIC = functools.partial(lambda x: F.translate(x.cast("string"), "0123456789", "٠١٢٣٤٥٦٧٨٩"))
 
 
@@ -23,36 +28,36 @@ def _of(**cols):
 
 def _pick(values, *more):
     """The value that the key picks."""
-    return F.element_at(F.array(*map(F.lit, values)), (K % len(values) + 1).cast("int"))
+    return F.element_at(F.array(*map(F.lit, values)), (_k() % len(values) + 1).cast("int"))
 
 
 def _case(values):
     return f"CASE o_orderkey % {len(values)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
 
 
-NUMBERS = lambda: F.when(K % 6 == 0, F.concat(ARABIC(K), F.lit(" ريال يمني"))).when(K % 6 == 1, F.concat(F.lit("USD "), K.cast("string"))).when(K % 6 == 2, F.concat(F.format_number(K, 0), F.lit("٫٥"))).when(K % 6 == 3, "NaN").when(K % 6 == 4, " ").otherwise(F.concat(F.lit("-"), K.cast("string"), F.lit("$")))
-PHONES = lambda: F.concat(_pick(["+967 7", "009677", "09677"[2:] + "", "07", "7"]), F.lpad((K % 100000000).cast("string"), 8, "0"))
-EMAILS = lambda: F.concat(F.lit("u"), K.cast("string"), _pick(["@@gamil.com.", "@yahoo..co", "@Outlok.com", "@ex.org", "@nodot", " x@a.b"]))
-DAY = lambda: F.date_add(F.lit("2000-01-01").cast("date"), (K % 9000).cast("int"))
+NUMBERS = lambda: F.when(_k() % 6 == 0, F.concat(ARABIC(_k()), F.lit(" ريال يمني"))).when(_k() % 6 == 1, F.concat(F.lit("USD "), _k().cast("string"))).when(_k() % 6 == 2, F.concat(F.format_number(_k(), 0), F.lit("٫٥"))).when(_k() % 6 == 3, "NaN").when(_k() % 6 == 4, " ").otherwise(F.concat(F.lit("-"), _k().cast("string"), F.lit("$")))
+PHONES = lambda: F.concat(_pick(["+967 7", "009677", "09677"[2:] + "", "07", "7"]), F.lpad((_k() % 100000000).cast("string"), 8, "0"))
+EMAILS = lambda: F.concat(F.lit("u"), _k().cast("string"), _pick(["@@gamil.com.", "@yahoo..co", "@Outlok.com", "@ex.org", "@nodot", " x@a.b"]))
+DAY = lambda: F.date_add(F.lit("2000-01-01").cast("date"), (_k() % 9000).cast("int"))
 
 
 def _dates():
     day = DAY()
     return (
-        F.when(K % 7 == 0, F.date_format(day, "yyyy-MM-dd")).when(K % 7 == 1, F.date_format(day, "d/M/yyyy")).when(K % 7 == 2, F.date_format(day, "dd.MM.yyyy"))
-        .when(K % 7 == 3, (F.unix_date(day).cast("long") * 86400).cast("string")).when(K % 7 == 4, F.date_format(day, "d MMM yyyy 10:11:12")).when(K % 7 == 5, "31/02/2025").otherwise(F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T01:02:03")))
+        F.when(_k() % 7 == 0, F.date_format(day, "yyyy-MM-dd")).when(_k() % 7 == 1, F.date_format(day, "d/M/yyyy")).when(_k() % 7 == 2, F.date_format(day, "dd.MM.yyyy"))
+        .when(_k() % 7 == 3, (F.unix_date(day).cast("long") * 86400).cast("string")).when(_k() % 7 == 4, F.date_format(day, "d MMM yyyy 10:11:12")).when(_k() % 7 == 5, "31/02/2025").otherwise(F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T01:02:03")))
     )
 
 
 def _items(s, d):
-    text = F.when(K % 5 == 0, "[]").when(K % 5 == 1, '{"sku":"a"}').when(K % 5 == 2, F.concat(F.lit('[{"sku":"a","qty":"'), ARABIC(K % 9), F.lit('","unit_price":'), (K % 50).cast("string"), F.lit('},{"sku":"b","qty":2,"unit_price":"1.50"}]'))).when(K % 5 == 3, '[{"sku":"a","qty":"-1","unit_price":3},{"sku":"b","qty":"?","unit_price":3}]').otherwise("[{")
+    text = F.when(_k() % 5 == 0, "[]").when(_k() % 5 == 1, '{"sku":"a"}').when(_k() % 5 == 2, F.concat(F.lit('[{"sku":"a","qty":"'), ARABIC(_k() % 9), F.lit('","unit_price":'), (_k() % 50).cast("string"), F.lit('},{"sku":"b","qty":2,"unit_price":"1.50"}]'))).when(_k() % 5 == 3, '[{"sku":"a","qty":"-1","unit_price":3},{"sku":"b","qty":"?","unit_price":3}]').otherwise("[{")
     p = table(s, d, "orders").select("o_orderkey", R.parse_items(text, F.lit(1).cast(R.MONEY)).alias("p"))
     return p.select("o_orderkey", F.col("p.total").cast("double").alias("total"), F.array_join("p.errors", ",").alias("errors"), F.coalesce(F.size("p.items"), F.lit(-1)).alias("n"))
 
 
 def _keys(s, d):
-    order = F.when(K % 5 == 0, "").otherwise(F.concat(F.lit("طلب "), (K + 100000).cast("string")))
-    customer = F.when(K % 4 == 0, "").otherwise(F.concat(F.lit("c-00"), (K % 977).cast("string")))
+    order = F.when(_k() % 5 == 0, "").otherwise(F.concat(F.lit("طلب "), (_k() + 100000).cast("string")))
+    customer = F.when(_k() % 4 == 0, "").otherwise(F.concat(F.lit("c-00"), (_k() % 977).cast("string")))
     return table(s, d, "orders").select("o_orderkey", R.infer_keys(order, customer).alias("k")).select("o_orderkey", "k.order_id", "k.customer_id")
 
 
@@ -68,8 +73,8 @@ def classified(s, d):
 BAD = """e AS (SELECT o_orderkey k, o_custkey c, o_orderdate d, o_orderkey % 5 + 1 AS q, o_orderkey % 100 + 10 AS p,
  CAST(o_orderkey % 11 = 0 AND o_orderkey % 13 = 0 AS INT) m1, CAST(o_orderkey % 19 = 0 AS INT) mail, CAST(o_orderkey % 17 = 0 AS INT) dat,
  CAST(o_orderkey % 31 = 0 AS INT) emp, CAST(o_orderkey % 31 <> 0 AND o_orderkey % 37 = 0 AS INT) cor, CAST(o_orderkey % 29 = 0 AND o_orderkey % 31 <> 0 AND o_orderkey % 37 <> 0 AS INT) neg FROM orders),
- b AS (SELECT *, 2 * m1 + mail + dat + emp + cor + neg AS n FROM e)"""
-CODES = [("MISSING_ORDER_ID", "m1"), ("MISSING_CUSTOMER_ID", "m1"), ("INVALID_EMAIL", "mail"), ("INVALID_IMPOSSIBLE_DATE", "dat"), ("EMPTY_ITEMS", "emp"), ("CORRUPTED_ITEMS_JSON", "cor"), ("AMBIGUOUS_NEGATIVE_VALUE", "neg"), ("MULTIPLE_CONFLICTING_ERRORS", "CAST(n > 1 AS INT)")]
+ b AS (SELECT *, 2 * m1 + mail + dat + emp + cor + 2 * neg AS n FROM e)"""
+CODES = [("MISSING_ORDER_ID", "m1"), ("MISSING_CUSTOMER_ID", "m1"), ("INVALID_EMAIL", "mail"), ("INVALID_IMPOSSIBLE_DATE", "dat"), ("EMPTY_ITEMS", "emp"), ("CORRUPTED_ITEMS_JSON", "cor"), ("AMBIGUOUS_NEGATIVE_VALUE", "neg"), ("AMBIGUOUS_NEGATIVE_VALUE", "neg"), ("MULTIPLE_CONFLICTING_ERRORS", "CAST(n > 1 AS INT)")]
 ERRORS = " UNION ALL ".join(f"SELECT k source_row_number, '{code}' error_code FROM b WHERE {flag} = 1" for code, flag in CODES)
 
 
@@ -100,7 +105,7 @@ def _csv(s, d):
 
 
 def _violations(s, d):
-    c = table(s, d, "orders").select("o_orderkey", F.when(K % 3 == 0, "").otherwise(K.cast("string")).alias("order_id"), F.when(K % 5 == 0, F.lit(None)).otherwise("c").alias("customer_id"), F.when(K % 7 == 0, "odd").otherwise("valid").alias("quality_status"))
+    c = table(s, d, "orders").select("o_orderkey", F.when(_k() % 3 == 0, "").otherwise(_k().cast("string")).alias("order_id"), F.when(_k() % 5 == 0, F.lit(None)).otherwise("c").alias("customer_id"), F.when(_k() % 7 == 0, "odd").otherwise("valid").alias("quality_status"))
     return constraint_violations(c).select("o_orderkey", "violation")
 
 
@@ -134,7 +139,7 @@ CURRENCIES = ["usd", " $", "سعودي", "ريال", "YER", "eur"]
 NAMES = ["Dr. A", "السيد / ب", "Prof. X Y", "plain"]
 SYN = ["cash", "Delivered", "خالص", "express", "نقدًا عند التسليم", "zzz"]
 Q = {
-    "rule_digits": (_of(digits=lambda: R.normalize_digits(F.concat(ARABIC(K), F.translate(K.cast("string"), "0123456789", "۰۱۲۳۴۵۶۷۸۹")))), "SELECT o_orderkey, o_orderkey || '' || o_orderkey AS digits FROM orders"),
+    "rule_digits": (_of(digits=lambda: R.normalize_digits(F.concat(ARABIC(_k()), F.translate(_k().cast("string"), "0123456789", "۰۱۲۳۴۵۶۷۸۹")))), "SELECT o_orderkey, o_orderkey || '' || o_orderkey AS digits FROM orders"),
     "rule_text_clean": (_text, r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(trim(text, E' \n\t\r'), '[^\p{L}\p{N}_\s\-.,/@+()]', '', 'g'), '\s+', ' ', 'g'))) AS clean FROM documents"),
     "rule_city_dictionary": (_of(city=lambda: R.clean_city(_pick(CITIES))), f"SELECT o_orderkey, {_case(CLEAN_CITIES)} city FROM orders"),
     "rule_name_titles": (_of(name=lambda: R.clean_name(_pick(NAMES))), f"SELECT o_orderkey, {_case(['A', '/ ب', 'X Y', 'plain'])} AS name FROM orders"),
