@@ -54,7 +54,8 @@ def classify(df: DataFrame, whole_titles: bool = False, compat_dayfirst: bool =
 
     # text, keys, name
     s = s.withColumns({f"_t_{c}": (R.clean_city if c == "city" else R.clean_text)(F.col(c)) for c in CLEANED})
-    s = s.withColumn("_k", R.infer_keys(F.col("_t_order_id"), F.col("_t_customer_id")))
+    s = s.withColumns({"_o": R.key_number(F.col("_t_order_id")), "_c": R.key_number(F.col("_t_customer_id"))})
+    s = s.withColumn("_k", R.infer_keys(*map(F.col, ("_t_order_id", "_t_customer_id", "_o", "_c"))))
     s = s.withColumns({"_name": R.clean_name(F.col("_t_customer_name"), whole_titles)})
     c = F.col
     inferred = lambda f, other: F.when((c(f"_t_{f}") == "") & (c(f"_k.{f}") != ""), f"INFER_{f.upper()}_FROM_{other.upper()}").otherwise(f"STANDARDIZE_{f.upper()}")

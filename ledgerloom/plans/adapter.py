@@ -13,6 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out over all cores if it is a scan of fewer splits than there are cores: rules cost far more than reading.
+
+    A table of many splits, the rule at scale, is left as it is and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def order_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders without their items."""
     o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
@@ -44,7 +53,7 @@ def orders_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw orders as text, with faults that the order key decides; its SQL twin tells what each must become."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
     k, c, d = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderdate")
     qty, price = k % 5 + 1, k % 100 + 10
     arabic = lambda x: F.translate(x.cast("string"), "0123456789", "٠١٢٣٤٥٦٧٨٩")
