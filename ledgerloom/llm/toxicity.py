@@ -6,7 +6,8 @@ tokens in either direction, attention pools their states, and a logistic output
 of a text overlap by half and cover all of it; the text's logit is a calibrated function of the highest.
 
 The network is fitted on the driver on a bounded sample (SAMPLE documents of each label, PIECE characters of each at
-most, drawn by a hash of the id); scoring runs over all texts inside Arrow batches with the weights broadcast.
+most, drawn by a hash of the id). Its calibration weights the sampled texts by what share of their label they are, so that
+scores keep their meaning as the table grows. Scoring runs over all texts inside Arrow batches with the weights broadcast.
 """
 
 from __future__ import annotations
@@ -243,12 +244,12 @@ def _telling(texts: list[str], labels: np.ndarray) -> tuple[list[str], np.ndarra
     return [names[i] for i in order], g[gorder], {names[i]: we[i] for i in order}, ge[gorder]
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 5) -> Network:
-    """A network fitted on labelled texts.
+def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 5, weights: list[float] | None = None) -> Network:
+    """A network fitted on labelled texts, each standing for as many documents as its weight says (none given: equally many).
 
     The first dimension of the vectors starts as the evidence of the word or n-gram. Each epoch takes of every toxic
     text its highest window, and of every other text its highest and some drawn ones. At the end the highest
-    logits are calibrated by logistic regression. With one label only, all scores are that of no evidence.
+    logits are calibrated by weighted logistic regression. With one label only, all scores are that of no evidence.
     """
     y = np.array(labels, int)
     names, grams, we, ge = _telling(texts, y) if len(texts) else ([], np.zeros(0, np.uint64), {}, np.zeros(0))
@@ -313,7 +314,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 5
         level = net.logits_of(idx, net.embed(len(distinct), ids, at, grams_of))
     top = np.full(len(texts), -20.0)
     np.maximum.at(top, owner, level)
-    net.scale = _calibrate(np.clip(top, -20, 20), y)
+    net.scale = _calibrate(np.clip(top, -20, 20), y, weights)
     return net
 
 
@@ -323,39 +324,52 @@ def _highest(level: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])] if len(order) else order
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _calibrate(x: np.ndarray, y: np.ndarray, weights: list[float] | None = None) -> tuple[float, float]:
     """Slope and offset of a logistic regression of y on x, pulled to 1 and 0: labels that x tells apart without a
-    fault would have them grow without end. Half steps of Newton's method."""
+    fault would have them grow without end. The pull is that against len(x) rows whatever the weights add up to. Half steps
+    of Newton's method."""
+    each = np.ones(len(x)) if weights is None else np.array(weights, float) * len(x) / np.sum(weights)
     a, b = 1.0, 0.0
     for _ in range(100):
         p = _sigmoid(a * x + b)
-        w = p * (1 - p)
-        g = np.array([((p - y) * x).sum() + 20 * (a - 1), (p - y).sum() + 4 * b])
+        w = each * p * (1 - p)
+        g = np.array([(each * (p - y) * x).sum() + 20 * (a - 1), (each * (p - y)).sum() + 4 * b])
         h = np.array([[(w * x * x).sum() + 20, (w * x).sum()], [(w * x).sum(), w.sum() + 4]])
         da, db = np.linalg.solve(h, g)
         a, b = float(np.clip(a - da / 2, 0.3, 3)), float(np.clip(b - db / 2, -5, 5))
     return a, b
 
 
-def sample(docs: DataFrame, labels: DataFrame, each: int = SAMPLE, piece: int = PIECE) -> tuple[list[str], list[int]]:
-    """At most `each` labelled texts of either label, of each at most `piece` characters.
+def draw(docs: DataFrame, labels: DataFrame, each: int = SAMPLE, piece: int = PIECE) -> tuple[list[str], list[int], list[float]]:
+    """Labelled texts, their labels, and the number of labelled ids that each of them stands for.
 
-    Each of `each` hash buckets of a label gives the id with the least hash; long texts give a piece from a place that
-    the hash picks. Rows with null ids, labels or texts are passed over, repeated ones count once.
+    Of either label all ids if there are at most `each` of them, else the `each` with the least hashes; of each text at
+    most `piece` characters, from a place that the hash picks. Rows with null ids, labels or texts are passed over,
+    repeated ones count once, an id of both labels is toxic.
     """
     h = F.xxhash64("doc_id")
-    marked = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"), h.alias("h"))
-    least = marked.groupBy("toxic", F.pmod("h", F.lit(each)).alias("b")).agg(F.min(F.struct("h", "doc_id"))["doc_id"].alias("doc_id"))
+    place = F.shiftrightunsigned("h", 1)  # 0 to 2 ** 63 - 1
+    marked = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    count = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     wanted: dict = {}
-    for row in least.limit(2 * each).collect():
-        wanted[row["doc_id"]] = max(row["toxic"], wanted.get(row["doc_id"], 0))
+    for label, n in sorted(count.items()):
+        # of 1.2 times as many ids as are wanted, `each` at least are below the bound as good as always
+        bound = min(2**63 - 1, 2**63 * (6 * each + 100) // (5 * n))
+        low = marked.where(F.col("toxic") == label).withColumn("h", h).where(place <= bound).select("doc_id", place.alias("h"))
+        least = sorted(low.collect(), key=lambda r: (r["h"], r["doc_id"]))[:each]
+        wanted |= {r["doc_id"]: (label, n / len(least)) for r in least}
     if not wanted:
-        return [], []
+        return [], [], []
     start = (F.pmod(F.shiftrightunsigned(h, 16), F.greatest(F.lit(1), F.length("text") - piece)) + 1).cast("int")
     rows = docs.where(F.col("doc_id").isin(list(wanted)) & F.col("text").isNotNull()).select("doc_id", F.substring("text", start, F.lit(piece)).alias("t"))
     found = {r["doc_id"]: r["t"] for r in sorted(rows.collect(), key=lambda r: (r["doc_id"], r["t"]))}
     ids = sorted(found)
-    return [found[i] for i in ids], [wanted[i] for i in ids]
+    return [found[i] for i in ids], [wanted[i][0] for i in ids], [wanted[i][1] for i in ids]
+
+
+def sample(docs: DataFrame, labels: DataFrame, each: int = SAMPLE, piece: int = PIECE) -> tuple[list[str], list[int]]:
+    """The texts and labels of draw()."""
+    return draw(docs, labels, each, piece)[:2]
 
 
 def score(docs: DataFrame, net: Network, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
@@ -388,4 +402,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def learned(docs: DataFrame, labels: DataFrame) -> Network:
     """The network fitted on a sample of the labelled documents that aren't held out."""
-    return fit(*sample(docs, labels.where(~held_out(F.col("doc_id")))))
+    texts, toxic, weights = draw(docs, labels.where(~held_out(F.col("doc_id"))))
+    return fit(texts, toxic, weights=weights)

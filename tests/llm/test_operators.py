@@ -297,6 +297,23 @@ def test_toxicity(spark, docs, none):
     assert toxicity.sample(none, none.selectExpr("doc_id", "0 as toxic")) == ([], [])
 
 
+def test_toxicity_is_calibrated_to_the_shares_of_the_labels(spark):
+    r = np.random.default_rng(2)
+    y = np.repeat([1, 0], [400, 3600])
+    x = r.standard_normal(4000) * 1.5 + 2 * y
+    few = np.concatenate([np.arange(400), np.arange(400, 4000, 9)])
+    whole = toxicity._calibrate(x, y)
+    weighted = toxicity._calibrate(x[few], y[few], np.where(y[few] == 1, 1.0, 9.0))
+    assert weighted == pytest.approx(whole, abs=0.4) and abs(toxicity._calibrate(x[few], y[few])[1] - whole[1]) > 1
+    # the draw: the whole of a small label, `each` of a large one, and what they stand for
+    data = [(i, f"{'idiotic' if i % 10 == 0 else 'kind'} t{i}", int(i % 10 == 0)) for i in range(400)]
+    df = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    texts, labels, weights = toxicity.draw(df, df.unionByName(df).select("doc_id", "toxic"), 50)
+    assert sorted(t for t, k in zip(texts, labels) if k) == sorted(t for _, t, k in data if k) and labels.count(0) == 50
+    assert set(zip(labels, weights)) == {(1, 1.0), (0, 360 / 50)}
+    assert toxicity.sample(df, df, 50) == (texts, labels)
+
+
 def test_windows_cover_all_tokens():
     for n in (0, 1, 5, 24, 25, 36, 37, 100):
         idx, owner, distinct = toxicity.windows([" ".join(f"t{i}" for i in range(n))])
