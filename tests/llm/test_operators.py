@@ -142,6 +142,18 @@ def test_urls(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_urls_with_many_tokens(spark):
+    # paths and hosts of segments that hardly repeat; the verdict hangs on the last token, a parameter's name
+    word = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    deep = lambda i, n: "/".join(f"{word(i)}x{word(k)}" for k in range(n))
+    made = [(f"http://example.net/en/{deep(i, 30)}?good=1", "allow") if i % 2 else (f"http://example.com/de/{deep(i, 30)}?bad=1", "block") for i in range(60)]
+    far = [(f"http://{deep(100, 30).replace('/', '.')}/x?bad=1", "block"), (f"http://a.info/{deep(101, 40)}?a=1&bad=2", "block"), (f"http://a.info/{deep(102, 40)}?good=2", "allow")]
+    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(made + far)], "page_id long, url string")
+    got = {x.page_id: x for x in urls.judge(df, support=0.1).collect()}
+    assert [got[i].verdict for i in range(len(made) + 3)] == [v for _, v in made + far]
+    assert [got[len(made) + i].mined for i in range(3)] == ["query:bad", "query:bad", "query:good"]
+
+
 def brute_classes(data):
     first = {}
     for i, t in sorted((i, t or "") for i, t in data):
