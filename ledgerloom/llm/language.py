@@ -35,22 +35,19 @@ def letters(text: Column) -> Column:
 def learn(docs: DataFrame, pieces: int = PIECES, piece: int = PIECE) -> dict[str, bytes]:
     """The dictionary of each language, from rows (doc_id, text, lang) with a lang.
 
-    Each of `pieces` hash buckets of a language gives the document with the least hash among those with at least
-    200 characters and a letter (or, where a bucket has none, nothing), and of it `piece` characters from a place
-    that the hash picks. Languages come by their number of documents, then in code-point order. Raises if there are over LANGUAGES of them.
+    Each of `pieces` hash buckets of a language gives, of its documents with a letter, the one with the least hash among
+    those of at least 200 characters, or among the shorter ones where it has no such, and of it `piece` characters from
+    a place that the hash picks. So every language with a letter in some document has a dictionary. Languages come by their number of documents, then in code-point order. Raises if there are over LANGUAGES of them.
     """
-    long_enough = (F.length("text") >= 200) & F.col("text").rlike(r"\p{L}")
-    for enough in (long_enough, F.col("text").rlike(r"\p{L}")):
-        rows = docs.where(F.col("lang").isNotNull() & enough).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), "text")
-        bucket = F.pmod("h", F.lit(pieces))
-        start = (F.pmod(F.shiftrightunsigned("h", 16), F.greatest(F.lit(1), F.length("text") - piece)) + 1).cast("int")
-        least = rows.groupBy("lang", bucket.alias("b")).agg(F.min("h").alias("h"), F.count("*").alias("n"))
-        found = least.limit(LANGUAGES * pieces + 1).collect()
-        picked = [(r["lang"], r["h"]) for r in found]
-        if len({x for x, _ in picked}) > LANGUAGES:
-            raise ValueError(f"more than {LANGUAGES} languages")
-        if picked:
-            break
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), "text")
+    bucket = F.pmod("h", F.lit(pieces))
+    start = (F.pmod(F.shiftrightunsigned("h", 16), F.greatest(F.lit(1), F.length("text") - piece)) + 1).cast("int")
+    first = F.min(F.struct((F.length("text") < 200).alias("short"), "h"))
+    least = rows.groupBy("lang", bucket.alias("b")).agg(first["h"].alias("h"), F.count("*").alias("n"))
+    found = least.limit(LANGUAGES * pieces + 1).collect()
+    picked = [(r["lang"], r["h"]) for r in found]
+    if len({x for x, _ in picked}) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     chosen = rows.where(F.col("h").isin([h for _, h in picked])).select("lang", "h", letters(F.substring("text", start, F.lit(piece))).alias("t")).distinct()
     out: dict[str, list[bytes]] = {}
     seen: dict[str, int] = {}

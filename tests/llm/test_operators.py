@@ -105,6 +105,22 @@ def test_language(spark, docs, none):
     assert sum(r.best == "und" for r in odd) == 4  # null, empty, white space, no letter
 
 
+def test_language_of_short_texts(spark):
+    words = {"de": "der die und nicht eine auf mit ist von das", "en": "the and not one upon with is of that which", "it": "il della questo sono anche perche molto dove quando nella"}
+    r = random.Random(7)
+    text = lambda lang, n: " ".join(r.choice(words[lang].split()) for _ in range(n))
+    data = [(i, text(lang, 12 if lang == "it" else 80), lang) for i, lang in enumerate(["de", "en", "it"] * 60)]
+    assert all((len(t) < 200) == (lang == "it") for _, t, lang in data)
+    df = spark.createDataFrame([*data, (900, "q", "xx"), (901, "77", "yy")], "doc_id long, text string, lang string")
+    model = language.learn(df.where("doc_id % 4 != 1"))
+    assert set(model) == {"de", "en", "it", "xx"}
+    got = {r.doc_id: r.best for r in language.classify(df, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in data if i % 4 == 1) >= 43
+    # long texts come first where a bucket has both
+    both = spark.createDataFrame([(i, ("short", "long " * 60)[i % 2], "en") for i in range(40)], "doc_id long, text string, lang string")
+    assert b"short" not in language.learn(both, pieces=1)["en"]
+
+
 def verdict(url):
     host = path = ""
     if url and "://" in url:
