@@ -3,6 +3,7 @@
 An item of m characters may occur with k = floor(RATE * m) edits. Cut into k + 1 pieces, one of them must occur
 unchanged. The pieces of all items are found in one pass over a text (a multi-pattern automaton); places where a piece
 occurs are verified with Myers' bit-parallel edit distance, after a count of 3-grams that discards no true match.
+Items of fewer than SHORTEST characters must occur unchanged and as whole words; the same automaton finds them.
 
 The items are the stated query set, sent to the executors in blocks of at most BLOCK_CHARS characters; documents are
 never shuffled.
@@ -10,6 +11,8 @@ never shuffled.
 
 from __future__ import annotations
 
+import unicodedata
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +22,7 @@ from .audio import _pieces
 from .common import checkpointed, table
 
 RATE = 0.1  #: edits allowed for each character of an item
-SHORTEST = 20  #: shorter items are too unspecific to look for
+SHORTEST = 20  #: shorter items are too unspecific for edits: they occur verbatim, as whole words
 BLOCK_CHARS = 16_000_000  #: characters of items that executors hold at a time
 
 
@@ -34,12 +37,26 @@ def pieces(item: str, k: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def _in_word(c: str) -> bool:
+    """Whether c is a letter, mark, digit or _ of a script that puts spaces between words."""
+    if "\u0e00" <= c <= "\u0eff" or "\u1000" <= c <= "\u109f" or "\u1780" <= c <= "\u17ff" or "\u2e80" <= c <= "\u9fff" or c >= "\U00020000":
+        return False
+    return c == "_" or unicodedata.category(c)[0] in "LMN"
+
+
+def whole_words(text: str, a: int, b: int) -> bool:
+    """Whether text[a:b], which isn't empty, neither starts nor ends inside a word."""
+    cuts = [i for i in (a, b) if 0 < i < len(text)]
+    return not any(_in_word(text[i - 1]) and _in_word(text[i]) for i in cuts)
+
+
 class Pattern:
     """An item with its budget, 3-grams and bit masks."""
 
-    def __init__(self, item_id, text: str, rate: float = RATE):
+    def __init__(self, item_id, text: str, rate: float = RATE, shortest: int = SHORTEST):
         self.item_id, self.text, self.m = item_id, text, len(text)
-        self.k = int(rate * self.m)
+        self.short = self.m < shortest
+        self.k = 0 if self.short else int(rate * self.m)
         self.grams = {text[i : i + 3] for i in range(self.m - 2)}
         self.masks: dict[str, int] = {}
         for i, c in enumerate(text):
@@ -74,8 +91,8 @@ class Pattern:
 class Matcher:
     """All patterns and the automaton of their pieces."""
 
-    def __init__(self, items: list[tuple], rate: float = RATE):
-        self.patterns = [Pattern(i, t, rate) for i, t in items]
+    def __init__(self, items: list[tuple], rate: float = RATE, shortest: int = SHORTEST):
+        self.patterns = [Pattern(i, t, rate, shortest) for i, t in items]
         where: dict[str, list[tuple[int, int]]] = {}
         for n, p in enumerate(self.patterns):
             for at, piece in pieces(p.text, p.k):
@@ -92,10 +109,14 @@ class Matcher:
             return []
         text = normal(text)
         starts: dict[int, set[int]] = {}
+        verbatim: dict[int, int] = {}
         for end, (n, places) in self.automaton.iter(text):
             for p, at in places:
-                starts.setdefault(p, set()).add(end + 1 - n - at)
-        out = []
+                if not self.patterns[p].short:
+                    starts.setdefault(p, set()).add(end + 1 - n - at)
+                elif p not in verbatim and whole_words(text, end + 1 - n, end + 1):
+                    verbatim[p] = end + 1
+        out = [(self.patterns[p].item_id, 0, end) for p, end in verbatim.items()]
         for p, found in starts.items():
             pattern, best, done = self.patterns[p], None, None
             for s in sorted(found):
@@ -117,7 +138,8 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, shortest: int
 
     An item occurs where a substring of the document is within floor(rate * m) edits of it, m being its length; both
     lower-cased with white space collapsed. edits is the fewest of the verified places, end_at where the first of them
-    ends. Null and empty texts and items, and items under `shortest` characters, match nothing. Repeated documents give
+    ends. Items under `shortest` characters occur where they stand unchanged as whole words (scripts without spaces: anywhere),
+    with edits 0. Null and empty texts and items match nothing. Repeated documents give
     repeated rows, repeated items (same id and text) count once; other columns are ignored. Documents of a null
     doc_id are matched too. Empty tables give no row.
     """
@@ -130,17 +152,17 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, shortest: int
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
         found = [(r["item_id"], normal(r["text"])) for r in block.collect()]
-        found = sorted(((i, t) for i, t in found if len(t) >= shortest), key=lambda x: (x[0] is None, x[0], x[1]))
-        part = docs.select("doc_id", "text").mapInArrow(_runner(docs.sparkSession.sparkContext.broadcast(found), rate, schema), schema)
+        found = sorted(((i, t) for i, t in found if t), key=lambda x: (x[0] is None, x[0], x[1]))
+        part = docs.select("doc_id", "text").mapInArrow(_runner(docs.sparkSession.sparkContext.broadcast(found), rate, shortest, schema), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _runner(shared, rate: float, schema: str):
+def _runner(shared, rate: float, shortest: int, schema: str):
     names = [x.split(" ")[0] for x in schema.split(", ")]
 
     def run(batches):
-        matcher = Matcher(shared.value, rate)
+        matcher = Matcher(shared.value, rate, shortest)
         for batch in _pieces(batches):
             rows = [(n, *m) for n, text in enumerate(batch.column("text").to_pylist()) for m in matcher.matches(text)]
             if rows:
@@ -151,7 +173,7 @@ def _runner(shared, rate: float, schema: str):
 
 
 def without_matches(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
-    """The rows of docs in which no item occurs (see matches()); rows with a null doc_id stay or go by their text too.
+    """The rows of docs in which no item, long or short, occurs (see matches()); rows with a null doc_id stay or go by their text too.
 
     Ids may repeat: a row goes if any row of its id matches. The contaminated ids are joined as an anti join, which
     Spark broadcasts where their size allows.

@@ -229,6 +229,15 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.matches(docs, items, block_chars=100).count() == 5
 
 
+def test_decontamination_by_short_items(spark):
+    texts = {1: "so: What is  2+2? four", 2: "somewhat is 2+2? no", 3: "what is 2+3?", 4: "a pin, a spin", 5: "spin spinning", 6: "\u6211\u7231\u5317\u4eac\u5e02", 7: "pin", 8: "cafe\u0301", 9: None, 10: "pi n"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    items = spark.createDataFrame([(1, "what is 2+2?"), (2, "Pin"), (3, "\u5317\u4eac"), (4, "cafe"), (5, " "), (6, "what is 2+2? four five six")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.edits, r.end_at) for r in decontaminate.matches(docs, items).collect())
+    assert got == [(1, 1, 0, 16), (4, 2, 0, 5), (6, 3, 0, 4), (7, 2, 0, 3)]
+    assert {r.doc_id for r in decontaminate.without_matches(docs, items).collect()} == {2, 3, 5, 8, 9, 10}
+
+
 def test_myers_against_a_table():
     def least(p, t):
         before = [0] * (len(t) + 1)
