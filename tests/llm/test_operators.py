@@ -206,6 +206,15 @@ def test_near_duplicates(spark, docs, none):
     assert kept.where("doc_id is null").count() == 1
 
 
+def test_near_duplicates_of_null_ids(spark):
+    texts = [prose(500 + i, 40) for i in range(12)]
+    data = [(i, t) for i, t in enumerate(texts[:10])] + [(None, t) for t in texts] + [(None, texts[11]), (None, texts[3])]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    kept = sorted(((r.doc_id, r.text) for r in near.one_of_each(docs).collect()), key=lambda r: texts.index(r[1]))
+    assert kept == [(i if i < 10 else None, t) for i, t in enumerate(texts)]
+    assert all(r.text_id == r.class_id == r.doc_id for r in near.classes(docs).where("doc_id is not null").collect())
+
+
 def test_near_duplicates_of_a_large_group(spark, monkeypatch):
     base = prose(9, 60).split()
     r, data = random.Random(1), [(0, " ".join(base))]
