@@ -206,6 +206,14 @@ def test_near_duplicates(spark, docs, none):
     assert kept.where("doc_id is null").count() == 1
 
 
+def test_components_raise_when_rounds_run_out(spark):
+    chain = spark.range(40).selectExpr("id as a", "id + 1 as b")
+    assert {(r.node, r.root) for r in near.components(chain).collect()} == {(i, 0) for i in range(41)}
+    with pytest.raises(RuntimeError):
+        near.components(chain, 2)
+    assert near.components(chain.limit(0)).count() == 0
+
+
 def test_near_duplicates_of_null_ids(spark):
     texts = [prose(500 + i, 40) for i in range(12)]
     data = [(i, t) for i, t in enumerate(texts[:10])] + [(None, t) for t in texts] + [(None, texts[11]), (None, texts[3])]
