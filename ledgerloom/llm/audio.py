@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import pieces, table
 
 # Fixed values of the format, in the order of its bitrate index 0 to 15 (kbit/s; 0: free or not allowed).
 KBPS = {
@@ -204,21 +204,13 @@ def stored_bytes(b: bytes, offsets: list[int]) -> bytes:
     return np.frombuffer(b, np.uint8)[at[:, None] + np.arange(_BODY, _BODY + PAYLOAD)].tobytes()
 
 
-def _pieces(batches, most: int = 16 << 20):
-    """Batches of at most about `most` bytes, so that what a task holds doesn't depend on Arrow's row count."""
-    for batch in batches:
-        rows = max(1, batch.num_rows * most // max(1, batch.nbytes))
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def store_as_audio(docs: DataFrame, id_col: str = "doc_id", data_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, media: each row's bytes as an MPEG stream (see write()), padded with bytes 255 to a positive
     multiple of PAYLOAD. Null data counts as empty. Ids may repeat or be null; other columns are ignored."""
     data = F.coalesce(F.col(data_col).cast("binary"), F.lit(b""))
 
     def run(batches):
-        for batch in _pieces(batches):
+        for batch in pieces(batches):
             raw = batch.column("data").to_pylist()
             media = [write(x + b"\xff" * (-len(x) % PAYLOAD or PAYLOAD * (not x)), len(x)) for x in raw]
             yield pa.record_batch([batch.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
@@ -237,7 +229,7 @@ def audio_index(media: DataFrame, id_col: str = "doc_id", media_col: str = "medi
     """
 
     def run(batches):
-        for batch in _pieces(batches):
+        for batch in pieces(batches):
             found = [read(x or b"") for x in batch.column("media").to_pylist()]
             rows = [[f["hz"], f["channels"], f["kbps"], len(f["offsets"]), f["samples"], f["samples"] / f["hz"] if f["hz"] else 0.0, f["vbr"] and f["vbr"]["kind"], f["vbr"] and f["vbr"]["frames"], f["vbr"] and f["vbr"]["points"], f["offsets"], f["crc_ok"], f["crc_bad"], f["junk"], list(f["tags"].items())] for f in found]
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string()))
@@ -255,7 +247,7 @@ def read_back(media: DataFrame) -> DataFrame:
     """Digests of the payloads read back from rows (doc_id, n_bytes, media) of store_as_audio()."""
 
     def run(batches):
-        for batch in _pieces(batches):
+        for batch in pieces(batches):
             out = []
             for n, b in zip(batch.column("n_bytes").to_pylist(), batch.column("media").to_pylist()):
                 f = read(b)

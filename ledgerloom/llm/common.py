@@ -34,6 +34,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def apart(df: DataFrame, *names: str) -> list[str]:
+    """names, each with as many underscores behind it as it takes for df to have no such column (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def pieces(batches, most: int = 16 << 20):
+    """Arrow batches of at most about `most` bytes, so that what a task holds doesn't depend on Arrow's row count."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * most // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def small(df: DataFrame, most_rows: int) -> tuple[DataFrame, bool]:
     """df behind a broadcast hint if a count proves that it has at most most_rows rows, else as it is.
 
