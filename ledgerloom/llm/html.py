@@ -13,8 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .audio import _pieces
-from .common import checkpointed, small, table
+from .common import checkpointed, pieces, small, table
 
 #: A path is a winner of its host if it has at least this share of the votes: a host has at most 1 / LEAST paths.
 LEAST = 0.1
@@ -186,7 +185,7 @@ def host_paths(pages: DataFrame, least: float = LEAST) -> DataFrame:
     """_host and its winning paths (those with at least the share `least` of its votes, most votes first)."""
 
     def vote(batches):
-        for batch in _pieces(batches):
+        for batch in pieces(batches):
             yield pa.record_batch([batch.column("_host"), pa.array([best_path(*parse(x or "")) for x in batch.column("html").to_pylist()], pa.string())], ["_host", "path"])
 
     votes = pages.select(host_of(F.col("url")).alias("_host"), "html").mapInArrow(vote, "_host string, path string")
@@ -212,7 +211,7 @@ def extract(pages: DataFrame, least: float = LEAST) -> DataFrame:
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("_host")).join(winners, "_host", "left").select("page_id", "url", "html", "_paths")
 
     def read(batches):
-        for batch in _pieces(batches):
+        for batch in pieces(batches):
             texts = [text_at(*parse(x or ""), p or []) for x, p in zip(batch.column("html").to_pylist(), batch.column("_paths").to_pylist())]
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

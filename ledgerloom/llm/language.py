@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .audio import _pieces
+from . import common
 from .common import held_out, table
 
 PIECES = 256  #: pieces of text in a dictionary
@@ -48,14 +48,17 @@ def learn(docs: DataFrame, pieces: int = PIECES, piece: int = PIECE) -> dict[str
     picked = [(r["lang"], r["h"]) for r in found]
     if len({x for x, _ in picked}) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    chosen = rows.where(F.col("h").isin([h for _, h in picked])).select("lang", "h", letters(F.substring("text", start, F.lit(piece))).alias("t")).distinct()
+    if not picked:
+        return {}
+    # at most LANGUAGES * pieces rows, sent to all executors
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(picked, "lang string, h long"))
+    chosen = rows.join(wanted, ["lang", "h"]).select("lang", "h", letters(F.substring("text", start, F.lit(piece))).alias("t")).distinct()
     out: dict[str, list[bytes]] = {}
     seen: dict[str, int] = {}
     for r in found:
         seen[r["lang"]] = seen.get(r["lang"], 0) + r["n"]
-    for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["h"], r["t"])) if picked else []:
-        if (r["lang"], r["h"]) in set(picked):
-            out.setdefault(r["lang"], []).append(r["t"].encode())
+    for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["h"], r["t"])):
+        out.setdefault(r["lang"], []).append(r["t"].encode())
     return {k: b" ".join(v) for k, v in sorted(out.items(), key=lambda x: (-seen[x[0]], x[0]))}
 
 
@@ -96,7 +99,7 @@ def classify(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", t
 
     def run(batches):
         tools = compressors_of(shared.value)
-        for batch in _pieces(batches):
+        for batch in common.pieces(batches):
             best, gap = [], []
             for x in batch.column("data").to_pylist():
                 if x is None:

@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .audio import _pieces
-from .common import checkpointed, small, table
+from .common import checkpointed, pieces, small, table
 from .near import _mixed, keyed
 
 LENGTH, Q, HALF = 100, 20, 60
@@ -111,7 +110,7 @@ def _in_order(batch):
 
 
 def _unit_rows(batches):
-    for batch in _pieces(batches, 8 << 20):
+    for batch in pieces(batches, 8 << 20):
         keys, data, _ = _in_order(batch)
         found = []
         for n, x in enumerate(data):
@@ -125,7 +124,7 @@ def _unit_rows(batches):
 def _open_parts(batches):
     """Batches as (keys, [(number of the document, start of the part, its Q-grams, starts and further windows of what
     is open in it)])."""
-    for batch in _pieces(batches, 8 << 20):
+    for batch in pieces(batches, 8 << 20):
         keys, data, order = _in_order(batch)
         spans, parts = batch.column("open"), []
         for n, x in enumerate(data):
@@ -188,7 +187,7 @@ DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 def _cut(batches):
     """Digests of what stays of each document without the spans in `cut`."""
-    for batch in _pieces(batches, 8 << 20):
+    for batch in pieces(batches, 8 << 20):
         out = []
         for x, spans in zip(batch.column("data").to_pylist(), batch.column("cut").to_pylist()):
             if not spans:
