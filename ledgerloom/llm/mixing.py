@@ -3,12 +3,14 @@
 Each document of a source gets the same expected number of copies (target / source size). Whole copies are given
 outright; the fractional parts are settled by duels. A duel pairs two documents and moves words from one to the
 other until one of the two has a probability of 0 or 1; which way the words move is drawn so that neither
-document's expectation changes. The words of a pair never change in sum, so what a source is short of or above
-its target at the end is the rounding of the single document left over.
+document's expectation changes. The words of a pair never change in sum.
 
 The duels run as a reduction tree: documents fall into blocks by a hash within their source and size class, each
 block is folded to one residual document, the residuals fall into wider blocks, and so on until a source is one
-block. A block has BLOCK documents on average at any input size, so no task ever holds a source.
+block. A block has BLOCK documents on average at any input size, so no task ever holds a source. In a source's last
+block, which also has about RESERVE documents that sat out the tree, the largest document is settled first: it is
+drawn up or down once and trades with the smaller ones in turn until its probability is 0 or 1, then the next largest, and so on.
+What a source is short of or above its target at the end is the rounding of the smallest documents left over.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from .common import checkpointed, small, table
 BLOCK = 48
 #: Size classes for each doubling of the size: documents of a block differ by 9 % at most.
 CLASSES = 8
-#: Folds of a source's last block, of which one is kept: a source of few documents has no small one to round last otherwise.
-TRIES = 8
+#: Documents of a source, on average, that join its last block alone, so that a large residual finds partners there.
+RESERVE = 128
 SEED = 17
 WEIGHTS = (5.0, 2.0, 1.0)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,7 +39,7 @@ def words(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """source, source_size, target of each source, from rows (source, source_size).
+    """sizes, whose rows are (source, source_size, others), with the target of each source.
 
     The sources in code-point order (null last) weigh `weights`, repeating, and share `share` times all sizes by
     weight. A target stops at `most` times its source's size; the excess is shared again by weight among the
@@ -56,7 +58,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
     free = weighed.withColumn("_level", level).withColumn("_free", F.col("_level") * F.col("_w") <= F.col("_most"))
     first = F.min(F.when(F.col("_free"), F.struct(F.col("_most") / F.col("_w"), "_level"))).over(every)
     target = F.least("_most", F.coalesce(first["_level"] * F.col("_w"), F.col("_most")))
-    return free.select("source", "source_size", target.alias("target"))
+    return free.select(*sizes.columns, target.alias("target"))
 
 
 def _uniform(*parts: Column) -> Column:
@@ -86,18 +88,36 @@ def _fold(units: Column, salt: Column) -> Column:
     return F.aggregate(F.slice(units, 2, F.size(units)), start, duel)
 
 
-def _least_rest(units: Column, salt: int) -> Column:
-    """Of TRIES folds that differ in their draws alone, the one that leaves the fewest words to round."""
+def _settle(units: Column, salt: Column) -> Column:
+    """units, sorted with the largest first, with all fractions settled.
 
-    def tried(i: Column) -> Column:
-        return _fold(units, F.lit(salt * TRIES) + i)
+    One after the other is drawn up to 1 (with its probability p) or down to 0. Going up it takes of each smaller
+    unit b the share c * (1 - p) of b's words, going down it gives it c * p, c being the largest share that leaves b's
+    probability within 0 and 1 either way, until it is settled: so nobody's expectation changes, nor the sum of words. Where
+    the smaller ones together can't trade enough a fraction stays; what fractions are left at the end are drawn one by one.
+    """
+
+    def turn(u: Column, i: Column) -> Column:
+        a = F.element_at(u, i)
+        p, up = a["p"], _uniform(a["key"], salt) < a["p"]
+
+        def trade(state: Column, b: Column) -> Column:
+            words = F.least(state["need"], b["s"] * F.least(b["p"] / (1 - p), (1 - b["p"]) / p))
+            share = words / b["s"]
+            new = _settled(b["p"] + F.when(up, -share * (1 - p)).otherwise(share * p))
+            return F.struct((state["need"] - words).alias("need"), F.concat(state["done"], F.array(_unit(b["s"], b["key"], new, b["row"]))).alias("done"))
+
+        traded = F.aggregate(F.slice(u, i + 1, F.size(u)), F.struct(a["s"].alias("need"), F.slice(u, 1, 0).alias("done")), trade, lambda s: F.array(s))
 
-    def weighed(f: Column) -> Column:
-        rest = f["rest"]
-        return F.struct((rest["s"] * F.least(rest["p"], 1 - rest["p"])).alias("words"), f.alias("f"))
+        def put(s: Column) -> Column:
+            part = 1 - s["need"] / a["s"]
+            new_p = _settled(p + F.when(up, part * (1 - p)).otherwise(-part * p))
+            return F.concat(F.slice(u, F.lit(1), i - 1), F.array(_unit(a["s"], a["key"], new_p, a["row"])), s["done"])
 
-    folds = F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), tried)
-    return F.array_min(F.transform(folds, weighed))["f"]
+        return F.when(p.isin(0.0, 1.0), u).otherwise(F.element_at(F.transform(traded, put), 1))
+
+    done = F.aggregate(F.sequence(F.lit(1), F.size(units)), units, turn)
+    return F.transform(done, lambda x: x.withField("p", F.when(x["p"].isin(0.0, 1.0), x["p"]).otherwise((_uniform(x["key"], salt, F.lit("rest")) < x["p"]).cast("double"))))
 
 
 def _unit(s: Column, key: Column, p: Column, row: Column) -> Column:
@@ -114,7 +134,8 @@ def _decided(docs: DataFrame, id_col="doc_id", text_col="text", source_col="sour
     many rows are alike, and how many copies the mix takes of them together."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col), F.lit(seed)).alias("_text"))
     keys = checkpointed(rows.groupBy("doc_id", "source", "size", "_text").agg(F.count("*").alias("_n")))
-    targets = source_targets(keys.groupBy("source").agg(F.sum(F.col("size") * F.col("_n")).alias("source_size")), weights, share, most)
+    sizes = keys.groupBy("source").agg(F.sum(F.col("size") * F.col("_n")).alias("source_size"), F.count("*").alias("_rows"))
+    targets = source_targets(sizes, weights, share, most)
     per_doc = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets, _ = small(checkpointed(targets.withColumn("_each", per_doc).withColumnRenamed("source", "_source")), 100_000)
     known = keys.join(targets, F.col("source").eqNullSafe(F.col("_source")))
@@ -125,27 +146,28 @@ def _decided(docs: DataFrame, id_col="doc_id", text_col="text", source_col="sour
     unit = _unit(F.col("size").cast("double"), key, _settled(expected - whole), row)
 
     blocks = max(1, math.ceil(keys.count() / BLOCK))
-    level = known.select("source", F.floor(F.log2(F.greatest("size", F.lit(1))) * CLASSES).alias("_class"), F.pmod(key, F.lit(blocks)).alias("_block"), unit.alias("unit"))
+    apart = F.pmod(F.xxhash64(key, F.lit("reserve")), F.ceil(F.col("_rows") / RESERVE)) == 0
+    units = known.select("source", F.floor(F.log2(F.greatest("size", F.lit(1))) * CLASSES).alias("_class"), F.pmod(key, F.lit(blocks)).alias("_block"), unit.alias("unit"), apart.alias("_apart"))
     settled = F.col("unit.p").isin(0.0, 1.0)
-    done = [level.where(settled).select("unit")]
-    level, depth = level.where(~settled), 0
+    done = [units.where(settled).select("unit")]
+    units = units.where(~settled)
+    level, depth = units.where("not _apart"), 0
+    largest_first = F.sort_array(F.collect_list(F.struct((-F.col("unit.s")).alias("o"), "unit.key", "unit")))
     while True:
-        last = blocks == 1
-        by = ["source", "_block"] if last else ["source", "_class", "_block"]
-        largest_first = F.sort_array(F.collect_list(F.struct((-F.col("unit.s")).alias("o"), "unit.key", "unit")))
-        units = F.transform("m", lambda x: x["unit"])
-        fold = _least_rest(units, seed * 1000 + depth) if last else _fold(units, F.lit(seed * 1000 + depth))
+        by = ["source", "_class", "_block"]
+        fold = _fold(F.transform("m", lambda x: x["unit"]), F.lit(seed * 1000 + depth))
         folded = level.groupBy(*by).agg(largest_first.alias("m")).select(*by, fold.alias("f"))
         folded = checkpointed(folded)  # the next level and the result both read it
         done.append(folded.select(F.explode("f.done").alias("unit")))
-        rest = folded.select(*by, F.col("f.rest").alias("unit"))
-        if last:
-            drawn = (_uniform(F.col("unit.key"), F.lit(seed)) < F.col("unit.p")).cast("double")
-            done.append(rest.select(F.col("unit").withField("p", drawn).alias("unit")))
+        level = folded.select("source", "_class", "_block", F.col("f.rest").alias("unit"))
+        depth += 1
+        if blocks == 1:
             break
         blocks = math.ceil(blocks / BLOCK)
-        level = rest.withColumn("_block", F.pmod(F.col("_block"), F.lit(blocks)))
-        depth += 1
+        level = level.withColumn("_block", F.pmod(F.col("_block"), F.lit(blocks)))
+    last = level.select("source", "unit").unionByName(units.where("_apart").select("source", "unit"))
+    last = last.groupBy("source").agg(largest_first.alias("m")).select(F.explode(_settle(F.transform("m", lambda x: x["unit"]), F.lit(seed * 1000 + depth))).alias("unit"))
+    done.append(last)
     out = functools.reduce(DataFrame.unionByName, done).select("unit.row.*", (F.col("unit.row._whole") + F.col("unit.p").cast("long")).alias("_copies"))
     return out.drop("_whole")
 
@@ -170,15 +192,17 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 def mixed(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
     """The rows of docs (doc_id, text, source and any others) that the mix takes, each as often as it takes it, with
     `copy` counted from 1; a column copy of docs is replaced. Arguments and cases are those of mix(); of rows equal
-    in doc_id, source and text one stands for all.
+    in doc_id, source and text one stands for all. Other columns, whatever their names, pass.
     """
     decided = _decided(docs, seed=seed, **how).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("_text").alias("_h"), "_n", "_copies")
-    rows = docs.drop("copy").withColumn("_hash", F.xxhash64("text", F.lit(seed)))
+    kept = [c for c in docs.columns if c.lower() != "copy"]
+    # what docs has beside doc_id, text and source travels in one struct, so that no name can clash
+    rows = docs.select("doc_id", "source", F.xxhash64("text", F.lit(seed)).alias("_hash"), F.struct(*kept).alias("_row"))
     if not decided.where("_n > 1").isEmpty():
         rows = rows.dropDuplicates(["doc_id", "source", "_hash"])
     same = (F.col("_hash") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
     met = rows.join(decided.where("_copies > 0"), same)
-    return met.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[c for c in docs.columns if c != "copy"], "copy")
+    return met.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("copy")).select("_row.*", "copy")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
