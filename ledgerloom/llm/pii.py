@@ -15,15 +15,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import apart, table
 
-KEY = "ledgerloom"  #: pass another one; who knows it can undo the pseudonyms
+KEY = "ledgerloom"  #: who knows the key can undo the pseudonyms: set KEY_SETTING to a secret one
+KEY_SETTING = "spark.ledgerloom.pseudonymKey"
 ROUNDS = 8
 
 _EDGE, _END = r"(?<![\p{L}\p{N}@])(?<![\p{N}][.\-/])", r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})\.)+[A-Za-z]{2,24}(?![A-Za-z0-9\-])",
+    # at most 126 labels, as a domain of 253 characters can have: an unbounded group is matched by recursion
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9][A-Za-z0-9\-]{0,62}+\.){1,126}[A-Za-z]{2,24}(?![A-Za-z0-9\-])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .\-]?)(?:\([0-9]{2,4}\)[ .\-]?|[0-9]{2,4}[ .\-])[0-9]{3,4}[ .\-]?[0-9]{4}" + _END + r"|(?<![\p{L}\p{N}])\([0-9]{3}\) ?[0-9]{3}[.\-][0-9]{4}" + _END + "|" + _EDGE + r"[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}" + _END,
     "ip": _EDGE + _OCTET + r"(?:\." + _OCTET + r"){3}(?![\p{L}\p{N}])(?!\.[0-9])",
     "iso_date": _EDGE + r"(?:1[89]|2[01])[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])" + r"(?!\p{N})(?!-[0-9])",
@@ -75,16 +77,20 @@ def characters(value: Column, key: str, kind: str) -> Column:
     half = F.floor(F.size(chars) / 2).cast("int")
     shape = F.array_join(F.transform(cells, lambda x: F.when(x["least"] == -1, x["c"]).when(x["least"] == 48, "0").when(x["least"] == 97, "a").otherwise("A")), "")
 
+    # a pad of 8 hexadecimal digits for each character of a half: as many digests as that takes
+    digests = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil((F.size(chars) - half) / 16).cast("int")))
+
     def step(s: Column, i: Column) -> Column:
         # even steps make the pad from one half, odd steps apply it to the other
         side = F.floor(i / 2) % 2
         text = F.array_join(F.transform(s["cells"], lambda x: x["c"]), "")
         other = F.when(side == 0, F.substring(text, half + 1, F.size(chars))).otherwise(F.substring(text, F.lit(1), half))
-        made = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), shape, i.cast("string"), other), 512)
+        made = F.array_join(F.transform(digests, lambda d: F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), shape, i.cast("string"), d.cast("string"), other), 512)), "")
 
         def moved(x: Column, j: Column) -> Column:
             inside = F.when(side == 0, j < half).otherwise(j >= half) & (x["least"] >= 0)
-            by = F.conv(F.substring(s["pad"], (j % 30) * 4 + 1, F.lit(7)), 16, 10).cast("long")
+            nth = F.when(side == 0, j).otherwise(j - half)
+            by = F.conv(F.substring(s["pad"], nth * 8 + 1, F.lit(8)), 16, 10).cast("long")
             new = F.char((x["least"] + F.pmod(_code(x["c"]) - x["least"] + by, x["wide"])).cast("int"))
             return F.struct(F.when(inside, new).otherwise(x["c"]).alias("c"), x["least"].alias("least"), x["wide"].alias("wide"))
 
@@ -164,9 +170,11 @@ def kind_of(value: Column) -> Column:
 
 def pseudonym(value: Column, kind: Column, key: str) -> Column:
     """The pseudonym of a value of a kind (see KINDS); the value itself where kind is null."""
-    at = F.instr(value, "@")
+    local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
+    top = F.substring_index(domain, ".", -1)
+    below = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
     return (
-        F.when(kind == "email", F.concat(characters(F.substring(value, F.lit(1), at - 1), key, "email"), F.substring(value, at, F.length(value))))
+        F.when(kind == "email", F.concat(characters(local, key, "email"), F.lit("@"), characters(below, key, "domain"), top))
         .when(kind == "phone", F.concat(F.regexp_extract(value, r"^(\+[0-9]{1,3}(?![0-9]))?", 0), characters(F.regexp_replace(value, r"^\+[0-9]{1,3}(?![0-9])", ""), key, "phone")))
         .when(kind == "ip", ip(value, key))
         .when(kind == "iso_date", F.date_format(_day(iso_date(value), key), "yyyy-MM-dd"))
@@ -178,32 +186,38 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     )
 
 
+def session_key(spark: SparkSession) -> str:
+    """The session's secret key (KEY_SETTING); the public default where that isn't set."""
+    return spark.conf.get(KEY_SETTING, KEY)
+
+
 def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
     """docs with text_col's valid personal values replaced by their pseudonyms, and pii, an array of
     struct(kind, value, pseudonym) in the order of the text.
 
-    Numbers that aren't valid (card numbers with a wrong check digit, impossible dates, octets over 255) stay. Null
-    texts stay null with an empty array, empty ones empty. Rows may repeat; a column pii of docs is replaced, other
-    columns pass untouched.
+    Numbers that aren't valid (card numbers with a wrong check digit, impossible dates, octets over 255) stay, as do
+    addresses whose domain has over 126 labels. Local part and domain of an address are permuted apart; its last label
+    stays. Null texts stay null with an empty array, empty ones empty. Texts may have any length. Rows may repeat; a column
+    pii of docs is replaced, other columns pass untouched whatever their names.
     """
     text = F.col(text_col)
-    any_of = F.lit(ANY)
-    values = F.when(text.rlike(SOME), F.regexp_extract_all(text, any_of, F.lit(0)))
-    rows = docs.withColumn("_values", values)
-    kinds = F.transform("_values", lambda v: F.struct(kind_of(v).alias("kind"), v.alias("value")))
-    rows = rows.withColumn("_kinds", kinds)
-    found = F.transform("_kinds", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), pseudonym(x["value"], x["kind"], key).alias("pseudonym")))
-    rows = rows.withColumn("_found", found)
+    v, k, f = apart(docs, "_values", "_kinds", "_found")
+    values = F.when(text.rlike(SOME), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    rows = docs.withColumn(v, values)
+    kinds = F.transform(v, lambda x: F.struct(kind_of(x).alias("kind"), x.alias("value")))
+    rows = rows.withColumn(k, kinds)
+    found = F.transform(k, lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), pseudonym(x["value"], x["kind"], key).alias("pseudonym")))
+    rows = rows.withColumn(f, found)
     between = F.split(text, ANY, -1)
-    put = F.zip_with(between, F.concat(F.transform("_found", lambda x: x["pseudonym"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
-    rows = rows.withColumn(text_col, F.when(F.exists("_found", lambda x: x["kind"].isNotNull()), F.array_join(put, "")).otherwise(text))
-    kept = F.filter("_found", lambda x: x["kind"].isNotNull())
+    put = F.zip_with(between, F.concat(F.transform(f, lambda x: x["pseudonym"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+    rows = rows.withColumn(text_col, F.when(F.exists(f, lambda x: x["kind"].isNotNull()), F.array_join(put, "")).otherwise(text))
+    kept = F.filter(f, lambda x: x["kind"].isNotNull())
     none = F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>")
-    return rows.withColumn("pii", F.coalesce(kept, none)).drop("_values", "_kinds", "_found")
+    return rows.withColumn("pii", F.coalesce(kept, none)).drop(v, k, f)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text with pseudonyms, n_values, kinds (each once, in order) of every document."""
-    done = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=session_key(spark))
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("pii", lambda x: x["kind"]))), ",")
     return done.select("doc_id", "text", F.size("pii").cast("long").alias("n_values"), kinds.alias("kinds"))
