@@ -2,11 +2,11 @@
 
 An item of m characters may occur with k = floor(RATE * m) edits. Cut into k + 1 pieces, one of them must occur
 unchanged. The pieces of all items are found in one pass over a text (a multi-pattern automaton); places where a piece
-occurs are verified with Myers' bit-parallel edit distance, after a count of 3-grams that discards no true match.
+occurs are verified with Myers' bit-parallel edit distance, where enough pieces half as long are near that a match is possible.
 Items of fewer than SHORTEST characters must occur unchanged and as whole words; the same automaton finds them.
 
-The items are the stated query set, sent to the executors in blocks of at most BLOCK_CHARS characters; documents are
-never shuffled.
+The items are the stated query set, sent to the executors in blocks of about BLOCK_CHARS characters, one after the
+other; documents are read once for each block and never shuffled.
 """
 
 from __future__ import annotations
@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .audio import _pieces
-from .common import checkpointed, table
+from .common import apart, checkpointed, pieces, table
 
 RATE = 0.1  #: edits allowed for each character of an item
 SHORTEST = 20  #: shorter items are too unspecific for edits: they occur verbatim, as whole words
@@ -31,7 +30,7 @@ def normal(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def pieces(item: str, k: int) -> list[tuple[int, str]]:
+def cut_up(item: str, k: int) -> list[tuple[int, str]]:
     """Offsets and texts of k + 1 pieces of about equal length that make up the item."""
     cuts = [len(item) * i // (k + 1) for i in range(k + 2)]
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
@@ -51,20 +50,26 @@ def whole_words(text: str, a: int, b: int) -> bool:
 
 
 class Pattern:
-    """An item with its budget, 3-grams and bit masks."""
+    """An item with its budget, small pieces and bit masks."""
 
     def __init__(self, item_id, text: str, rate: float = RATE, shortest: int = SHORTEST):
         self.item_id, self.text, self.m = item_id, text, len(text)
         self.short = self.m < shortest
         self.k = 0 if self.short else int(rate * self.m)
-        self.grams = {text[i : i + 3] for i in range(self.m - 2)}
+        self.parts = [p for _, p in cut_up(text, 2 * self.k + 1)]
         self.masks: dict[str, int] = {}
         for i, c in enumerate(text):
             self.masks[c] = self.masks.get(c, 0) | 1 << i
 
     def may_match(self, part: str) -> bool:
-        """False only if no substring of part is within k edits: each edit takes away 3 of the 3-grams at most."""
-        return len(self.grams - {part[i : i + 3] for i in range(len(part) - 2)}) <= 3 * self.k
+        """False only if no substring of part is within k edits: each edit spoils one of the 2 k + 2 small pieces at most."""
+        missing = 0
+        for p in self.parts:
+            if p not in part:
+                missing += 1
+                if missing > self.k:
+                    return False
+        return True
 
     def distance(self, part: str) -> tuple[int, int]:
         """Least edit distance of a substring of part to the item, and where the first such substring ends."""
@@ -95,7 +100,7 @@ class Matcher:
         self.patterns = [Pattern(i, t, rate, shortest) for i, t in items]
         where: dict[str, list[tuple[int, int]]] = {}
         for n, p in enumerate(self.patterns):
-            for at, piece in pieces(p.text, p.k):
+            for at, piece in cut_up(p.text, p.k):
                 where.setdefault(piece, []).append((n, at))
         self.automaton = ahocorasick.Automaton()
         for piece, places in where.items():
@@ -148,12 +153,16 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, shortest: int
     blocks = -(-total // block_chars) or 1
     kind_doc, kind_item = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kind_doc}, item_id {kind_item}, edits int, end_at long"
-    out = None
+    context, out = docs.sparkSession.sparkContext, None
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
         found = [(r["item_id"], normal(r["text"])) for r in block.collect()]
         found = sorted(((i, t) for i, t in found if t), key=lambda x: (x[0] is None, x[0], x[1]))
-        part = docs.select("doc_id", "text").mapInArrow(_runner(docs.sparkSession.sparkContext.broadcast(found), rate, shortest, schema), schema)
+        shared = context.broadcast(found)
+        part = docs.select("doc_id", "text").mapInArrow(_runner(shared, rate, shortest, schema), schema)
+        if blocks > 1:  # a block is done with, on the driver and everywhere, before the next one is fetched
+            part = checkpointed(part)
+            shared.unpersist()
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -163,7 +172,7 @@ def _runner(shared, rate: float, shortest: int, schema: str):
 
     def run(batches):
         matcher = Matcher(shared.value, rate, shortest)
-        for batch in _pieces(batches):
+        for batch in pieces(batches):
             rows = [(n, *m) for n, text in enumerate(batch.column("text").to_pylist()) for m in matcher.matches(text)]
             if rows:
                 n, item, edits, end = zip(*rows)
@@ -178,8 +187,9 @@ def without_matches(docs: DataFrame, items: DataFrame, rate: float = RATE) -> Da
     Ids may repeat: a row goes if any row of its id matches. The contaminated ids are joined as an anti join, which
     Spark broadcasts where their size allows.
     """
-    bad = checkpointed(matches(docs, items, rate).select("doc_id").distinct())
-    return docs.join(bad.withColumnRenamed("doc_id", "_bad"), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    bad_id = apart(docs, "_bad")[0]
+    bad = checkpointed(matches(docs, items, rate).select(F.col("doc_id").alias(bad_id)).distinct())
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(bad_id)), "left_anti")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
