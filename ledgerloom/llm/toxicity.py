@@ -6,7 +6,8 @@ tokens in either direction, attention pools their states, and a logistic output
 of a text overlap by half and cover all of it; the text's logit is a calibrated function of the highest.
 
 The network is fitted on the driver on a bounded sample (SAMPLE documents of each label, PIECE characters of each at
-most, drawn by a hash of the id). Its calibration weights the sampled texts by what share of their label they are, so that
+most, drawn by a hash of the id; of toxic documents longer than that a piece may not show what was marked, so they are
+passed over while there are enough shorter ones). Its calibration weights the sampled texts by what share of their label they are, so that
 scores keep their meaning as the table grows. Scoring runs over all texts inside Arrow batches with the weights broadcast.
 """
 
@@ -20,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .audio import _pieces
-from .common import held_out, table
+from .common import held_out, pieces, table
 
 SAMPLE = 1500  #: labelled documents of each class that the network is fitted on, at most
 PIECE = 20_000  #: characters of such a document, at most
+ENOUGH = 100  #: toxic documents not longer than PIECE, for longer ones to be passed over
 WINDOW = 24  #: tokens of a window; windows start every WINDOW / 2
 WORDS, GRAMS = 8192, 16384  #: most words and character n-grams with a vector
 DIM, HIDDEN = 6, 8
@@ -37,9 +38,8 @@ _BITS = 20  #: of the table that finds n-grams; each entry is checked against th
 
 
 def tokens(text: str | None) -> list[str]:
-    """Runs of word characters, lower-cased; one that repeats the token before it is left out."""
-    found = _TOKEN.findall(text.lower()) if text else []
-    return [w for w, before in zip(found, [None, *found]) if w != before]
+    """All runs of word characters, lower-cased."""
+    return _TOKEN.findall(text.lower()) if text else []
 
 
 def gram_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -344,8 +344,9 @@ def draw(docs: DataFrame, labels: DataFrame, each: int = SAMPLE, piece: int = PI
     """Labelled texts, their labels, and the number of labelled ids that each of them stands for.
 
     Of either label all ids if there are at most `each` of them, else the `each` with the least hashes; of each text at
-    most `piece` characters, from a place that the hash picks. Rows with null ids, labels or texts are passed over,
-    repeated ones count once, an id of both labels is toxic.
+    most `piece` characters, from a place that the hash picks. Toxic texts longer than that are left out, and the others
+    stand for them, if ENOUGH or half of the toxic ones are shorter. Rows with null ids, labels or texts are passed over;
+    of rows that repeat an id with other texts the last piece in code-point order counts; an id of both labels is toxic.
     """
     h = F.xxhash64("doc_id")
     place = F.shiftrightunsigned("h", 1)  # 0 to 2 ** 63 - 1
@@ -361,10 +362,18 @@ def draw(docs: DataFrame, labels: DataFrame, each: int = SAMPLE, piece: int = PI
     if not wanted:
         return [], [], []
     start = (F.pmod(F.shiftrightunsigned(h, 16), F.greatest(F.lit(1), F.length("text") - piece)) + 1).cast("int")
-    rows = docs.where(F.col("doc_id").isin(list(wanted)) & F.col("text").isNotNull()).select("doc_id", F.substring("text", start, F.lit(piece)).alias("t"))
-    found = {r["doc_id"]: r["t"] for r in sorted(rows.collect(), key=lambda r: (r["doc_id"], r["t"]))}
+    # at most 2 * each ids, sent to all executors
+    ids = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in wanted], docs.select("doc_id").schema))
+    rows = docs.where("text is not null").select("doc_id", F.substring("text", start, F.lit(piece)).alias("t"), (F.length("text") > piece).alias("cut")).join(ids, "doc_id")
+    found = {r["doc_id"]: (r["t"], r["cut"]) for r in sorted(rows.collect(), key=lambda r: (r["doc_id"], r["t"]))}
+    toxic = [i for i in found if wanted[i][0] == 1]
+    whole = {i for i in toxic if not found[i][1]}
+    times = 1.0
+    if len(whole) >= min(ENOUGH, (len(toxic) + 1) / 2):
+        times = len(toxic) / max(1, len(whole))
+        found = {i: x for i, x in found.items() if wanted[i][0] == 0 or i in whole}
     ids = sorted(found)
-    return [found[i] for i in ids], [wanted[i][0] for i in ids], [wanted[i][1] for i in ids]
+    return [found[i][0] for i in ids], [wanted[i][0] for i in ids], [wanted[i][1] * (times if wanted[i][0] else 1.0) for i in ids]
 
 
 def sample(docs: DataFrame, labels: DataFrame, each: int = SAMPLE, piece: int = PIECE) -> tuple[list[str], list[int]]:
@@ -382,7 +391,7 @@ def score(docs: DataFrame, net: Network, keep: list[str] | None = None, text_col
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
-        for batch in _pieces(batches, 4 << 20):
+        for batch in pieces(batches, 4 << 20):
             s = shared.value.score(batch.column("_text").to_pylist())
             cols = [batch.column(c) for c in keep] + [pa.array(np.round(s, 5), pa.float64())]
             yield pa.record_batch(cols, [*keep, "score"])
@@ -393,7 +402,8 @@ def score(docs: DataFrame, net: Network, keep: list[str] | None = None, text_col
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document; learned from labels of those not held out."""
+    """doc_id, held_out, score, predicted of every document; learned from labels of those not held out. A document with
+    a null id isn't held out and is scored like any other."""
     docs = table(spark, sf_dir, "documents")
     net = learned(docs, table(spark, sf_dir, "labels"))
     found = score(docs, net)
