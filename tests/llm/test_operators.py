@@ -265,9 +265,40 @@ def test_near_duplicates_of_a_large_group(spark, monkeypatch):
         words[r.randrange(len(words))] = f"w{i}"
         data.append((i, " ".join(words)))
     monkeypatch.setattr(near, "BLOCK", 16)
+    monkeypatch.setattr(near, "SIGNED", 8)
     want = brute_classes(data)
-    got = near.classes(spark.createDataFrame(data, "doc_id long, text string")).collect()
-    assert {x.doc_id: (x.text_id, x.class_id, x.n_links) for x in got} == want
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    for hot in (50_000, 4):  # with bands refined by others too
+        monkeypatch.setattr(near, "HOT", hot)
+        got = near.classes(docs).collect()
+        assert {x.doc_id: (x.text_id, x.class_id, x.n_links) for x in got} == want
+
+
+def test_near_duplicates_find_similar_pairs(spark):
+    r, data = random.Random(8), []
+    for i in range(300):
+        words = [f"v{r.randrange(5000)}" for _ in range(r.randint(40, 200))]
+        for _ in range(4):
+            words = list(words)
+            for _ in range(r.randint(1, max(1, len(words) // 60))):
+                words[r.randrange(len(words))] = f"v{r.randrange(5000)}"
+            data.append((len(data), " ".join(words)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in data]
+    pairs = [(a, b) for i in range(0, len(data), 4) for a, b in itertools.combinations(range(i, i + 4), 2) if 0.8 * len(sets[a] | sets[b]) <= len(sets[a] & sets[b])]
+    got = {x.doc_id: x for x in near.classes(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert len(pairs) > 1000 and sum(x.n_links for x in got.values()) == 2 * len(pairs)
+    assert all(got[a].class_id == got[b].class_id for a, b in pairs)
+
+
+def test_near_duplicates_of_repeated_ids_and_clashing_columns(spark):
+    a, b, c = prose(31, 60), prose(32, 60), prose(33, 60)
+    data = [(1, a), (1, b), (2, a + " z"), (3, c), (3, c), (3, b + " z"), (3, None), (4, "")]
+    docs = spark.createDataFrame([(*x, 1, 2, 3, 4, 5, 6) for x in data], "doc_id long, text string, _key int, _h1 int, _H2 int, tid int, root int, _gone_key int")
+    got = {(x.doc_id, x.text_id, x.class_id, x.n_links) for x in near.classes(docs).collect()}
+    assert got == {(1, 1, 1, 1), (2, 2, 1, 1), (3, 3, 3, 0), (3, 3, 1, 1), (4, 3, 3, 0)}
+    kept = near.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((x.doc_id, x.text or "") for x in kept.collect()) == sorted([(1, a), (1, b), (3, c), (3, "")])
 
 
 def test_decontamination(spark, docs, none):
