@@ -519,5 +519,27 @@ def test_substrings(spark, docs, none, monkeypatch):
     want = brute_cut({i: t.encode() for i, t in data.items()})
     monkeypatch.setattr(substrings, "_SEGMENT", 512)
     df = spark.createDataFrame(list(data.items()), "doc_id long, text string").repartition(4)
-    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in substrings.removed(df).collect()}
-    assert got == want
+    for rows_of_batch in (10_000, 3):  # what a batch shows by itself, or hardly anything
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_of_batch)
+        got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in substrings.removed(df).collect()}
+        assert got == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_substrings_of_hot_passages(spark):
+    # one passage and one anchor whose surroundings differ, in all documents; dealt out so that batches hold few of them
+    passage = prose(50, 60)
+    data = {i: f"{prose(1000 + i, 12)} {passage[i % 37 :]} {prose(2000 + i, 12)} {'z' * 19}{i % 5}{'q' * 19} {prose(3000 + i // 2, 9)}" for i in range(200)}
+    want = brute_cut({i: t.encode() for i, t in data.items()})
+    df = spark.createDataFrame(list(data.items()), "doc_id long, text string").repartition(16)
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in substrings.removed(df).collect()} == want
+
+
+def test_substrings_of_ids_with_several_texts(spark):
+    a, b = prose(60, 60), prose(61, 60)
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (2, b), (3, b + a), (None, b)], "doc_id long, text string")
+    got = sorted(((x.doc_id is None, x.doc_id or 0, x.n_bytes, x.n_removed) for x in substrings.removed(docs).collect()))
+    n, m = len(a.encode()), len(b.encode())
+    gone = [x for x in got if not x[0]]
+    assert gone[0] == (False, 1, n, 0) and sorted(gone[1:4]) == sorted([(False, 2, n, n), (False, 2, m, 0), (False, 2, m, 0)])
+    assert gone[4] == (False, 3, n + m, n + m) or got[-1][3] == 0  # the null id comes where the hash of its text is
