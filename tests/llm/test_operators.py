@@ -115,6 +115,51 @@ def test_html_extraction(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_keeps_what_only_sounds_like_a_sidebar(spark):
+    long = lambda n: prose(n, 40)
+    page = f'<body><header><h1>Site</h1></header><article><header><h1>Title</h1></header><div class="social-policy"><p>{long(1)}</p></div><section class="related-work"><p>{long(2)}</p></section><div class="article-comments">nice</div><div class="share">s</div><footer>f</footer></article><div id="page-footer">x</div></body>'
+    wrong = f'<body><div class="sidebar-wrapper"><div class="share">s</div><p>{long(3)}</p></div><div><p>small</p></div></body>'
+    two = [f'<body><div class="menu">m</div><div class="lead"><p>{long(10 + i)}</p></div><div>{"x " * 3}</div><div class="rest"><p>{long(30 + i)}</p></div></body>' for i in range(5)]
+    df = spark.createDataFrame([(0, "http://a.org/", page), (1, "http://b.org/", wrong), *((10 + i, "http://c.org/x", x) for i, x in enumerate(two))], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert got[0] == f"Title\n\n{long(1)}\n\n{long(2)}"
+    assert got[1] == long(3)
+    assert all(got[10 + i] == f"{long(10 + i)}\n\n{long(30 + i)}" for i in range(5))
+
+
+def test_html_of_deep_and_long_pages(spark):
+    import time
+
+    deep = "<div>" * 40_000 + "<p>text" + "<div>x" * 40_000 + "<li>" * 20_000
+    wide = "<article>" + "<p class='a b'>word <b>&amp;</b> " * 60_000
+    ends = "<ul>" + "<div>" * 20_000 + "<li>y" * 20_000 + "</ul></div>" * 20_000
+    start = time.time()
+    df = spark.createDataFrame([(0, "http://a.org/", deep), (1, "http://b.org/", wide), (2, "http://c.org/", ends), (3, None, "<" * 300_000), (4, None, "&" * 300_000)], "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert time.time() - start < 90  # linear in length and depth: seconds, where squares would be hours
+    assert got[0].startswith("text") and got[1].count("word &") == 60_000 and got[2].count("y") == 20_000
+
+
+def test_html_votes_against_counts_by_hand(spark):
+    kinds = ["<body><div class='c{0}'><p>{1}</p></div><div class='d'><p>{2}</p></div></body>", "<body><main><p>{1}</p></main><p>{2}</p></body>", "<body><p>{1}</p></body>"]
+    r = random.Random(4)
+    data = [(i, f"http://h{i % 3}.org/{i}", kinds[r.choice([0, 0, 0, 1, 2][: 3 + i % 3])].format(i, prose(i, 30), prose(i + 500, r.choice([3, 25])))) for i in range(90)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    votes = {}
+    for _, url, x in data:
+        for k, path in enumerate(html.best_paths(html.parse(x))):
+            v = votes.setdefault(url.split("/")[2], {}).setdefault(path, [0, 0])
+            v[0] += k == 0
+            v[1] += 1
+    want = {}
+    for host, paths in votes.items():
+        total = sum(n for n, _ in paths.values())
+        want[host] = {p for p, (n, m) in paths.items() if n >= html.LEAST * total or m >= html.HALF * total}
+    assert {x._host: {p & html._MASK for p in x._paths} for x in html.host_paths(df).collect()} == want
+    got = {x.page_id: x.text for x in html.extract(df).collect()}
+    assert all(prose(i, 30) in got[i] for i, _, _ in data)
+
+
 def test_language(spark, docs, none):
     assert language.learn(none) == {} and language.classify(docs, {}).where("best = 'und'").count() == len(rows())
     german, english = "der die und nicht eine auf mit ist von das".split(), "the and not one upon with is of that which".split()
