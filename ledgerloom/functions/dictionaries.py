@@ -124,13 +124,12 @@ DOMAINS = {
     "hotmial.com": "hotmail.com",
 }
 
-# Titles before a name: Arabic ones without, English ones with a full stop.
-TITLES = (
-    r"(?iu)^(السيد|السيده|الدكتور|الدكتوره|المهندس|المهندسه|الاستاذ|الاستاذه|الشيخ|الشيخه|أ\.|د\.|م\.|السيد\s*/|المهندس\s*/)\s*",
-    r"(?iu)^(Mr\.|Mrs\.|Ms\.|Dr\.|Eng\.|Prof\.)\s*",
-)
-#: The same with the longest title first and a word's end after it, for names like السيدة that only start like one.
-WHOLE_TITLES = (
-    r"(?iu)^(?:(?:السيد|المهندس)\s*/|(?:السيده|السيدة|السيد|الدكتوره|الدكتورة|الدكتور|المهندسه|المهندسة|المهندس|الاستاذه|الاستاذة|الاستاذ|الشيخه|الشيخة|الشيخ)(?!\p{L})|[أدم]\.)\s*",
-    TITLES[1],
-)
+# Names of currencies before and after an amount.
+BEFORE_AMOUNT = ("USD", "SAR", "YER", "$")
+AFTER_AMOUNT = ("ريال يمني", "ريال", "لاير يمني", "لاير", "YER", "USD", "SAR", "$")
+
+# Titles before a name: Arabic words (some with a stroke behind), letters and English abbreviations with a full stop.
+TITLE_WORDS = ("السيد", "السيده", "الدكتور", "الدكتوره", "المهندس", "المهندسه", "الاستاذ", "الاستاذه", "الشيخ", "الشيخه")
+TITLE_LETTERS = ("أ.", "د.", "م.")
+STROKED_TITLES = ("السيد", "المهندس")
+TITLE_ABBREVIATIONS = ("Mr.", "Mrs.", "Ms.", "Dr.", "Eng.", "Prof.")
