@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import rules as R
 from ..functions.dictionaries import PAID
@@ -22,6 +23,7 @@ DETAILS = {
     "MISSING_ORDER_ID": "Order id is missing and can't be inferred",
     "MISSING_CUSTOMER_ID": "Customer id is missing and can't be inferred",
     "DUPLICATE_ORDER_ID": "An earlier row of the run has the same order id",
+    "SURPLUS_COLUMNS": "The row has more columns than its file's header",
     "INVALID_EMAIL": "E-mail address is invalid and can't be repaired",
     "INVALID_IMPOSSIBLE_DATE": "Order date is missing or impossible",
     "CORRUPTED_ITEMS_JSON": "Items are no JSON list of objects",
@@ -40,17 +42,18 @@ def correction(field: str, before: Column, after: Column, rule: str | Column) ->
 
 
 def classify(df: DataFrame, whole_titles: bool = False, compat_dayfirst: bool = False) -> DataFrame:
-    """df (the columns FIELDS as text, optionally is_duplicate, and others, which pass) with cleaned and typed fields and
+    """df (the columns FIELDS as text, optionally is_duplicate and has_surplus, and others, which pass) with cleaned and typed fields and
 
     quality_status, error_codes, error_details, corrections, materially_corrected, raw_record. Missing columns of FIELDS
     and null values count as blank.
     """
-    made = ("is_duplicate", "quality_status", "error_codes", "error_details", "corrections", "materially_corrected", "raw_record")
+    made = ("is_duplicate", "has_surplus", "quality_status", "error_codes", "error_details", "corrections", "materially_corrected", "raw_record")
     others = [c for c in df.columns if c not in FIELDS and c not in made]
     raw = {c: R.text_of(F.col(c)) if c in df.columns else F.lit("") for c in FIELDS}
     kept = F.struct(*(F.col(c).cast("string").alias(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in FIELDS))
     is_dup = F.coalesce(F.col("is_duplicate"), F.lit(False)) if "is_duplicate" in df.columns else F.lit(False)
-    s = df.select(*others, *(v.alias(c) for c, v in raw.items()), kept.alias("raw_record"), is_dup.alias("_dup"))
+    surplus = F.coalesce(F.col("has_surplus"), F.lit(False)) if "has_surplus" in df.columns else F.lit(False)
+    s = df.select(*others, *(v.alias(c) for c, v in raw.items()), kept.alias("raw_record"), is_dup.alias("_dup"), surplus.alias("_surplus"))
 
     # text, keys, name
     s = s.withColumns({f"_t_{c}": (R.clean_city if c == "city" else R.clean_text)(F.col(c)) for c in CLEANED})
@@ -62,7 +65,7 @@ def classify(df: DataFrame, whole_titles: bool = False, compat_dayfirst: bool =
     notes = [correction(f, c(f), c(f"_t_{f}"), "TEXT_NORMALIZATION") for f in CLEANED]
     notes += [correction("customer_id", c("_t_customer_id"), c("_k.customer_id"), inferred("customer_id", "order_id")), correction("order_id", c("_t_order_id"), c("_k.order_id"), inferred("order_id", "customer_id"))]
     notes += [correction("customer_name", c("_t_customer_name"), c("_name"), "NAME_REMOVE_TITLES")]
-    errors = [F.when(c("_k.order_id") == "", "MISSING_ORDER_ID"), F.when(c("_k.customer_id") == "", "MISSING_CUSTOMER_ID"), F.when(c("_dup") & (c("_k.order_id") != ""), "DUPLICATE_ORDER_ID")]
+    errors = [F.when(c("_k.order_id") == "", "MISSING_ORDER_ID"), F.when(c("_k.customer_id") == "", "MISSING_CUSTOMER_ID"), F.when(c("_dup") & (c("_k.order_id") != ""), "DUPLICATE_ORDER_ID"), F.when(c("_surplus"), "SURPLUS_COLUMNS")]
     s = s.withColumns({"_n1": F.array_compact(F.array(*notes)), "_e1": F.array_compact(F.array(*errors))})
 
     # currency, phone, e-mail, date
@@ -72,11 +75,11 @@ def classify(df: DataFrame, whole_titles: bool = False, compat_dayfirst: bool =
     repaired = mail_ok & (c("_mail") != c("_bare"))
     how = F.when(c("_rate") > 1, "CURRENCY_CONVERSION_TO_YER").when(c("_code") == "YER", "CURRENCY_TO_YER").otherwise("CURRENCY_STANDARDIZE")
     notes = [correction("currency", c("currency"), c("_code"), how)]
-    converted = {f: (c(f"_p_{f}") * c("_rate")).cast(R.MONEY) for f in AMOUNTS}
+    converted = {f: (c(f"_p_{f}") * c("_rate")).try_cast(R.MONEY) for f in AMOUNTS}
     for f in AMOUNTS:
         parsed = F.when(R.is_price_word(c(f)), "PRICE_KNOWN_WORD").otherwise("NUMBER_NORMALIZATION")
         # a number that was text always counts as changed
-        number = F.struct(F.lit(f).alias("field"), c(f).alias("original_value"), c(f"_p_{f}").cast("string").alias("corrected_value"), parsed.alias("rule_code"))
+        number = F.struct(F.lit(f).alias("field"), c(f).alias("original_value"), R.plain_text(c(f"_p_{f}")).alias("corrected_value"), parsed.alias("rule_code"))
         notes += [F.when(c(f"_p_{f}").isNotNull(), number), F.when(c("_rate") > 1, F.when(c(f"_p_{f}").isNotNull(), correction(f, c(f), converted[f], "CURRENCY_VALUE_CONVERSION")))]
     phone = correction("customer_phone", c("customer_phone"), c("_phone"), "PHONE_REMOVE_SPACES_AND_COUNTRY_CODE")
     mail = F.when(repaired, correction("customer_email", c("customer_email"), c("_mail"), "EMAIL_REPEATED_SYMBOLS"))
@@ -136,13 +139,13 @@ def classify(df: DataFrame, whole_titles: bool = False, compat_dayfirst: bool =
         "delivery_type": c("_d_delivery_type"), "delivery_cost": c("_delivery"), "payment_method": c("_d_payment_method"), "payment_status": c("_d_payment_status"),
         "payment_amount": c("_payment"), "currency": c("_code"), "total_amount": c("_tot2"), "items_json": c("_items.items"),
     }
-    # A filter on the outcome must not be pushed down: substituting it through all groups would multiply the
-    # expressions at each. Spark pushes nothing through columns that aren't deterministic.
-    held = lambda x: F.when(F.monotonically_increasing_id() >= 0, x)
     details = F.transform(codes, lambda x: F.struct(x.alias("code"), R.lookup(x, DETAILS).alias("detail")))
     material = F.exists("corrections", lambda x: ~x["rule_code"].isin(*CASTS))
     outcome = final | {"quality_status": status, "error_codes": codes, "error_details": details, "corrections": c("corrections"), "materially_corrected": material}
-    return s.select(*others, *(held(v).alias(k) for k, v in outcome.items()), "raw_record")
+    # A filter on the outcome must not be pushed down: substituting it through all groups would multiply the expressions at
+    # each. Spark pushes nothing on what a generator makes, and filters on the columns that merely pass go down to the scan.
+    made = F.explode(F.array(F.struct(*(v.alias(k) for k, v in outcome.items()))))
+    return s.select(*others, "raw_record", made.alias("_outcome")).select(*others, "_outcome.*", "raw_record")
 
 
 def split_by_status(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -150,9 +153,20 @@ def split_by_status(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where("quality_status != 'quarantined'"), df.where("quality_status = 'quarantined'")
 
 
+TEXTS = (*(f for f in FIELDS if f not in (*AMOUNTS, "items_json")), "quality_status")
+#: Types that columns of the validated table may have, and how they are called.
+TYPES = {f: (T.StringType, "text") for f in TEXTS} | {f: (T.NumericType, "a number") for f in AMOUNTS}
+TYPES |= {"items_json": (T.ArrayType, "a list"), "corrections": (T.ArrayType, "a list"), "raw_record": (T.StructType, "a record"), "source": (T.StructType, "a record")}
+
+
 def constraint_violations(df: DataFrame) -> DataFrame:
-    """Rows that break a rule of the validated table, with the rule: required keys and a known status."""
-    required = [F.when(F.coalesce(F.col(k), F.lit("")) == "", f"{k} is required") for k in ("order_id", "customer_id", "quality_status")]
-    known = F.when(~F.col("quality_status").isin("valid", "corrected", "quarantined"), "unknown quality_status")
-    broken = F.array_compact(F.array(*required, known))
+    """Rows that break a rule of the validated table, with the rule: required keys, a status of validated rows, and types.
+
+    Spark's columns have one type each, so that the check of types looks at the schema; it lists the rows that have a value of
+    a wrong type. Null is allowed where a column isn't required, and columns that aren't there are.
+    """
+    required = [F.when(F.coalesce(F.col(k).cast("string"), F.lit("")) == "", f"{k} is required") for k in ("order_id", "customer_id", "quality_status")]
+    known = F.when(~F.col("quality_status").cast("string").isin("valid", "corrected"), "unknown quality_status")
+    wrong = [F.when(F.col(f.name).isNotNull(), f"{f.name} must be {TYPES[f.name][1]}") for f in df.schema if f.name in TYPES and not isinstance(f.dataType, TYPES[f.name][0])]
+    broken = F.array_compact(F.array(*required, known, *wrong))
     return df.withColumn("violation", F.explode(broken))

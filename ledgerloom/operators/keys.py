@@ -78,9 +78,19 @@ def append_new(existing: DataFrame, df: DataFrame, key: str) -> DataFrame:
     return df.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
 
 
+def named_hash(df: DataFrame, *cols: str) -> Column:
+    """64-bit hash of a row's fields and their names, whatever the order of columns."""
+    return F.xxhash64(*(x for c in sorted(cols or df.columns) for x in (F.lit(c), F.col(c))))
+
+
+def payload_hash(df: DataFrame, *without: str) -> Column:
+    """SHA-256 of a row's canonical JSON: fields in the order of their names, nulls included, those of `without` left out."""
+    return F.sha2(F.to_json(F.struct(*(F.col(c) for c in sorted(df.columns) if c not in without)), {"ignoreNullFields": "false"}), 256)
+
+
 def fingerprint(df: DataFrame, *cols: str) -> DataFrame:
-    """One row (n, xor, sum) that depends on the rows of df alone, not on their order or partitions."""
-    h = F.xxhash64(*(cols or df.columns))
+    """One row (n, xor, sum) that depends on the rows of df alone (fields and names), not on their order or partitions."""
+    h = named_hash(df, *cols)
     return df.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("xor"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("sum"))
 
 
