@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.keys import merge_orders
+from ..sources.buckets import BucketTable
 
 
 def source_decisions(rows: DataFrame, state: DataFrame, version: str = "version") -> DataFrame:
@@ -44,15 +44,18 @@ def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame,
     return sum(1 for p in query.recentProgress if p["numInputRows"])
 
 
-def upsert_stream(stream: DataFrame, checkpoint: str, read: Callable[[], DataFrame], write: Callable[[DataFrame], None], key: str, version: str, tie_break: tuple[str, ...] = ()) -> int:
-    """Merges each micro-batch into the table that read() gives and write() replaces, by merge_orders' rule.
+def upsert_stream(stream: DataFrame, checkpoint: str, table: BucketTable, version: str, tie_break: tuple[str, ...] = ()) -> int:
+    """Merges each micro-batch into the table, of which it rewrites the buckets of the batch's keys alone.
 
     Late rows lose by their version, whatever the order of arrival; a batch that runs again changes nothing.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        snapshot, _ = merge_orders(read(), batch, key, version, tie_break, number + 1)
-        write(snapshot)
+        batch = batch.persist()  # a merge reads it several times
+        try:
+            table.merge(batch, version, tie_break)
+        finally:
+            batch.unpersist()
 
     return run_available(stream, checkpoint, each)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.keys import latest_per_key
 from ..plans.adapter import table
 from ..plans.scratch import scratch
+from ..sources.buckets import BucketTable
 from . import ingest as I
 
 
@@ -25,22 +26,11 @@ def _daily(s, d):
 def _upsert(s, d):
     """Events of a folder merged by user, version event_id; a second run over the same checkpoint adds nothing."""
     at, schema = scratch(s, "upsert"), table(s, d, "events").schema
-    state = {"at": None, "n": 0}
-
-    def rows(df):
-        return df.select(F.col("user_id").cast("string").alias("order_id"), F.col("event_id").alias("version"), "event_type", "value")
-
-    def read():
-        return s.read.parquet(state["at"]) if state["at"] else rows(table(s, d, "events").limit(0)).withColumn("ingest_seq", F.lit(0).cast("long"))
-
-    def write(df):
-        state["n"] += 1
-        df.write.parquet(to := f"{at}/{state['n']}")
-        state["at"] = to
-
+    state = BucketTable(s, f"{at}/table", buckets=8)
     for _ in range(2):
-        I.upsert_stream(rows(I.file_stream(s, schema, d, "events.parquet")), f"{at}/state", read, write, "order_id", "version")
-    return read().select("order_id", "version", "event_type", "value")
+        new = I.file_stream(s, schema, d, "events.parquet").select(F.col("user_id").cast("string").alias("order_id"), F.col("event_id").alias("version"), "event_type", "value")
+        I.upsert_stream(new, f"{at}/state", state, "version")
+    return state.read().select("order_id", "version", "event_type", "value")
 
 
 def _decisions(s, d):
@@ -52,7 +42,19 @@ def _decisions(s, d):
     return I.source_decisions(rows, state).select("source_key", "max_version", "decision")
 
 
+def _marked(s, d):
+    """The state after the decided days were processed; days that weren't keep what they had."""
+    rows = table(s, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("source_key"), F.col("event_id").alias("version"), "value")
+    day = F.dayofmonth(F.col("source_key").cast("date"))
+    now = I.source_decisions(rows, s.createDataFrame([], "source_key string, content_hash string, last_version long"))
+    state = now.where(day % 3 != 0).select("source_key", F.when(day % 3 == 1, F.col("content_hash")).otherwise("other").alias("content_hash"), F.when(day % 2 == 0, F.col("max_version") + 5).otherwise(0).alias("last_version"))
+    after = I.mark_success(state, I.source_decisions(rows, state))
+    known = now.select("source_key", F.col("content_hash").alias("now"))
+    return after.join(known, "source_key").select("source_key", (F.col("content_hash") == F.col("now")).alias("current"), "last_version")
+
+
 Q = {
+    "mark_success": (_marked, "SELECT source_key, NOT (dd % 3 = 2 AND dd % 2 = 0) AS current, CASE WHEN dd % 3 = 0 THEN v WHEN dd % 2 = 0 THEN v + 5 WHEN dd % 3 = 1 THEN 0 ELSE v END last_version FROM (SELECT strftime(ts, '%Y-%m-%d') source_key, day(min(ts)) dd, max(event_id) v FROM events GROUP BY 1)"),
     "stream_daily_sales": (_daily, "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) n, round(CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE), 4) total FROM events GROUP BY 1"),
     "stream_versioned_upsert": (_upsert, "SELECT CAST(user_id AS VARCHAR) order_id, event_id AS version, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"),
     "source_decisions": (_decisions, "SELECT source_key, v max_version, CASE WHEN dd % 3 = 0 THEN 'process' WHEN dd % 3 = 1 THEN 'unchanged' WHEN dd % 2 = 0 THEN 'not_newer' ELSE 'process' END AS decision FROM (SELECT strftime(ts, '%Y-%m-%d') source_key, day(min(ts)) dd, max(event_id) v FROM events GROUP BY 1)"),
