@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.keys import flag_duplicates
+
 MONEY = "decimal(18,2)"
 DELIVERED = "F"  #: the given tables' status that stands for delivered
 
@@ -35,15 +37,29 @@ def order_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """order_id and items_json, the order's items in the order of their lines."""
+def item_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """order_id, line and the item's fields, a row for each line whose order and part there are."""
     l, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
-    rows = l.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    rows = l.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").join(orders, "l_orderkey", "left_semi").join(p, F.col("l_partkey") == F.col("p_partkey"))
     qty, price = F.col("l_quantity").cast(MONEY), F.col("p_retailprice").cast(MONEY)
-    item = F.struct(F.col("l_partkey").cast("string").alias("sku"), F.col("p_name").alias("name"), qty.alias("qty"), price.alias("unit_price"), F.round(qty * price, 2).cast(MONEY).alias("total"))
-    by = rows.groupBy(F.col("l_orderkey").cast("string").alias("order_id"))
+    return rows.select(
+        F.col("l_orderkey").cast("string").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").cast("string").alias("sku"), F.col("p_name").alias("name"),
+        qty.alias("qty"), price.alias("unit_price"), F.round(qty * price, 2).cast(MONEY).alias("total"),
+    )
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """order_id and items_json, the order's items in the order of their lines."""
+    item = F.struct("sku", "name", "qty", "unit_price", "total")
     # an order has a few lines; the list is as long as the order
-    return by.agg(F.sort_array(F.collect_list(F.struct("l_linenumber", item.alias("item")))).alias("l")).select("order_id", F.transform("l", lambda x: x["item"]).alias("items_json"))
+    by = item_rows(spark, sf_dir).groupBy("order_id").agg(F.sort_array(F.collect_list(F.struct("line", item.alias("item")))).alias("l"))
+    return by.select("order_id", F.transform("l", lambda x: x["item"]).alias("items_json"))
+
+
+def raw_skus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """order_id and sku of each line, by the scan of lines alone."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("order_id"), F.col("l_partkey").cast("string").alias("sku"))
 
 
 def orders_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,3 +90,27 @@ def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 31 == 0, "[]").when(k % 37 == 0, '{"sku":"x"}').otherwise(F.concat(F.lit('[{"sku":"S'), (k % 50).cast("string"), F.lit('","name":"n","qty":"'), arabic(qty), F.lit('","unit_price":"'), price.cast("string"), F.lit('","total":"0"}]'))).alias("items_json"),
         k.alias("source_row_number"),
     )
+
+
+def mixed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw orders as text in four currencies, with two items each, fractional quantities, unknown prices and repeated order ids, all decided
+    by the order key; is_duplicate is flagged."""
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
+    k, c, d = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderdate")
+    number = (k - k % 2 + 200000).cast("string")
+    qty = (((k % 8) * 125 + 1000).cast("decimal(10,0)") / 1000).cast("decimal(10,3)")
+    price = ((k % 50) * 10 + 15).cast("decimal(10,0)") / 10
+    known = F.round(qty * price, 2) + F.when(k % 5 == 0, 4000).otherwise(6) + F.when(k % 3 == 2, 10).otherwise(0)
+    other = F.when(k % 5 == 0, "ألفين").when(k % 5 == 1, "n/a").otherwise("3")
+    items = F.concat(F.lit('[{"sku":"a","name":"x","qty":'), qty.cast("string"), F.lit(',"unit_price":"'), price.cast("decimal(10,1)").cast("string"), F.lit('","color":"red"},{"sku":"b","qty":"٢","unit_price":"'), other, F.lit('"}]'))
+    rows = o.select(
+        F.when(k % 11 == 0, "").when(k % 5 == 2, F.concat(F.lit("طلب "), number)).otherwise(F.concat(F.lit("طلب-"), number)).alias("order_id"), F.date_format(d, "dd/MM/yyyy").alias("order_date"),
+        F.lit("new").alias("status"), F.when(k % 13 == 0, "").otherwise(F.concat(F.lit("عميل "), c.cast("string"))).alias("customer_id"), F.concat(F.lit("Dr. N"), c.cast("string")).alias("customer_name"),
+        F.concat(F.lit("+967 7"), F.lpad((k % 100000000).cast("string"), 8, "0")).alias("customer_phone"), F.concat(F.lit("u"), k.cast("string"), F.lit("@@x.com")).alias("customer_email"),
+        F.lit(" عدن").alias("city"), F.lit("المعلا").alias("district"), F.when(k % 3 == 0, "express").when(k % 3 == 1, "instant").otherwise("normal").alias("delivery_type"),
+        F.when(k % 3 == 2, "10").otherwise("").alias("delivery_cost"), F.lit("cash").alias("payment_method"), F.lit("paid").alias("payment_status"), F.when(k % 2 == 0, "").otherwise("5").alias("payment_amount"),
+        F.when(k % 4 == 0, "usd").when(k % 4 == 1, "SAR").when(k % 4 == 2, "ريال").otherwise("eur").alias("currency"),
+        F.when(k % 7 == 1, "").when((k % 7 == 0) & (k % 4 >= 2), F.concat(F.lit("-"), known.cast("decimal(18,2)").cast("string"))).otherwise("1").alias("total_amount"), items.alias("items_json"),
+        k.alias("source_row_number"),
+    )
+    return flag_duplicates(rows)

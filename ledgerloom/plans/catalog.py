@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import decimal
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dictionaries import DELIVERED
 from ..functions.rules import period_of
-from ..operators.keys import latest_per_key, top_k
+from ..operators.keys import latest_per_key, restrict_to_keys, top_k
 
 
 def sum0(c: Column | str) -> Column:
@@ -24,11 +26,20 @@ def mean(c: str, digits: int = 2) -> Column:
 # queries ---------------------------------------------------------------------------------------------------------
 
 
+def at_least(df: DataFrame, column: str, value: float) -> Column:
+    """value as the least literal of the column's own type that isn't below it, so that the comparison reaches the scan."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, T.DecimalType):
+        return F.lit(float(value))
+    exact = decimal.Decimal(str(value)).quantize(decimal.Decimal(1).scaleb(-kind.scale), rounding=decimal.ROUND_CEILING)
+    return F.lit(exact).cast(kind)
+
+
 def filter_orders(df: DataFrame, min_amount: float | None = None, sku: str | None = None, **equal: str | None) -> DataFrame:
     """Rows with all the given values; a condition whose value is None or empty isn't applied."""
     for k, v in equal.items():
         df = df.where(F.col(k) == F.lit(v)) if v else df
-    df = df.where(F.col("total_amount") >= F.lit(float(min_amount))) if min_amount is not None else df
+    df = df.where(F.col("total_amount") >= at_least(df, "total_amount", min_amount)) if min_amount is not None else df
     return df.where(F.exists("items_json", lambda x: x["sku"] == F.lit(sku))) if sku is not None else df
 
 
@@ -56,6 +67,11 @@ def orders_containing_item_sku(orders: DataFrame, sku: str = "SKU-1010", limit:
     return newest(filter_orders(orders, sku=sku), limit)
 
 
+def orders_with_sku(orders: DataFrame, items: DataFrame, sku: str = "SKU-1010", limit: int = 50) -> DataFrame:
+    """orders_containing_item_sku() where items are a table of their own: its rows with the sku, then the orders of these."""
+    return newest(restrict_to_keys(orders, items.where(F.col("sku") == F.lit(sku)), "order_id"), limit)
+
+
 # reports ---------------------------------------------------------------------------------------------------------
 
 
@@ -76,7 +92,12 @@ def _products(items: DataFrame, *by: str) -> DataFrame:
 
 def top_products(orders: DataFrame, limit: int = 10) -> DataFrame:
     """By sku and name; orders_count counts items."""
-    return top_k(_products(exploded_items(orders), "sku", "name").drop("name"), [F.desc("total_revenue")], limit, "sku", "product_name")
+    return top_products_of(exploded_items(orders), limit)
+
+
+def top_products_of(items: DataFrame, limit: int = 10) -> DataFrame:
+    """top_products() from rows (order_id, sku, name, qty, unit_price, total) of single items, where a source has these."""
+    return top_k(_products(items, "sku", "name").drop("name"), [F.desc("total_revenue")], limit, "sku", "product_name")
 
 
 def top_customers(orders: DataFrame, limit: int = 10) -> DataFrame:

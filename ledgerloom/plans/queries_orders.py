@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.rules import stable_id
 from ..operators import keys as K
 from ..sources import orders as S
 from . import catalog as C
 from . import jobs, views
-from .adapter import DELIVERED, MONEY, items, order_heads, orders_doc, table
+from .adapter import DELIVERED, MONEY, item_rows, order_heads, orders_doc, raw_skus, table
 from .scratch import scratch
 
 ORDERS = """od AS (SELECT CAST(o_orderkey AS VARCHAR) order_id, CAST(o_custkey AS VARCHAR) customer_id, c_name customer_name, n_name city,
@@ -36,6 +37,21 @@ def _named(name, **params):
     return lambda s, d: _flat(C.run_named(orders_doc(s, d) if "sku" in params else order_heads(s, d), name, **params))
 
 
+def _stable_ids(s, d):
+    k = F.col("o_orderkey").cast("string")
+    return table(s, d, "orders").select("o_orderkey", stable_id(F.lit("req"), k, F.lit("file"), F.col("o_custkey").cast("string")).alias("id"))
+
+
+def _payload_hashes(s, d):
+    c = table(s, d, "customer").select("c_name", "c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("segment"), F.lit("now").alias("ingested_at"))
+    return c.select("c_custkey", K.payload_hash(c, "ingested_at").alias("hash"))
+
+
+def _newest(s, d):
+    rows = order_heads(s, d).withColumn("ingest_seq", F.col("order_id").cast("long") % 97)
+    return _flat(views.newest_orders(rows, 40))
+
+
 def _found(where, order="order_date DESC, order_id", n=50):
     return f"WITH {ORDERS} SELECT {FLAT_SQL} FROM od WHERE {where} ORDER BY {order} LIMIT {n}"
 
@@ -177,13 +193,13 @@ Q = {
     "high_value_orders": (_named("high_value_orders", min_amount="200000", limit="500"), _found("total_amount >= 200000", "total_amount DESC, order_id", 500)),
     "orders_by_payment_status": (_named("orders_by_payment_status", payment_status="unpaid"), _found("payment_status = 'unpaid'")),
     "orders_by_payment_status_method": (_named("orders_by_payment_status", payment_status="paid", payment_method="1-URGENT"), _found("payment_status = 'paid' AND payment_method = '1-URGENT'")),
-    "orders_containing_item_sku": (_named("orders_containing_item_sku", sku="10"), f"WITH {ORDERS}, {ITEMS} SELECT {FLAT_SQL} FROM od WHERE order_id IN (SELECT order_id FROM it WHERE sku = '10') ORDER BY order_date DESC, order_id LIMIT 50"),
-    "top_products": (lambda s, d: C.top_products(orders_doc(s, d)), f"WITH {ITEMS} SELECT sku, name AS product_name, {PRODUCT_SQL} FROM it GROUP BY sku, name ORDER BY total_revenue DESC, sku, product_name LIMIT 10"),
+    "orders_containing_item_sku": (lambda s, d: _flat(C.orders_with_sku(order_heads(s, d), raw_skus(s, d), "10")), f"WITH {ORDERS}, {ITEMS} SELECT {FLAT_SQL} FROM od WHERE order_id IN (SELECT order_id FROM it WHERE sku = '10') ORDER BY order_date DESC, order_id LIMIT 50"),
+    "top_products": (lambda s, d: C.top_products_of(item_rows(s, d)), f"WITH {ITEMS} SELECT sku, name AS product_name, {PRODUCT_SQL} FROM it GROUP BY sku, name ORDER BY total_revenue DESC, sku, product_name LIMIT 10"),
     "top_customers": (_top_customers, f"WITH {ORDERS} SELECT customer_id, min(customer_name) customer_name, CAST(sum(total_amount) AS DOUBLE) total_spent, count(*) orders_count, {AVG.format('total_amount')} avg_order_value, string_agg(DISTINCT city, ',' ORDER BY city) cities_active FROM od GROUP BY customer_id ORDER BY total_spent DESC, customer_id LIMIT 10"),
     "sales_by_period": (lambda s, d: C.sales_by_period(order_heads(s, d)), f"WITH {ORDERS} SELECT order_date[1:7] AS period, CAST(sum(total_amount) AS DOUBLE) total_revenue, count(*) order_count, {AVG.format('total_amount')} avg_order_value, CAST(sum(delivery_cost) AS DOUBLE) total_delivery_fees FROM od GROUP BY 1"),
     "orders_by_status": (_by_status, f"WITH {ORDERS} {BY_STATUS}"),
     "mv_daily_sales": (lambda s, d: views.daily_sales(order_heads(s, d), DELIVERED), f"WITH {ORDERS} {DAILY_SQL.format('od')}"),
-    "mv_top_products": (lambda s, d: views.product_sales(orders_doc(s, d)), f"WITH {ITEMS} SELECT sku, min_by(name, order_id) product_name, {PRODUCT_SQL} FROM it GROUP BY sku"),
+    "mv_top_products": (lambda s, d: views.product_sales_of(item_rows(s, d)), f"WITH {ITEMS} SELECT sku, min_by(name, order_id) product_name, {PRODUCT_SQL} FROM it GROUP BY sku"),
     "mv_refresh_daily": (_refresh_daily, f"WITH {ORDERS}, {REFRESHED} {DAILY_SQL.format('af')}"),
     "mv_refresh_products": (_refresh_products, f"WITH {ITEMS} SELECT sku, min_by(name, order_id) product_name, {PRODUCT_SQL} FROM it WHERE CAST(order_id AS BIGINT) % 50 <> 1 GROUP BY sku"),
     "mv_affected_keys": (_affected, f"WITH {ORDERS}, {REFRESHED}, {ITEMS} SELECT 'date' AS kind, order_date AS key FROM (SELECT order_date FROM af WHERE k % 10 = 0 UNION SELECT order_date FROM od WHERE k % 10 = 0 AND k % 50 <> 1) UNION SELECT 'sku', sku FROM it WHERE CAST(order_id AS BIGINT) % 10 = 0"),
@@ -194,6 +210,11 @@ Q = {
     "versioned_upsert_state": (lambda s, d: _merge(s, d)[0], f"WITH {MERGE} SELECT coalesce(nid, oid) order_id, CASE WHEN act IN ('inserted','updated') THEN nv ELSE ov END AS version, CASE WHEN act IN ('inserted','updated') THEN nr ELSE orr END AS row, CASE WHEN act IN ('inserted','updated') THEN nt ELSE ot END event_type, CASE WHEN act IN ('inserted','updated') THEN nval ELSE oval END AS value, CAST(CASE WHEN act IN ('inserted','updated') THEN 2 ELSE 1 END AS BIGINT) ingest_seq FROM m"),
     "versioned_upsert_actions": (lambda s, d: _merge(s, d)[1], f"WITH {MERGE} SELECT nid order_id, act AS action FROM m WHERE act IS NOT NULL"),
     "ledger_decisions": (_ledger, "SELECT CAST(o_orderkey AS VARCHAR) request_key, CASE WHEN o_orderkey % 7 = 0 THEN 'other' ELSE CAST(o_orderkey % 10 AS VARCHAR) END payload_hash, CASE WHEN o_orderkey % 3 = 0 THEN 'process' WHEN o_orderkey % 7 = 0 THEN 'conflict' WHEN o_orderkey % 2 = 0 THEN 'skip' ELSE 'retry' END decision FROM orders"),
+    "stable_ids": (_stable_ids, "SELECT o_orderkey, sha256('req|' || o_orderkey || '|file|' || o_custkey) AS id FROM orders"),
+    "payload_hashes": (_payload_hashes, """SELECT c_custkey, sha256('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","segment":' || CASE WHEN c_custkey % 2 = 0 THEN '"' || c_mktsegment || '"' ELSE 'null' END || '}') AS hash FROM customer"""),
+    "newest_orders": (_newest, f"WITH {ORDERS} SELECT {FLAT_SQL} FROM od ORDER BY k % 97 DESC, order_id DESC LIMIT 40"),
+    "orders_containing_item_sku_docs": (_named("orders_containing_item_sku", sku="10"), f"WITH {ORDERS}, {ITEMS} SELECT {FLAT_SQL} FROM od WHERE order_id IN (SELECT order_id FROM it WHERE sku = '10') ORDER BY order_date DESC, order_id LIMIT 50"),
+    "top_products_docs": (lambda s, d: C.top_products(orders_doc(s, d)), f"WITH {ITEMS} SELECT sku, name AS product_name, {PRODUCT_SQL} FROM it GROUP BY sku, name ORDER BY total_revenue DESC, sku, product_name LIMIT 10"),
     "replay_safe_append": (_append_new, "SELECT CAST(o_orderkey AS VARCHAR) _id FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0"),
     "payload_fingerprint": (_fingerprint, "SELECT count(*) n FROM orders"),
     "restrict_to_keys": (_restrict, f"WITH {ORDERS} SELECT {FLAT_SQL} FROM od WHERE customer_id IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_mktsegment = 'BUILDING')"),

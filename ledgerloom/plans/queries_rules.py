@@ -10,7 +10,7 @@ from ..functions import rules as R
 from ..operators.classify import classify, constraint_violations, split_by_status
 from ..sources import orders as S
 from . import catalog as C
-from .adapter import dirty_orders, table
+from .adapter import dirty_orders, spread, table
 from .scratch import scratch
 
 
@@ -50,9 +50,14 @@ def _dates():
 
 
 def _items(s, d):
-    text = F.when(_k() % 5 == 0, "[]").when(_k() % 5 == 1, '{"sku":"a"}').when(_k() % 5 == 2, F.concat(F.lit('[{"sku":"a","qty":"'), ARABIC(_k() % 9), F.lit('","unit_price":'), (_k() % 50).cast("string"), F.lit('},{"sku":"b","qty":2,"unit_price":"1.50"}]'))).when(_k() % 5 == 3, '[{"sku":"a","qty":"-1","unit_price":3},{"sku":"b","qty":"?","unit_price":3}]').otherwise("[{")
+    fractions = F.concat(F.lit('[{"sku":"c","qty":"0.'), F.lpad((_k() % 8 * 125).cast("string"), 3, "0"), F.lit('","unit_price":"'), (_k() % 50).cast("string"), F.lit('.015","size":{"w":'), (_k() % 3).cast("string"), F.lit('}}]'))
+    text = (
+        F.when(_k() % 7 == 6, fractions).when(_k() % 5 == 0, "[]").when(_k() % 5 == 1, '{"sku":"a"}').when(_k() % 5 == 2, F.concat(F.lit('[{"sku":"a","qty":"'), ARABIC(_k() % 9), F.lit('","unit_price":'), (_k() % 50).cast("string"), F.lit('},{"sku":"b","qty":2,"unit_price":"1.50"}]')))
+        .when(_k() % 5 == 3, '[{"sku":"a","qty":"-1","unit_price":3},{"sku":"b","qty":"?","unit_price":3},{"x":1}]').otherwise("[{")
+    )
     p = table(s, d, "orders").select("o_orderkey", R.parse_items(text, F.lit(1).cast(R.MONEY)).alias("p"))
-    return p.select("o_orderkey", F.col("p.total").cast("double").alias("total"), F.array_join("p.errors", ",").alias("errors"), F.coalesce(F.size("p.items"), F.lit(-1)).alias("n"))
+    first = F.element_at("p.items", 1)
+    return p.select("o_orderkey", F.col("p.total").cast("double").alias("total"), F.array_join("p.errors", ",").alias("errors"), F.coalesce(F.size("p.items"), F.lit(-1)).alias("n"), first["qty"].cast("double").alias("qty"), first["other"].alias("other"))
 
 
 def _keys(s, d):
@@ -105,7 +110,7 @@ def _csv(s, d):
 
 
 def _violations(s, d):
-    c = table(s, d, "orders").select("o_orderkey", F.when(_k() % 3 == 0, "").otherwise(_k().cast("string")).alias("order_id"), F.when(_k() % 5 == 0, F.lit(None)).otherwise("c").alias("customer_id"), F.when(_k() % 7 == 0, "odd").otherwise("valid").alias("quality_status"))
+    c = table(s, d, "orders").select("o_orderkey", F.when(_k() % 3 == 0, "").otherwise(_k().cast("string")).alias("order_id"), F.when(_k() % 5 == 0, F.lit(None)).otherwise("c").alias("customer_id"), F.when(_k() % 7 == 0, "odd").otherwise("valid").alias("quality_status"), F.when(_k() % 9 == 0, "12").alias("total_amount"))
     return constraint_violations(c).select("o_orderkey", "violation")
 
 
@@ -115,9 +120,16 @@ def _runs(s, d):
 
 
 def _generated(s, d):
-    """As many generated orders as the table has, classified."""
-    n = table(s, d, "orders").count()
-    return classify(S.generate_orders(s, n)).groupBy("quality_status").agg(F.count("*").alias("count"))
+    """An order generated for each order key, classified. Of the generated errors a missing order id is inferred from the customer's,
+    and a missing customer id from an order number of 100000 or more."""
+    ids = table(s, d, "orders").select(F.col("o_orderkey").alias("id"))
+    return classify(spread(S.generate_orders(ids))).groupBy("quality_status").agg(F.count("*").alias("count"))
+
+
+def _drawn(what, most):
+    """SQL of what generate_orders draws for an order key."""
+    n = S.DRAWS.index(what)
+    return f"((o_orderkey % 1000003) * {7919 + 2 * n} + {(n + 1) * 104_729 * 42}) % 1000003 % {most}"
 
 
 def _split(s, d):
@@ -125,8 +137,9 @@ def _split(s, d):
     return good.select("source_row_number", F.lit("validated").alias("part")).unionByName(bad.select("source_row_number", F.lit("quarantine").alias("part")))
 
 
-def _latest_negative(s, d):
-    x = classified(s, d).where("source_row_number % 23 = 0 and quality_status != 'quarantined'")
+def _negatives(s, d):
+    """Amounts of the orders whose total had a wrong sign that was put right."""
+    x = classified(s, d).where("quality_status != 'quarantined'").where(F.exists("corrections", lambda c: c["rule_code"] == "NEGATIVE_SIGN_TYPO_REPAIR"))
     return x.select("source_row_number", F.col("delivery_cost").cast("double").alias("delivery_cost"), F.col("payment_amount").cast("double").alias("payment_amount"), F.col("total_amount").cast("double").alias("total_amount"))
 
 
@@ -149,11 +162,14 @@ Q = {
     "rule_phone": (_of(phone=lambda: R.normalize_phone(PHONES())), "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 2 THEN '677' || lpad(CAST(o_orderkey % 100000000 AS VARCHAR), 8, '0') ELSE '7' || lpad(CAST(o_orderkey % 100000000 AS VARCHAR), 8, '0') END phone FROM orders"),
     "rule_email": (_of(email=lambda: R.repair_email(EMAILS()), valid=lambda: R.is_valid_email(R.repair_email(EMAILS()))), f"SELECT o_orderkey, 'u' || o_orderkey || {_case(['@gmail.com', '@yahoo.com', '@outlook.com', '@ex.org', '@nodot', ' x@a.b'])} email, o_orderkey % 6 < 4 AS valid FROM orders"),
     "rule_date": (_of(day=lambda: R.normalize_date(_dates())), "SELECT o_orderkey, CASE o_orderkey % 7 WHEN 5 THEN NULL WHEN 6 THEN strftime(DATE '2000-01-01' + CAST(o_orderkey % 9000 AS INT), '%Y-%m-%d') || 'T01:02:03' ELSE strftime(DATE '2000-01-01' + CAST(o_orderkey % 9000 AS INT), '%Y-%m-%d') END AS day FROM orders"),
-    "rule_items_json": (_items, "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 2 THEN CAST((o_orderkey % 9) * (o_orderkey % 50) + 3 AS DOUBLE) END total, CASE o_orderkey % 5 WHEN 0 THEN 'EMPTY_ITEMS' WHEN 2 THEN '' WHEN 3 THEN 'AMBIGUOUS_NEGATIVE_VALUE,UNKNOWN_PRICE' ELSE 'CORRUPTED_ITEMS_JSON' END errors, CAST(CASE o_orderkey % 5 WHEN 2 THEN 2 ELSE -1 END AS INT) n FROM orders"),
+    "rule_items_json": (_items, """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 6 THEN CAST(round(CAST(o_orderkey % 8 * 125 * (o_orderkey % 50 * 1000 + 15) AS DECIMAL(18,0)) * CAST(0.000001 AS DECIMAL(7,6)), 2) AS DOUBLE) WHEN o_orderkey % 5 = 2 THEN CAST((o_orderkey % 9) * (o_orderkey % 50) + 3 AS DOUBLE) END total,
+ CASE WHEN o_orderkey % 7 = 6 THEN '' ELSE CASE o_orderkey % 5 WHEN 0 THEN 'EMPTY_ITEMS' WHEN 2 THEN '' WHEN 3 THEN 'AMBIGUOUS_NEGATIVE_VALUE,UNKNOWN_PRICE,UNKNOWN_PRICE' ELSE 'CORRUPTED_ITEMS_JSON' END END errors,
+ CAST(CASE WHEN o_orderkey % 7 = 6 THEN 1 WHEN o_orderkey % 5 = 2 THEN 2 ELSE -1 END AS INT) n, CAST(CASE WHEN o_orderkey % 7 = 6 THEN o_orderkey % 8 * 0.125 WHEN o_orderkey % 5 = 2 THEN o_orderkey % 9 END AS DOUBLE) qty,
+ CASE WHEN o_orderkey % 7 = 6 THEN '{"size":"{\\"w\\":' || o_orderkey % 3 || '}"}' END other FROM orders"""),
     "rule_business_keys": (_keys, "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN 'طلب-' || (o_orderkey + 100000) WHEN o_orderkey % 4 <> 0 THEN 'طلب-' || (o_orderkey % 977 + 100000) ELSE '' END order_id, CASE WHEN o_orderkey % 4 <> 0 THEN 'عميل-' || (o_orderkey % 977) WHEN o_orderkey % 5 <> 0 THEN 'عميل-' || o_orderkey ELSE '' END customer_id FROM orders"),
     "rule_dictionary": (_of(value=lambda: R.synonym(R.clean_text(_pick(SYN)), _pick(SYN))), f"SELECT o_orderkey, {_case(['نقدًا عند التسليم', 'تم التسليم', 'تم الدفع', 'سريع', 'نقدًا عند التسليم', 'zzz'])} AS value FROM orders"),
     "rule_totals": (lambda s, d: classified(s, d).where("quality_status != 'quarantined'").select("source_row_number", F.col("total_amount").cast("double").alias("total_amount"), F.col("delivery_cost").cast("double").alias("delivery_cost")), f"WITH {BAD} SELECT k source_row_number, {TOTAL} total_amount, CAST(CASE WHEN k % 3 = 0 THEN 1000 ELSE 1500 END AS DOUBLE) delivery_cost FROM b WHERE {OK}"),
-    "rule_negatives": (_latest_negative, f"WITH {BAD} SELECT k source_row_number, CAST(CASE WHEN k % 3 = 0 THEN 1000 ELSE 1500 END AS DOUBLE) delivery_cost, CAST(CASE WHEN k % 3 = 0 THEN q * p ELSE q * p + 1500 END AS DOUBLE) payment_amount, {TOTAL} total_amount FROM b WHERE {OK} AND k % 23 = 0"),
+    "rule_negatives": (_negatives, f"WITH {BAD} SELECT k source_row_number, CAST(CASE WHEN k % 3 = 0 THEN 1000 ELSE 1500 END AS DOUBLE) delivery_cost, CAST(CASE WHEN k % 3 = 0 THEN q * p ELSE q * p + 1500 END AS DOUBLE) payment_amount, {TOTAL} total_amount FROM b WHERE {OK} AND k % 23 = 0 AND k % 29 <> 0"),
     "classify_orders": (_status, f"WITH {BAD} SELECT k source_row_number, CASE WHEN n > 0 THEN 'quarantined' ELSE 'corrected' END quality_status, CASE WHEN n = 0 THEN {TOTAL} END total, CASE WHEN n = 0 THEN 'طلب-' || CASE WHEN k % 11 = 0 THEN c + 100000 ELSE k + 200000 END END order_id, CASE WHEN n = 0 THEN strftime(d, '%Y-%m-%d') END order_date, CAST(n + CAST(n > 1 AS INT) AS INT) errors FROM b"),
     "classify_errors": (_errors, f"WITH {BAD} {ERRORS}"),
     "classify_corrections": (_corrections, f"""WITH {BAD} SELECT k source_row_number, 'customer_phone' field, '+967 7' || lpad(CAST(k % 100000000 AS VARCHAR), 8, '0') original_value, '7' || lpad(CAST(k % 100000000 AS VARCHAR), 8, '0') corrected_value, 'PHONE_REMOVE_SPACES_AND_COUNTRY_CODE' rule_code FROM b
@@ -164,8 +180,8 @@ Q = {
     "run_metrics": (lambda s, d: C.run_metrics(classified(s, d)), f"WITH {BAD} SELECT count(*) raw, CAST(0 AS BIGINT) valid, count(*) FILTER (WHERE n = 0) corrected, count(*) FILTER (WHERE n > 0) quarantined, true AS consistent FROM b"),
     "run_summary": (lambda s, d: C.run_summary(classified(s, d)), f"WITH {BAD} SELECT count(*) raw_loaded, count(*) FILTER (WHERE n > 0) quarantine_count FROM b"),
     "split_by_status": (_split, f"WITH {BAD} SELECT k source_row_number, CASE WHEN n > 0 THEN 'quarantine' ELSE 'validated' END part FROM b"),
-    "constraint_violations": (_violations, "SELECT o_orderkey, 'order_id is required' violation FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'customer_id is required' FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, 'unknown quality_status' FROM orders WHERE o_orderkey % 7 = 0"),
+    "constraint_violations": (_violations, "SELECT o_orderkey, 'order_id is required' violation FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'customer_id is required' FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, 'unknown quality_status' FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT o_orderkey, 'total_amount must be a number' FROM orders WHERE o_orderkey % 9 = 0"),
     "max_error_counts": (_runs, "SELECT error_code, max(n) AS count FROM (SELECT user_id % 20 r, event_type error_code, count(*) n FROM events GROUP BY 1, 2) GROUP BY 1"),
     "csv_scan_roundtrip": (_csv, f"WITH {BAD} SELECT CASE WHEN n > 0 THEN 'quarantined' ELSE 'corrected' END quality_status, count(*) AS count, count(*) AS raw FROM b GROUP BY 1"),
-    "generated_orders": (_generated, None),
+    "generated_orders": (_generated, f"SELECT CASE WHEN {_drawn('share', 100)} >= 90 AND ({_drawn('error', 5)} < 3 OR ({_drawn('error', 5)} = 4 AND o_orderkey < 100000)) THEN 'quarantined' ELSE 'corrected' END quality_status, count(*) AS count FROM orders GROUP BY 1"),
 }

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..streaming.queries import Q as STREAMS
+from .queries_mixed import Q as MIXED
 from .queries_orders import Q as ORDERS
 from .queries_rules import Q as RULES
 
-ALL = ORDERS | RULES | STREAMS
+ALL = ORDERS | RULES | MIXED | STREAMS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
