@@ -38,27 +38,40 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _before(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """rows with, for each of sums, its total over all rows that come before in a total order.
+
+    Rows are sorted in ranges; a range's totals (one row each) are added up, and then the rows inside the range. No task sees all rows.
+    """
+    ranged = checkpointed(rows.orderBy(*order).withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range").agg(*(F.sum(x).alias(f"_all_{k}") for k, x in sums.items()))
+    totals = totals.select("_range", *(F.coalesce(F.sum(f"_all_{k}").over(earlier), F.lit(0)).alias(f"_to_{k}") for k in sums))
+    inside = Window.partitionBy("_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumns({k: F.coalesce(F.sum(x).over(inside), F.lit(0)) for k, x in sums.items()})
+    met = local.join(F.broadcast(totals), "_range")  # one row for each shuffle partition
+    return met.select(*rows.columns, *((F.col(k) + F.col(f"_to_{k}")).alias(k) for k in sums))
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """sizes, whose rows are (source, source_size, others), with the target of each source.
 
     The sources in code-point order (null last) weigh `weights`, repeating, and share `share` times all sizes by
     weight. A target stops at `most` times its source's size; the excess is shared again by weight among the
     others until none is above. In closed form: with sources sorted by limit / weight, the first k are at their
-    limits, k being the least number for which the rest's level exceeds no limit. One row for each source is
-    all that the two ordered windows see.
+    limits, k being the least number for which the rest's level exceeds no limit.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    kind = (F.row_number().over(by_name) - 1) % len(weights)
-    weighed = sizes.withColumn("_w", F.element_at(F.array(*map(F.lit, weights)), (kind + 1).cast("int")))
-    weighed = weighed.withColumn("_most", F.col("source_size") * F.lit(float(most)))
-    by_level = Window.orderBy(F.col("_most") / F.col("_w"), F.col("source").asc_nulls_last())
-    before, every = by_level.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    left = F.sum("source_size").over(every) * F.lit(float(share)) - F.coalesce(F.sum("_most").over(before), F.lit(0.0))
-    level = left / (F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
-    free = weighed.withColumn("_level", level).withColumn("_free", F.col("_level") * F.col("_w") <= F.col("_most"))
-    first = F.min(F.when(F.col("_free"), F.struct(F.col("_most") / F.col("_w"), "_level"))).over(every)
-    target = F.least("_most", F.coalesce(first["_level"] * F.col("_w"), F.col("_most")))
-    return free.select(*sizes.columns, target.alias("target"))
+    by_name = _before(sizes, [F.col("source").asc_nulls_last()], _rank=F.lit(1))
+    kind = (F.col("_rank") % len(weights)).cast("int")
+    weighed = by_name.withColumn("_w", F.element_at(F.array(*map(F.lit, weights)), kind + 1)).withColumn("_most", F.col("source_size") * F.lit(float(most))).drop("_rank")
+    ratio = F.col("_most") / F.col("_w")
+    by_level = checkpointed(_before(weighed, [ratio, F.col("source").asc_nulls_last()], _capped=F.col("_most"), _heavy=F.col("_w")))
+    total, weight = by_level.agg(F.sum("source_size"), F.sum("_w")).first()
+    level = (F.lit(float((total or 0) * share)) - F.col("_capped")) / (F.lit(float(weight or 1)) - F.col("_heavy"))
+    free = F.when(level * F.col("_w") <= F.col("_most"), F.struct(ratio.alias("at"), level.alias("level")))
+    found = by_level.agg(F.min(free).alias("first")).first()["first"]
+    target = F.col("_most") if found is None else F.least(F.col("_most"), F.lit(found["level"]) * F.col("_w"))
+    return by_level.select(*sizes.columns, target.alias("target"))
 
 
 def _uniform(*parts: Column) -> Column:
