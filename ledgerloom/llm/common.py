@@ -45,7 +45,7 @@ def apart(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def pieces(batches, most: int = 16 << 20):
+def pieces(batches, most: int = 8 << 20):
     """Arrow batches of at most about `most` bytes, so that what a task holds doesn't depend on Arrow's row count."""
     for batch in batches:
         rows = max(1, batch.num_rows * most // max(1, batch.nbytes))

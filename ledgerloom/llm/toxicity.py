@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, pieces, table
+from .common import apart, held_out, pieces, table
 
 SAMPLE = 1500  #: labelled documents of each class that the network is fitted on, at most
 PIECE = 20_000  #: characters of such a document, at most
@@ -389,14 +389,15 @@ def score(docs: DataFrame, net: Network, keep: list[str] | None = None, text_col
     """
     keep = ["doc_id"] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(net)
+    whole = apart(docs, "_text")[0]
 
     def run(batches):
-        for batch in pieces(batches, 4 << 20):
-            s = shared.value.score(batch.column("_text").to_pylist())
+        for batch in pieces(batches, 1 << 20):
+            s = shared.value.score(batch.column(whole).to_pylist())
             cols = [batch.column(c) for c in keep] + [pa.array(np.round(s, 5), pa.float64())]
             yield pa.record_batch(cols, [*keep, "score"])
 
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
+    rows = docs.select(*keep, F.col(text_col).alias(whole))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
     return rows.mapInArrow(run, ", ".join([*fields, "score double"]))
 

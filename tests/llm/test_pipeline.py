@@ -1,6 +1,7 @@
 """The pipeline over a small folder with hard rows: what must go goes, clean documents stay, values are hidden."""
 
 import collections
+import os
 
 import pytest
 
@@ -16,7 +17,7 @@ def folder(spark, tmp_path_factory):
     clean = [(i, prose(i, 80), "en", f"s{i % 3}") for i in range(60)]
     toxic = [(100 + i, prose(100 + i, 40) + " moronic idiotic scummy " + prose(200 + i, 20), "en", "s0") for i in range(30)]
     item = prose(300, 30)
-    odd = [(200, clean[0][1], "en", "s0"), (201, clean[1][1].replace("alpha", "alphaa", 1), "en", "s1"), (202, prose(301, 20) + " " + item + " " + prose(302, 20), "en", "s2"), (203, "mail jo.34@mail7.example.com or 4111111111111111 " + prose(303, 40), "en", "s1"), (204, None, None, None), (205, "", "en", "s1"), clean[5]]
+    odd = [(200, clean[0][1], "en", "s0"), (201, clean[1][1].replace("alpha", "alphaa", 1), "en", "s1"), (202, prose(301, 20) + " " + item + " " + prose(302, 20), "en", "s2"), (203, "mail jo.34@mail7.example.com or 4111111111111111 " + prose(303, 40), "en", "s1"), (204, None, None, None), (205, "", "en", "s1"), (206, prose(304, 60_000), "en", "s2"), (207, "x@" + "a." * 200_000 + "com " + prose(305, 90), "en", None), clean[5]]
     rows = [(*r, len(r[1] or ""), "extra") for r in clean + toxic + odd]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string").repartition(3).write.parquet(f"{at}/documents.parquet")
     labels = [(i, 1, 0) for i in range(60)] + [(100 + i, 0, 1) for i in range(30)] + [(None, 1, 1), (3, 1, None)]
@@ -29,8 +30,12 @@ def test_pipeline(spark, folder):
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "toxicity" and len(corpus_pipeline.STAGES) == 5
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, folder).collect()}
-    assert not kept & set(range(100, 130)) and kept >= set(range(60)) | {200, 201, 202, 203, 204, 205}
-    out = corpus_pipeline.run(spark, folder).collect()
+    assert not kept & set(range(100, 130)) and kept >= set(range(60)) | {200, 201, 202, 203, 204, 205, 206, 207}
+    done = corpus_pipeline.run(spark, folder)
+    at = os.path.dirname(done.inputFiles()[0].removeprefix("file://"))
+    assert os.listdir(os.path.dirname(at)) == [os.path.basename(at)]  # what stages before the last one wrote is gone
+    out = done.collect()
+    assert done.columns == [*corpus_pipeline.COLUMNS, "copy"]
     ids = collections.Counter(r.doc_id for r in out)
     assert not set(ids) & ({200, 202, 204, 205} | set(range(100, 130)))  # copies, leaks and toxic ones; empty texts have no words to take
     assert all(n <= 2 for n in ids.values()) and len(ids) >= 45
