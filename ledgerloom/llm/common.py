@@ -22,7 +22,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared checkpoint folder.
 
     The folder is the session's spark.checkpoint.dir. Where that is unset (local tests) one is made in the
-    machine's temporary folder, which only a local session can use.
+    machine's temporary folder, which only a local session can use. Partitions beyond four for each core (or an eighth of the
+    shuffle's, if that is more) are written together: each file costs its writer a process, as Spark sets permissions.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -31,7 +32,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if not folder and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    files = max(4 * context.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+    return df.coalesce(files).checkpoint(eager=True)
 
 
 def apart(df: DataFrame, *names: str) -> list[str]:
