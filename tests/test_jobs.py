@@ -3,10 +3,11 @@
 import csv
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators.classify import FIELDS
 from ledgerloom.operators.keys import ledger_decision, merge_orders
-from ledgerloom.plans import jobs, views
+from ledgerloom.plans import catalog, jobs, views
 from test_classify import BASE
 
 
@@ -64,3 +65,18 @@ def test_ledger(spark):
     requests = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1"), ("c", "1")], "request_key string, payload_hash string")
     got = {(r.request_key, r.payload_hash): r.decision for r in ledger_decision(ledger, requests).collect()}
     assert got == {("a", "1"): "skip", ("a", "2"): "conflict", ("b", "1"): "retry", ("c", "1"): "process"}
+
+
+def test_lookups_read_what_they_need(spark, tmp_path):
+    from ledgerloom.plans.adapter import orders_doc
+
+    orders = orders_doc(spark, "/root/testdata/sf0.001")
+    jobs.write_lookup_layout(orders, str(tmp_path))
+    found = jobs.orders_by_sku(spark, str(tmp_path), "7")
+    assert "EqualTo(sku,7)" in found._jdf.queryExecution().executedPlan().toString()
+    skus = [r.skus for r in spark.read.parquet(f"{tmp_path}/by_sku").groupBy(F.input_file_name()).agg(F.struct(F.min("sku").alias("a"), F.max("sku").alias("b")).alias("skus")).orderBy("skus").collect()]
+    assert all(x.b <= y.a for x, y in zip(skus, skus[1:]))  # a file holds a range: row group statistics rule out all others
+    want = orders.where(F.exists("items_json", lambda x: x["sku"] == "7")).select("order_id")
+    assert sorted(r.order_id for r in found.collect()) == sorted(r.order_id for r in want.collect())
+    high = catalog.filter_orders(spark.read.parquet(f"{tmp_path}/by_city"), min_amount=200000.005)
+    assert "GreaterThanOrEqual(total_amount,200000.01)" in high._jdf.queryExecution().executedPlan().toString()
