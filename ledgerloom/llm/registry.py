@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import audio, decontaminate, html, language, mixing, near, pii, substrings, toxicity, urls
+from . import audio, conversations, decontaminate, html, language, mixing, near, pii, substrings, tokens, toxicity, urls, whitening
 
 
 def _url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": decontaminate.op8_decontamination,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_substrings": substrings.op10_substrings,
+        "op11_tokens": tokens.op11_tokens,
+        "op12_conversations": conversations.op12_conversations,
+        "op13_whitening": whitening.op13_whitening,
         "url_rules": _url_rules,
         "audio_payloads": _audio_payloads,
         "text_links": _text_links,
