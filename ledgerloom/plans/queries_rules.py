@@ -41,12 +41,26 @@ EMAILS = lambda: F.concat(F.lit("u"), _k().cast("string"), _pick(["@@gamil.com."
 DAY = lambda: F.date_add(F.lit("2000-01-01").cast("date"), (_k() % 9000).cast("int"))
 
 
+#: Layouts of the day (21:05:06) that the key picks, and what SQL makes of the day: 'd' its ISO text, 'x' nothing, 'm' the text with day and month swapped where
+#: both may be months, else what follows the ISO text.
+DATE_KINDS = (
+    ("yyyy-MM-dd", "d"), ("d/M/yyyy", "d"), ("dd.MM.yyyy", "d"), ("epoch", "d"), ("d MMM yyyy 10:11:12", "d"), ("31/02/yyyy", "x"), ("yyyy-MM-dd'T'01:02:03", "T01:02:03"),
+    ("MMM d, yyyy", "d"), ("d/M/yy", "d"), ("yyyy-MM-dd h:mm a", "d"), ("EEEE d MMMM yyyy", "d"), ("d-MMM-yyyy", "d"), ("d.M.yyyy H:mm", "d"), ("yyyy-MM-dd HH:mm:ss'.5'", "d"),
+    ("yyyy-MM-dd'T'HH:mm:ss'+03:00'", "T21:05:06+03:00"), ("M/d/yyyy", "m"), ("yyyy/dd/MM", "m"), ("EEE, d MMM yyyy HH:mm:ss 'GMT'", "d"), ("d'th of' MMMM yyyy 'at 9pm'", "d"), ("MMMM d yyyy", "d"),
+    ("d MMM yy", "d"), ("yyyy MMM d", "d"), ("dMMMyyyy", "d"), ("yyyy-MM-dd'T'HH:mm'Z'", "T21:05:00+00:00"), ("yyyy-MM-dd'T'HH:mm:ss'.123456-0530'", "T21:05:06.123456-05:30"),
+    ("d/M/yyyy HH:mm:ss '+03:00'", "d"), ("'12 am' d MMM yyyy", "d"), ("yyyy-MM-dd '25:00'", "x"), ("MMM yyyy", "x"), ("yyyy-d-MMM", "d"), ("d MMM ''yy", "d"),
+)
+DATE_SQL = "CASE o_orderkey % 31 " + " ".join(
+    f"WHEN {i} THEN " + {"d": "iso", "x": "NULL", "m": "CASE WHEN day(day) > 12 THEN iso ELSE strftime(make_date(year(day), day(day), month(day)), '%Y-%m-%d') END"}.get(kind, f"iso || '{kind}'") for i, (_, kind) in enumerate(DATE_KINDS)
+) + " END"
+
+
 def _dates():
-    day = DAY()
-    return (
-        F.when(_k() % 7 == 0, F.date_format(day, "yyyy-MM-dd")).when(_k() % 7 == 1, F.date_format(day, "d/M/yyyy")).when(_k() % 7 == 2, F.date_format(day, "dd.MM.yyyy"))
-        .when(_k() % 7 == 3, (F.unix_date(day).cast("long") * 86400).cast("string")).when(_k() % 7 == 4, F.date_format(day, "d MMM yyyy 10:11:12")).when(_k() % 7 == 5, "31/02/2025").otherwise(F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T01:02:03")))
-    )
+    at, out = DAY().cast("timestamp_ntz") + F.expr("interval '21:05:06' hour to second"), None
+    for i, (layout, _) in enumerate(DATE_KINDS):
+        text = (F.unix_date(DAY()).cast("long") * 86400).cast("string") if layout == "epoch" else F.date_format(at, layout)
+        out = F.when(_k() % len(DATE_KINDS) == i, text) if out is None else out.when(_k() % len(DATE_KINDS) == i, text)
+    return out
 
 
 def _items(s, d):
@@ -161,7 +175,7 @@ Q = {
     "rule_currency": (_of(code=lambda: R.currency_code(_pick(CURRENCIES)), rate=lambda: R.currency_rate(_pick(CURRENCIES)).cast("double")), f"SELECT o_orderkey, {_case(['YER', 'YER', 'YER', 'YER', 'YER', 'EUR'])} code, CAST(CASE o_orderkey % 6 WHEN 0 THEN 530 WHEN 1 THEN 530 WHEN 2 THEN 140 ELSE 1 END AS DOUBLE) rate FROM orders"),
     "rule_phone": (_of(phone=lambda: R.normalize_phone(PHONES())), "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 2 THEN '677' || lpad(CAST(o_orderkey % 100000000 AS VARCHAR), 8, '0') ELSE '7' || lpad(CAST(o_orderkey % 100000000 AS VARCHAR), 8, '0') END phone FROM orders"),
     "rule_email": (_of(email=lambda: R.repair_email(EMAILS()), valid=lambda: R.is_valid_email(R.repair_email(EMAILS()))), f"SELECT o_orderkey, 'u' || o_orderkey || {_case(['@gmail.com', '@yahoo.com', '@outlook.com', '@ex.org', '@nodot', ' x@a.b'])} email, o_orderkey % 6 < 4 AS valid FROM orders"),
-    "rule_date": (_of(day=lambda: R.normalize_date(_dates())), "SELECT o_orderkey, CASE o_orderkey % 7 WHEN 5 THEN NULL WHEN 6 THEN strftime(DATE '2000-01-01' + CAST(o_orderkey % 9000 AS INT), '%Y-%m-%d') || 'T01:02:03' ELSE strftime(DATE '2000-01-01' + CAST(o_orderkey % 9000 AS INT), '%Y-%m-%d') END AS day FROM orders"),
+    "rule_date": (_of(day=lambda: R.normalize_date(_dates())), f"SELECT o_orderkey, {DATE_SQL} AS day FROM (SELECT o_orderkey, DATE '2000-01-01' + CAST(o_orderkey % 9000 AS INT) AS day, strftime(DATE '2000-01-01' + CAST(o_orderkey % 9000 AS INT), '%Y-%m-%d') iso FROM orders)"),
     "rule_items_json": (_items, """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 6 THEN CAST(round(CAST(o_orderkey % 8 * 125 * (o_orderkey % 50 * 1000 + 15) AS DECIMAL(18,0)) * CAST(0.000001 AS DECIMAL(7,6)), 2) AS DOUBLE) WHEN o_orderkey % 5 = 2 THEN CAST((o_orderkey % 9) * (o_orderkey % 50) + 3 AS DOUBLE) END total,
  CASE WHEN o_orderkey % 7 = 6 THEN '' ELSE CASE o_orderkey % 5 WHEN 0 THEN 'EMPTY_ITEMS' WHEN 2 THEN '' WHEN 3 THEN 'AMBIGUOUS_NEGATIVE_VALUE,UNKNOWN_PRICE,UNKNOWN_PRICE' ELSE 'CORRUPTED_ITEMS_JSON' END END errors,
  CAST(CASE WHEN o_orderkey % 7 = 6 THEN 1 WHEN o_orderkey % 5 = 2 THEN 2 ELSE -1 END AS INT) n, CAST(CASE WHEN o_orderkey % 7 = 6 THEN o_orderkey % 8 * 0.125 WHEN o_orderkey % 5 = 2 THEN o_orderkey % 9 END AS DOUBLE) qty,

@@ -1,11 +1,13 @@
 """Golden cases of the quality rules: a base order with one change each."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.functions import rules as R
 from ledgerloom.operators.classify import FIELDS, classify, constraint_violations
 
 BASE = {
@@ -15,29 +17,29 @@ BASE = {
     "payment_amount": "٩٥٠٠٫٥", "currency": "ريال يمني", "total_amount": "64,250.00",
     "items_json": json.dumps([{"sku": "P-9", "name": "قلم", "qty": "٤", "unit_price": "ألفين", "total": "1"}], ensure_ascii=False),
 }
-USD = {"currency": "USD", "total_amount": "20", "payment_amount": "20", "delivery_cost": "0", "items_json": '[{"sku":"S","name":"n","qty":2,"unit_price":10,"total":20}]'}
+USD = {"currency": "USD", "total_amount": "36", "payment_amount": "36", "delivery_cost": "0", "items_json": '[{"sku":"S","name":"n","qty":3,"unit_price":12,"total":36}]'}
 CASES = [
     ({}, {"quality_status": "corrected", "customer_email": "salem@shop.net", "customer_phone": "733000111", "currency": "YER", "order_date": "2024-09-14", "delivery_cost": 1500.0, "payment_amount": 9500.5, "total_amount": 9500.0}, {"DATE_STANDARDIZE", "CURRENCY_TO_YER", "PHONE_REMOVE_SPACES_AND_COUNTRY_CODE", "EMAIL_REPEATED_SYMBOLS", "PRICE_KNOWN_WORD", "TOTAL_RECALCULATE_FROM_ITEMS_AND_DELIVERY"}, set()),
-    ({"order_date": "31/02/2025"}, {"quality_status": "quarantined"}, set(), {"INVALID_IMPOSSIBLE_DATE"}),
+    ({"order_date": "30/02/2024"}, {"quality_status": "quarantined"}, set(), {"INVALID_IMPOSSIBLE_DATE"}),
     ({"order_date": None}, {"quality_status": "quarantined"}, set(), {"INVALID_IMPOSSIBLE_DATE"}),
-    ({"items_json": '{"sku":"not-a-list"}'}, {}, set(), {"CORRUPTED_ITEMS_JSON"}),
+    ({"items_json": '{"sku":"alone"}'}, {}, set(), {"CORRUPTED_ITEMS_JSON"}),
     ({"items_json": "[1"}, {}, set(), {"CORRUPTED_ITEMS_JSON"}),
     ({"items_json": '[{"sku":"a","qty":1,"unit_price":2}, 5]'}, {}, set(), {"CORRUPTED_ITEMS_JSON"}),
     ({"items_json": "[]"}, {}, set(), {"EMPTY_ITEMS"}),
-    ({"items_json": '[{"sku":"S","qty":"-2","unit_price":"5"}]'}, {"quality_status": "quarantined"}, set(), {"AMBIGUOUS_NEGATIVE_VALUE"}),
+    ({"items_json": '[{"sku":"S","qty":"-3","unit_price":"7"}]'}, {"quality_status": "quarantined"}, set(), {"AMBIGUOUS_NEGATIVE_VALUE"}),
     ({"items_json": '[{"sku":"S","qty":"x","unit_price":"5"}]'}, {}, set(), {"UNKNOWN_PRICE"}),
-    (USD, {"quality_status": "corrected", "currency": "YER", "total_amount": 10600.0, "payment_amount": 10600.0}, {"CURRENCY_CONVERSION_TO_YER", "CURRENCY_VALUE_CONVERSION"}, set()),
-    ({"order_date": "31-12-2024 15:30:45"}, {"order_date": "2024-12-31"}, set(), set()),
-    ({"order_date": "1735689600000"}, {"order_date": "2025-01-01"}, set(), set()),
-    ({"order_date": "2025-05-01"}, {"order_date": "2025-05-01"}, set(), set()),
-    ({"order_date": "24 Feb 2025 21:29:00"}, {"order_date": "2025-02-24"}, set(), set()),
-    ({"order_date": "2025-01-31T10:20:30"}, {"order_date": "2025-01-31T10:20:30"}, set(), set()),
-    ({"customer_email": "test@gamil.com."}, {"customer_email": "test@gmail.com"}, set(), set()),
+    (USD, {"quality_status": "corrected", "currency": "YER", "total_amount": 19080.0, "payment_amount": 19080.0}, {"CURRENCY_CONVERSION_TO_YER", "CURRENCY_VALUE_CONVERSION"}, set()),
+    ({"order_date": "17-11-2023 08:09:10"}, {"order_date": "2023-11-17"}, set(), set()),
+    ({"order_date": "1709251200000"}, {"order_date": "2024-03-01"}, set(), set()),
+    ({"order_date": "2023-07-04"}, {"order_date": "2023-07-04"}, set(), set()),
+    ({"order_date": "9 Oct 2023 07:08:09"}, {"order_date": "2023-10-09"}, set(), set()),
+    ({"order_date": "2023-09-30T11:12:13"}, {"order_date": "2023-09-30T11:12:13"}, set(), set()),
+    ({"customer_email": "huda.k@gamil.com."}, {"customer_email": "huda.k@gmail.com"}, set(), set()),
     ({"customer_email": ""}, {}, set(), {"INVALID_EMAIL"}),
     ({"customer_email": None}, {}, set(), {"INVALID_EMAIL"}),
-    ({"customer_phone": "0771234567"}, {"customer_phone": "771234567"}, set(), set()),
-    ({"customer_phone": "967771234567"}, {"customer_phone": "771234567"}, set(), set()),
-    ({"customer_phone": "+967 77 123 4567"}, {"customer_phone": "771234567"}, set(), set()),
+    ({"customer_phone": "0735550101"}, {"customer_phone": "735550101"}, set(), set()),
+    ({"customer_phone": "967735550102"}, {"customer_phone": "735550102"}, set(), set()),
+    ({"customer_phone": "+967 73 555 0103"}, {"customer_phone": "735550103"}, set(), set()),
     ({"total_amount": "-9500"}, {"total_amount": 9500.0, "quality_status": "corrected"}, {"NEGATIVE_SIGN_TYPO_REPAIR"}, set()),
     ({"total_amount": "-7"}, {"quality_status": "quarantined"}, set(), {"AMBIGUOUS_NEGATIVE_VALUE"}),
     ({"total_amount": "NaN"}, {}, set(), {"UNKNOWN_PRICE"}),
@@ -48,12 +50,12 @@ CASES = [
     ({"payment_amount": "", "total_amount": "9500"}, {"payment_amount": 9500.0}, {"INFER_PAYMENT_AMOUNT_FROM_TOTAL"}, set()),
     ({"city": "صنعا"}, {"city": "صنعاء"}, {"TEXT_NORMALIZATION"}, set()),
     ({"city": " صنعا "}, {"city": "صنعاء"}, set(), set()),
-    ({"customer_id": "", "order_id": "طلب-100006"}, {"customer_id": "عميل-6"}, {"INFER_CUSTOMER_ID_FROM_ORDER_ID"}, set()),
-    ({"order_id": "", "customer_id": "عميل-6"}, {"order_id": "طلب-100006"}, {"INFER_ORDER_ID_FROM_CUSTOMER_ID"}, set()),
-    ({"order_id": "طلب 100021", "customer_id": "عميل ۲۱"}, {"order_id": "طلب-100021", "customer_id": "عميل-21"}, {"STANDARDIZE_ORDER_ID", "STANDARDIZE_CUSTOMER_ID"}, set()),
+    ({"customer_id": "", "order_id": "طلب-100345"}, {"customer_id": "عميل-345"}, {"INFER_CUSTOMER_ID_FROM_ORDER_ID"}, set()),
+    ({"order_id": "", "customer_id": "عميل-48"}, {"order_id": "طلب-100048"}, {"INFER_ORDER_ID_FROM_CUSTOMER_ID"}, set()),
+    ({"order_id": "طلب 100732", "customer_id": "عميل ۷۳۲"}, {"order_id": "طلب-100732", "customer_id": "عميل-732"}, {"STANDARDIZE_ORDER_ID", "STANDARDIZE_CUSTOMER_ID"}, set()),
     ({"order_id": "", "customer_id": "", "items_json": "[]"}, {"quality_status": "quarantined"}, set(), {"MISSING_ORDER_ID", "MISSING_CUSTOMER_ID", "MULTIPLE_CONFLICTING_ERRORS"}),
-    ({"customer_name": "الدكتور محمد علي"}, {"customer_name": "محمد علي"}, {"NAME_REMOVE_TITLES"}, set()),
-    ({"customer_name": "Dr. John Doe"}, {"customer_name": "John Doe"}, set(), set()),
+    ({"customer_name": "الدكتور سالم ناجي"}, {"customer_name": "سالم ناجي"}, {"NAME_REMOVE_TITLES"}, set()),
+    ({"customer_name": "Dr. Amal Saleh"}, {"customer_name": "Amal Saleh"}, set(), set()),
     ({"payment_method": "cash"}, {"payment_method": "نقدًا عند التسليم"}, set(), set()),
     ({"payment_method": "نقدًا عند التسليم"}, {"payment_method": "نقدًا عند التسليم"}, set(), set()),
     ({"payment_method": "كريمي"}, {"payment_method": "محفظة إلكترونية"}, set(), set()),
@@ -89,10 +91,44 @@ def test_golden(results, n):
     assert row["raw_record"]["order_id"] == (BASE | CASES[n][0])["order_id"]
 
 
+DATES = {
+    "Feb 24, 2025": "2025-02-24", "24/02/25": "2025-02-24", "2025-02-24 9:15 PM": "2025-02-24", "Monday 24 February 2025": "2025-02-24", "24-Feb-2025": "2025-02-24",
+    "24.2.2025 10:00": "2025-02-24", "2025-02-24 10:00:00.5": "2025-02-24", "2025-02-24T10:00:00+03:00": "2025-02-24T10:00:00+03:00", "2025-02-24T10:15Z": "2025-02-24T10:15:00+00:00",
+    "2025-02-24T10:15:30,5": "2025-02-24T10:15:30.500000", "02/24/2025": "2025-02-24", "03/02/2025": "2025-02-03", "2025/24/02": "2025-02-24", "24th of February 2025 at 9pm": "2025-02-24", "24feb2025": "2025-02-24",
+    "31.12.99": "1999-12-31", "99-12-31": "1999-12-31", "31.12.75": "2075-12-31", "31.12.76": "1976-12-31", "2nd Jan '25": "2025-01-02", "12 am 1 Jan 2025": "2025-01-01", "٢٤ Feb ٢٠٢٥": "2025-02-24",
+    "2025-02-30": None, "Feb 30 2025": None, "13/13/2025": None, "Feb 2025": None, "10:00": None, "tomorrow": None, "2025-02-24 25:00": None, "2025-02-24 13:00 pm": None, "1 2 3 4": None, "24 Febtober 2025": None, "": None,
+}
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Aden", "America/Los_Angeles"])
+def test_free_form_dates_whatever_the_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        df = spark.createDataFrame([(t,) for t in DATES], "t string").repartition(3)
+        assert {r.t: r.d for r in df.select("t", R.normalize_date(F.col("t")).alias("d")).collect()} == DATES
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_no_text_is_slow(spark):
+    """A megabyte of what a pattern could backtrack over, in every field."""
+    n = 200_000
+    fills = [" " * n, "1" * n, "USD" * (n // 3), "." * n, "1 " * (n // 2), "@." * (n // 2), "ريال " * (n // 5), "0" * n, "Feb 1 " * (n // 6), "[" * 1000, "-" * n, "Dr. " * (n // 4)]
+    schema = ", ".join(f"{c} string" for c in FIELDS)
+    df = spark.createDataFrame([tuple(f"1{x}x" for _ in FIELDS) for x in fills] + [tuple(x for _ in FIELDS) for x in fills], schema).repartition(8)
+    began = time.time()
+    assert classify(df).select("quality_status", "error_codes", F.size("corrections")).where("quality_status = 'quarantined'").count() == 24
+    assert time.time() - began < 30  # 24 rows of 3 MB
+    began = time.time()
+    one = spark.createDataFrame([tuple("1" + " " * 1_000_000 + "x" for _ in FIELDS)], schema)
+    assert classify(one).where("quality_status = 'quarantined'").count() == 1 and time.time() - began < 15
+
+
 def test_items_are_typed(results):
     item = results[0]["items_json"][0]
     assert (float(item["qty"]), float(item["unit_price"]), float(item["total"])) == (4.0, 2000.0, 8000.0)
-    assert float(results[9]["items_json"][0]["unit_price"]) == 5300.0
+    assert float(results[9]["items_json"][0]["unit_price"]) == 6360.0
 
 
 def test_partitions_do_not_matter(spark):
