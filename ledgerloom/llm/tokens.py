@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import tempfile
@@ -27,7 +28,8 @@ from .common import checkpointed, pieces, table
 
 TOGETHER = 64  #: blocks that are coded in one go
 END = 0  #: the id behind each document
-KNOWN = 400_000  #: words whose ids a worker keeps; beyond it it starts anew
+KNOWN = 300_000  #: words whose ids a process keeps, twice: as many as it met last and as many before
+LONG = 64  #: characters; longer words of other scripts or signs aren't kept
 _SPACE = "\t-\r \x1c-\x1f\x85\xa0  -     　"
 _ODD = f"[{_SPACE}] "  # a space behind white space
 _CUT = re.compile(f"(?<=[^{_SPACE}]) ")
@@ -59,73 +61,101 @@ class Words:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(256 + hidden.index(b)) for b in hidden}  # how such a vocabulary spells bytes
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # what words with a space before them are
+        self.older: dict[str, bytes] = {}
         self.marks = {m: self.raw([m])[0] for m in _MARKS}
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
-        """Keeps the ids of words with a space before them."""
-        if len(self.known) + len(words) > KNOWN:
-            self.known.clear()
-        known, tokenize, latin = self.known, self.whole.model.tokenize, _LATIN.fullmatch
+    def units(self, words: list[str], before: str) -> list[bytes]:
+        """The ids of words of Latin letters, `before` before each."""
+        if not words:
+            return []
+        tokenize, kind = self.whole.model.tokenize, self.kind
+        spelled = "\n".join(before + w for w in words).encode().decode("latin-1").translate(self.letters | {10: "\n"}).split("\n")
+        return [np.array([t.id for t in tokenize(s)], kind).tobytes() for s in spelled]
+
+    def learn(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words with a space before them, which are kept; when there are too many, those that weren't met again go."""
+        if len(self.known) > KNOWN:
+            self.known, self.older = {}, self.known
+        known, older, latin = self.known, self.older, _LATIN.fullmatch
         others, marked, plain = [], [], []
         for w in words:
-            if w in known:
-                continue
-            if latin(w):
+            if w in older:
+                known[w] = older[w]
+            elif latin(w):
                 plain.append(w)
             elif w and w[-1] in self.marks and latin(w, 0, len(w) - 1):
                 marked.append(w)
             else:
                 others.append(w)
         plain += {w[:-1] for w in marked} - known.keys() - set(plain)
-        spelled = "\n".join(f" {w}" for w in plain).encode().decode("latin-1").translate(self.letters | {10: "\n"}).split("\n") if plain else []
-        for w, s in zip(plain, spelled):
-            known[w] = np.array([t.id for t in tokenize(s)], self.kind).tobytes()
+        known.update(zip(plain, self.units(plain, " ")))
         for w in marked:
             known[w] = known[w[:-1]] + self.marks[w[-1]]
-        known.update(zip(others, self.raw([f" {w}" for w in others])))
+        long = {}
+        for w, ids in zip(others, self.raw([f" {w}" for w in others])):
+            (known if len(w) <= LONG else long)[w] = ids
+        return [known[w] if w in known else long[w] for w in words]
+
+    def firsts(self, words: list[str]) -> list[bytes]:
+        """The ids of words at the beginning of a text."""
+        plain = [w for w in words if _LATIN.fullmatch(w)]
+        others = [w for w in words if not _LATIN.fullmatch(w)]
+        found = dict(zip(plain, self.units(plain, ""))) | dict(zip(others, self.raw(others)))
+        return [found[w] for w in words]
 
     def ids(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text, as bytes of self.kind (null: none)."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
         cut = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
-        lists, starts = cut.flatten(), cut.offsets.to_numpy().astype(np.int64)
-        words = lists.dictionary_encode()
-        distinct, codes = words.dictionary.to_pylist(), words.indices.to_numpy()
-        firsts = np.zeros(len(codes), bool)
-        firsts[starts[:-1]] = True  # they have no space before them; each text has one
-        used = np.unique(codes[~firsts]) if len(codes) else codes
-        self.learn([distinct[c] for c in used])
-        raw = [b""] * len(distinct)
+        starts = cut.offsets.to_numpy().astype(np.int64)
+        words = cut.flatten().dictionary_encode()
+        distinct, codes = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
+        inner = np.ones(len(codes), bool)
+        inner[starts[:-1]] = False  # they have no space before them; each text has one
+        rest = codes[inner]
+        used = np.flatnonzero(np.bincount(rest, minlength=len(distinct))).tolist()
+        raw: list[bytes | None] = [b""] * len(distinct)
+        get, missing = self.known.get, []
         for c in used:
-            raw[c] = self.known[distinct[c]]
+            raw[c] = found = get(distinct[c])
+            if found is None:
+                missing.append(c)
+        for c, found in zip(missing, self.learn([distinct[c] for c in missing])):
+            raw[c] = found
         size = np.array([len(r) for r in raw], np.int64) // self.kind.itemsize
         flat, begin = np.frombuffer(b"".join(raw), self.kind), np.cumsum(size) - size
-        rest = codes[~firsts]
         n = size[rest]
         ends = np.concatenate([[0], np.cumsum(n)])
         out = flat[np.repeat(begin[rest] - ends[:-1], n) + np.arange(ends[-1])]
-        heads = self.raw([distinct[c] for c in codes[starts[:-1]]])
+        heads = self.firsts([distinct[c] for c in codes[starts[:-1]].tolist()])
         at = ends[starts - np.arange(len(starts))].tolist()  # of each text, its words but the first
         result = [head + out[a:b].tobytes() for head, a, b in zip(heads, at, at[1:])]
         for i in np.flatnonzero(odd).tolist():
             first, *more = _CUT.split(texts[i].as_py())
-            self.learn(list(dict.fromkeys(more)))
-            result[i] = b"".join([*self.raw([first]), *(self.known[w] if w in self.known else self.raw([f" {w}"])[0] for w in more)])
+            several = list(dict.fromkeys(more))
+            known = dict(zip(several, self.learn(several)))
+            result[i] = b"".join([*self.raw([first]), *(known[w] for w in more)])
         return result
 
 
+@functools.lru_cache(1)
+def words_of(path: str) -> Words:
+    """The words that this process knows; it keeps them from task to task."""
+    return Words(path)
+
+
 def _tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
     """doc_id, shard, at (ids before it in its shard), n and ids of sorted documents; each partition is a shard."""
 
     def run(batches):
-        words, shard, at = Words(path), TaskContext.get().partitionId(), 0
+        words, shard, at = words_of(path), TaskContext.get().partitionId(), 0
         tail = np.array([end], words.kind).tobytes()
-        for batch in pieces(batches, 4 << 20):
+        for batch in pieces(batches, 8 << 20):
             ids = [x + tail for x in words.ids(batch.column("text"))]
             n = np.array([len(x) for x in ids], np.int64) // words.kind.itemsize
             before = at + np.cumsum(n) - n

@@ -82,6 +82,7 @@ def test_words_give_the_same_ids_as_whole_texts():
 
 def test_a_full_memory_of_words_changes_nothing(monkeypatch):
     monkeypatch.setattr(tokens, "KNOWN", 10)
+    monkeypatch.setattr(tokens, "LONG", 5)
     words = tokens.Words(tokens.tokenizer_path())
     texts = [f"one{i} two{i}, three four{i % 3}.\n five" for i in range(50)]
     assert [np.frombuffer(x, words.kind).tolist() for t in texts for x in words.ids(pa.array([t]))] == whole_ids(texts)
