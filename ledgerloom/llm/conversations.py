@@ -15,7 +15,6 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -251,8 +250,8 @@ _SCHEMA = "part int, piece long, whole boolean, " + ", ".join(f"{c} {'string' if
 
 def _cut(batches, most_rows: int, most_bytes: int):
     """Pieces from sorted rows: whole conversations repaired, of others (the first and the last of a partition, and long ones) what step 3 needs."""
-    part, number, ready, size = TaskContext.get().partitionId(), 0, [], 0
-    piece, name, kind, open_ended = None, None, None, True  # open_ended: the conversation may have more pieces than this one
+    number, ready, size = 0, [], 0
+    piece, part, name, kind, open_ended = None, None, None, None, True  # open_ended: the conversation may have more pieces than this one
 
     def done(whole: bool):
         nonlocal number, size
@@ -275,9 +274,9 @@ def _cut(batches, most_rows: int, most_bytes: int):
 
     for batch in pieces(batches, 2 << 20):
         kind = batch.schema.field(ID).type
-        for row in zip(*(batch.column(c).to_pylist() for c in (ID, "turn", "role", "text", "copies", "code", "blank", "later"))):
+        for row in zip(*(batch.column(c).to_pylist() for c in (ID, "turn", "role", "text", "copies", "code", "blank", "later", "part"))):
             if piece is None:
-                piece = Piece()
+                piece, part = Piece(), row[8]
             elif row[0] != name:
                 done(not open_ended)
                 piece, open_ended = Piece(), False
@@ -285,7 +284,7 @@ def _cut(batches, most_rows: int, most_bytes: int):
                 done(False)
                 piece, open_ended = Piece(), True
             name = row[0]
-            piece.add(*row[1:])
+            piece.add(*row[1:8])
             if size > 8 << 20:
                 yield batch_of()
     if piece is not None:
@@ -376,7 +375,8 @@ def repair(conversations: DataFrame, copies: str | None = None, piece_rows: int
     kind = marked.schema[ID].dataType.simpleString()
     # beginnings of role and text order rows as the whole ones do
     dealt = marked.repartitionByRange(ID, "turn", F.substring("role", 1, 8), F.substring("text", 1, 24)).sortWithinPartitions(ID, "turn", "role", "text")
-    made = checkpointed(dealt.select(ID, "turn", "role", "text", "copies", "code", "blank", "later").mapInArrow(lambda b: _cut(b, piece_rows, piece_bytes), f"{ID} {kind}, {_SCHEMA}"))
+    # a task that writes the checkpoint may run several of these partitions: each row has the number of its own
+    made = checkpointed(dealt.select(ID, "turn", "role", "text", "copies", "code", "blank", "later", F.spark_partition_id().alias("part")).mapInArrow(lambda b: _cut(b, piece_rows, piece_bytes), f"{ID} {kind}, {_SCHEMA}"))
     gaps = F.coalesce(F.col("high") - F.col("low") + 1 - F.col("turns"), F.lit(0)).alias("gaps")
     whole = made.where("whole").select(ID, F.lit(0).cast("long").alias("nth"), F.lit(1).cast("long").alias("pieces"), gaps, "blank", "duplicate", "truncated", "illegal", "cost", "audit", "rows")
     cut = made.where("not whole")

@@ -182,14 +182,17 @@ def _runner(shared, rate: float, shortest: int, schema: str):
 
 
 def without_matches(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
-    """The rows of docs in which no item, long or short, occurs (see matches()); rows with a null doc_id stay or go by their text too.
+    """The rows of docs in which no item, long or short, occurs (see matches()).
 
-    Ids may repeat: a row goes if any row of its id matches. The contaminated ids are joined as an anti join, which
-    Spark broadcasts where their size allows.
+    Each row stays or goes by its own text, whatever its id: ids may be null or repeat with other texts. Rows with null texts stay. Texts are told apart by
+    128 bits of hashes; those of contaminated texts are joined as an anti join, which Spark broadcasts where their size allows. Columns pass whatever their names.
     """
-    bad_id = apart(docs, "_bad")[0]
-    bad = checkpointed(matches(docs, items, rate).select(F.col("doc_id").alias(bad_id)).distinct())
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(bad_id)), "left_anti")
+    a, b = apart(docs, "_bad_a", "_bad_b")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    h = F.xxhash64(text), F.xxhash64(F.lit(7), text)
+    judged = docs.select(F.struct(h[0].alias("a"), h[1].alias("b")).alias("doc_id"), "text")
+    bad = checkpointed(matches(judged, items, rate).select(F.col("doc_id.a").alias(a), F.col("doc_id.b").alias(b)).distinct())
+    return docs.join(bad, (h[0] == F.col(a)) & (h[1] == F.col(b)), "left_anti")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,33 +36,47 @@ WHOLE = frozenset("article main".split())
 #: Elements that an element of the key ends, up to the elements after the bar.
 CLOSES = {"li": ("li", "ul ol"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr"), "th": ("td th", "tr"), "option": ("option", "select")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
-#: A class, id or role marks what isn't the article if all its words are in one of these lists, and one in the first.
-ASIDE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar nav navbar navigation menu "
-    "submenu breadcrumb breadcrumbs masthead header footer cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe "
-    "subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond "
+#: Words of a class, id or role that say what isn't the article: readers' comments, adverts, and the rest.
+COMMENTS = frozenset("comment comments commentlist usercomments disqus reply replies respond".split())
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense banner sponsor sponsored sponsors promo promos promotion promoted".split())
+OTHERS = frozenset("sidebar breadcrumb breadcrumbs cookie cookies consent gdpr newsletter related recommended recommendations social share sharing".split())
+#: A class or role with one of these words marks an element, whatever else it says; ids name sections too ("market-share"), so that of them all words must be known.
+STRONG = COMMENTS | ADVERTS | OTHERS
+ASIDE = STRONG | frozenset(
+    "nav navbar navigation menu submenu masthead header footer notice notices popup modal overlay subscribe subscription signup login "
     "widget widgets toolbar pagination pager skip copyright contentinfo complementary search alert dialog".split()
 )
+#: Words that say nothing of an element's part in the page.
 PLAIN = frozenset(
-    "box container wrapper wrap area block section list item items bar panel pane site page post entry article global main top bottom left right "
-    "inner outer primary secondary mobile desktop sticky fixed floating footer links link buttons button form".split()
+    "box container wrapper wrap area block section list item items bar panel pane site page post posts entry article articles global main top bottom left right "
+    "inner outer primary secondary mobile desktop sticky fixed floating links link buttons button form slot unit media thread reader readers user users visitor "
+    "stories story news feed module component row col column grid card cards zone count body text title icon icons more latest popular of the and for your our".split()
 )
+#: A name with one of these tells how a page is laid out, or what an article is about.
+LAYOUT = frozenset("with has no without enabled disabled open closed hoc category tag topic format layout".split())
 TITLES = frozenset("header masthead".split())  # inside an article they hold its title
 KEPT = frozenset("html body main".split())  # whatever their classes say
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>|\Z)|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTR = re.compile(r"(?:^|\s)(class|id|role|itemprop|itemtype)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _MASK = (1 << 64) - 1
 _DIGITS = re.compile(r"\d+")
 
 
-def names_aside(value: str) -> set[str]:
-    """The words of ASIDE for which one of the names in an attribute's value marks its element as no part of the article."""
+def names_aside(value: str, strict: bool = False) -> set[str]:
+    """The words of ASIDE for which one of the names in an attribute's value marks its element as no part of the article.
+
+    A name does if all its words are known and one is in ASIDE or, unless strict, if one is in STRONG; none does that has a word of LAYOUT.
+    """
     found: set[str] = set()
     for name in value.split():
-        words = {w.lower() for w in _WORDS.findall(name)}
-        if words and words <= ASIDE | PLAIN:
+        words = {w.lower() for w in _WORDS.findall(name.rpartition("/")[2])}
+        if words & LAYOUT:
+            continue
+        if words <= ASIDE | PLAIN:
             found |= words & ASIDE
+        elif not strict:
+            found |= words & STRONG
     return found
 
 
@@ -106,7 +120,10 @@ def parse(html: str) -> Page:
     text: list[str] = []
     found: list[tuple[int, str, int, int]] = []  # as blocks, and the innermost element left out by its name (-1: none)
     aside_in: list[int] = []  # the next outer one of each
+    kinds: list[str] = []  # of each: comments, adverts or others
+    holds: list[bool] = []  # whether it holds a main element, or, unless it is for comments, an article
     here, aside = -1, -1
+    has_whole = False  # an article or main element that isn't left out
     out = links = linked = 0
     at, end = 0, len(html)
 
@@ -187,11 +204,11 @@ def parse(html: str) -> Page:
         classes = ids = ""
         if attrs and "=" in attrs:
             for a in _ATTR.finditer(attrs):
-                value = a[2] or a[3] or a[4] or ""
-                marks |= names_aside(value)
-                if a[1].lower() == "class":
+                value, which = a[2] or a[3] or a[4] or "", a[1].lower()
+                marks |= names_aside(value, which == "id" or tag in WHOLE)
+                if which == "class":
                     classes = ".".join(sorted(value.lower().split()))
-                elif a[1].lower() == "id":
+                elif which == "id":
                     ids = value.lower()
         in_article = bool(opened.get("article"))
         left_out = tag in DROPPED and not (tag == "header" and in_article)
@@ -199,7 +216,15 @@ def parse(html: str) -> Page:
         if named:
             flush()
             aside_in.append(aside)
+            kinds.append("comments" if marks & COMMENTS else "adverts" if marks & ADVERTS else "others")
+            holds.append(False)
             aside = len(aside_in) - 1
+        elif tag in WHOLE and not out:
+            k = aside
+            while k >= 0 and not (holds[k] and tag != "main"):
+                holds[k] |= tag == "main" or kinds[k] != "comments"
+                k = aside_in[k]
+            has_whole |= all(holds[k] for k in _chain(aside_in, aside))
         number = -1
         if tag in CONTAINERS:
             number = len(page.path)
@@ -213,7 +238,7 @@ def parse(html: str) -> Page:
         out += left_out
         links += tag == "a"
     flush()
-    # an element that holds most of the page is no sidebar, whatever its name
+    # comments and adverts are left out however long they are; of other names the element may be the page's frame
     worth = [0] * len(aside_in)
     for _, block, linked, k in found:
         if k >= 0:
@@ -224,11 +249,23 @@ def parse(html: str) -> Page:
     most = sum(max(0, len(block) - linked) for _, block, linked, _ in found) / 2
     dropped: list[bool] = []
     for k, up in enumerate(aside_in):
-        dropped.append(worth[k] <= most or (up >= 0 and dropped[up]))
-    page.blocks = [(n, block, linked) for n, block, linked, k in found if k < 0 or not dropped[k]]
+        frame = holds[k] or (kinds[k] == "others" and not has_whole and worth[k] > most)
+        dropped.append(not frame or (up >= 0 and dropped[up]))
+    kept = [(n, block, linked) for n, block, linked, k in found if k < 0 or not dropped[k]]
+    if not kept:  # nothing but what is named so: what isn't comments or adverts, or else all
+        plain = [(n, block, linked) for n, block, linked, k in found if all(kinds[x] == "others" for x in _chain(aside_in, k))]
+        kept = plain or [(n, block, linked) for n, block, linked, _ in found]
+    page.blocks = kept
     return page
 
 
+def _chain(outer: list[int], k: int):
+    """k and all around it."""
+    while k >= 0:
+        yield k
+        k = outer[k]
+
+
 def best_paths(page: Page) -> list[int]:
     """The path of the container with the highest score: characters outside links of its blocks, and less of those in containers
     below it. Blocks inside an article or a main element count for the outermost of these alone. Behind it come the
@@ -303,8 +340,9 @@ def extract(pages: DataFrame, least: float = LEAST) -> DataFrame:
     """page_id, url, text, n_chars of each row (page_id, url, html): the article's blocks joined by two line feeds.
 
     Left out are scripts, styles, comments of the markup, and elements that are menus, headers, footers, sidebars,
-    notices, adverts, forms or reader comments by tag, or by a class, id or role that says nothing else and unless they hold most
-    of the page's text. The header inside an article element is part of it. White space inside a block becomes one space;
+    notices, adverts, forms or reader comments by tag, or by the words of a class, id, role or item type (see names_aside()): comments and adverts however
+    long they are, others unless they hold an article or main element or, on a page without one, most of its text. A page with nothing else keeps that.
+    The header inside an article element is part of it. White space inside a block becomes one space;
     character references are decoded; a page that breaks off inside a tag loses that tag alone.
 
     Null or empty html, and pages without text, give an empty text and 0. Null urls and urls without a host share

@@ -2,7 +2,7 @@
 language whose dictionary makes it smallest wins.
 
 A dictionary is raw content: pieces of documents of that language, drawn by a hash of their ids. The draw is bounded
-(PIECES pieces of PIECE characters for each language), whatever the size of the table, and the dictionaries are the
+(PIECES pieces of PIECE characters for each language, MOST for all), whatever the size of the table, and the dictionaries are the
 only thing sent to the executors. Dictionaries and texts are lower-cased letters with one space for anything else, so
 that capitals, digits and marks don't hide the words. Texts are cut into chunks that are compressed on their own, so that what a long
 text says itself doesn't take the dictionary's place; the sizes of all chunks of the whole text are added up.
@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import held_out, table
+from .common import checkpointed, held_out, table
 
 PIECES = 256  #: pieces of text in a dictionary
 PIECE = 1000  #: characters of a piece
-LANGUAGES = 500  #: most languages that a model may have
+MOST = 128_000  #: pieces of all languages together; with more languages than MOST / PIECES each has fewer pieces, one at least
 CHUNK = 1024  #: bytes compressed at a time
 LEVEL = 5
 MARGIN = 0.01  #: a best size less than this share below the second best is rejected
@@ -32,25 +32,31 @@ def letters(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")
 
 
-def learn(docs: DataFrame, pieces: int = PIECES, piece: int = PIECE) -> dict[str, bytes]:
+def learn(docs: DataFrame, pieces: int = PIECES, piece: int = PIECE, most: int = MOST) -> dict[str, bytes]:
     """The dictionary of each language, from rows (doc_id, text, lang) with a lang.
 
     Each of `pieces` hash buckets of a language gives, of its documents with a letter, the one with the least hash among
     those of at least 200 characters, or among the shorter ones where it has no such, and of it `piece` characters from
-    a place that the hash picks. So every language with a letter in some document has a dictionary. Languages come by their number of documents, then in code-point order. Raises if there are over LANGUAGES of them.
+    a place that the hash picks. So every language with a letter in some document has a dictionary. Languages come by their number of documents, then in code-point order.
+    Where `most` pieces don't suffice for all languages each has fewer.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), "text")
     bucket = F.pmod("h", F.lit(pieces))
     start = (F.pmod(F.shiftrightunsigned("h", 16), F.greatest(F.lit(1), F.length("text") - piece)) + 1).cast("int")
     first = F.min(F.struct((F.length("text") < 200).alias("short"), "h"))
-    least = rows.groupBy("lang", bucket.alias("b")).agg(first["h"].alias("h"), F.count("*").alias("n"))
-    found = least.limit(LANGUAGES * pieces + 1).collect()
+    least = rows.groupBy("lang", bucket.alias("b")).agg(first.alias("first"), F.count("*").alias("n"))
+    found = least.select("lang", "first.h", "n").limit(most + 1).collect()
+    if len(found) > most:  # many languages: buckets are joined until all have room
+        least = checkpointed(least)
+        languages, share = least.select("lang").distinct().count(), pieces
+        while share > 1 and languages * share > most:
+            share = -(-share // 2)
+        joined = least.groupBy("lang", F.pmod("b", F.lit(share)).alias("b")).agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+        found = joined.select("lang", "first.h", "n").collect()  # `most` rows, or one for each language
     picked = [(r["lang"], r["h"]) for r in found]
-    if len({x for x, _ in picked}) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
     if not picked:
         return {}
-    # at most LANGUAGES * pieces rows, sent to all executors
+    # at most `most` rows, or one for each language, sent to all executors
     wanted = F.broadcast(docs.sparkSession.createDataFrame(picked, "lang string, h long"))
     chosen = rows.join(wanted, ["lang", "h"]).select("lang", "h", letters(F.substring("text", start, F.lit(piece))).alias("t")).distinct()
     out: dict[str, list[bytes]] = {}

@@ -195,8 +195,8 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Dat
     """docs with text_col's valid personal values replaced by their pseudonyms, and pii, an array of
     struct(kind, value, pseudonym) in the order of the text.
 
-    Numbers that aren't valid (card numbers with a wrong check digit, impossible dates, octets over 255) stay, as do
-    addresses whose domain has over 126 labels. Local part and domain of an address are permuted apart; its last label
+    Numbers that aren't valid (card numbers with a wrong check digit, impossible dates, octets over 255) stay. Of a domain of over 126 labels, more than
+    any that exists has, the first 126 are permuted and the rest stays. Local part and domain of an address are permuted apart; its last label
     stays. Null texts stay null with an empty array, empty ones empty. Texts may have any length. Rows may repeat; a column
     pii of docs is replaced, other columns pass untouched whatever their names.
     """

@@ -207,6 +207,14 @@ def test_repairs_are_those_of_brute_force_however_conversations_are_cut(spark, t
         got = C.digests(C.repair(C.damaged(df), "copies", most)).collect()
         assert len(got) == len(expected) and {r[0]: tuple(r)[1:] for r in got} == expected
     assert C.digests(C.repair(df.limit(0))).count() == 0
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # more partitions than files of a checkpoint
+    spark.conf.set("spark.sql.shuffle.partitions", "150")
+    try:
+        got = C.digests(C.repair(C.damaged(df), "copies", 7)).collect()
+        assert len(got) == len(expected) and {r[0]: tuple(r)[1:] for r in got} == expected
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_repaired_turns_are_valid(spark, talks):
