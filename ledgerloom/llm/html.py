@@ -40,8 +40,10 @@ CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSE
 COMMENTS = frozenset("comment comments commentlist usercomments disqus reply replies respond".split())
 ADVERTS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense banner sponsor sponsored sponsors promo promos promotion promoted".split())
 OTHERS = frozenset("sidebar breadcrumb breadcrumbs cookie cookies consent gdpr newsletter related recommended recommendations social share sharing".split())
-#: A class or role with one of these words marks an element, whatever else it says; ids name sections too ("market-share"), so that of them all words must be known.
+#: A class or role with one of these words marks an element, whatever else it says; ids name sections too, so that of them all words must be known.
+ENOUGH = COMMENTS | frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense sponsored promo promos".split())
 STRONG = COMMENTS | ADVERTS | OTHERS
+FRAMES = frozenset(["sidebar"])  # words of STRONG that name the frame of a page too
 ASIDE = STRONG | frozenset(
     "nav navbar navigation menu submenu masthead header footer notice notices popup modal overlay subscribe subscription signup login "
     "widget widgets toolbar pagination pager skip copyright contentinfo complementary search alert dialog".split()
@@ -66,7 +68,7 @@ _DIGITS = re.compile(r"\d+")
 def names_aside(value: str, strict: bool = False) -> set[str]:
     """The words of ASIDE for which one of the names in an attribute's value marks its element as no part of the article.
 
-    A name does if all its words are known and one is in ASIDE or, unless strict, if one is in STRONG; none does that has a word of LAYOUT.
+    A name does if all its words are known and one is in ASIDE or, unless strict, if one is in ENOUGH; none does that has a word of LAYOUT.
     """
     found: set[str] = set()
     for name in value.split():
@@ -76,7 +78,7 @@ def names_aside(value: str, strict: bool = False) -> set[str]:
         if words <= ASIDE | PLAIN:
             found |= words & ASIDE
         elif not strict:
-            found |= words & STRONG
+            found |= words & ENOUGH
     return found
 
 
@@ -120,10 +122,10 @@ def parse(html: str) -> Page:
     text: list[str] = []
     found: list[tuple[int, str, int, int]] = []  # as blocks, and the innermost element left out by its name (-1: none)
     aside_in: list[int] = []  # the next outer one of each
-    kinds: list[str] = []  # of each: comments, adverts or others
-    holds: list[bool] = []  # whether it holds a main element, or, unless it is for comments, an article
+    frames: list[bool] = []  # whether each may be the page's frame by its name
+    holds: list[bool] = []  # whether it holds a main element, or, if it may be a frame, an article
     here, aside = -1, -1
-    has_whole = False  # an article or main element that isn't left out
+    free = False  # whether an article or main element is in none of them
     out = links = linked = 0
     at, end = 0, len(html)
 
@@ -216,15 +218,15 @@ def parse(html: str) -> Page:
         if named:
             flush()
             aside_in.append(aside)
-            kinds.append("comments" if marks & COMMENTS else "adverts" if marks & ADVERTS else "others")
+            frames.append(not marks & STRONG - FRAMES)
             holds.append(False)
             aside = len(aside_in) - 1
         elif tag in WHOLE and not out:
+            free |= aside < 0
             k = aside
-            while k >= 0 and not (holds[k] and tag != "main"):
-                holds[k] |= tag == "main" or kinds[k] != "comments"
+            while k >= 0 and not holds[k]:
+                holds[k] = tag == "main" or frames[k]
                 k = aside_in[k]
-            has_whole |= all(holds[k] for k in _chain(aside_in, aside))
         number = -1
         if tag in CONTAINERS:
             number = len(page.path)
@@ -238,7 +240,7 @@ def parse(html: str) -> Page:
         out += left_out
         links += tag == "a"
     flush()
-    # comments and adverts are left out however long they are; of other names the element may be the page's frame
+    # a named element may be the frame of a page that has no article outside such elements
     worth = [0] * len(aside_in)
     for _, block, linked, k in found:
         if k >= 0:
@@ -249,11 +251,11 @@ def parse(html: str) -> Page:
     most = sum(max(0, len(block) - linked) for _, block, linked, _ in found) / 2
     dropped: list[bool] = []
     for k, up in enumerate(aside_in):
-        frame = holds[k] or (kinds[k] == "others" and not has_whole and worth[k] > most)
+        frame = not free and (holds[k] or (frames[k] and not any(holds) and worth[k] > most))
         dropped.append(not frame or (up >= 0 and dropped[up]))
     kept = [(n, block, linked) for n, block, linked, k in found if k < 0 or not dropped[k]]
-    if not kept:  # nothing but what is named so: what isn't comments or adverts, or else all
-        plain = [(n, block, linked) for n, block, linked, k in found if all(kinds[x] == "others" for x in _chain(aside_in, k))]
+    if not kept:  # nothing but what is named so: what may be a frame, or else all
+        plain = [(n, block, linked) for n, block, linked, k in found if all(frames[x] for x in _chain(aside_in, k))]
         kept = plain or [(n, block, linked) for n, block, linked, _ in found]
     page.blocks = kept
     return page
@@ -340,8 +342,9 @@ def extract(pages: DataFrame, least: float = LEAST) -> DataFrame:
     """page_id, url, text, n_chars of each row (page_id, url, html): the article's blocks joined by two line feeds.
 
     Left out are scripts, styles, comments of the markup, and elements that are menus, headers, footers, sidebars,
-    notices, adverts, forms or reader comments by tag, or by the words of a class, id, role or item type (see names_aside()): comments and adverts however
-    long they are, others unless they hold an article or main element or, on a page without one, most of its text. A page with nothing else keeps that.
+    notices, adverts, forms or reader comments by tag, or by the words of a class, id, role or item type (see names_aside()), however long they are. On a page with
+    no article or main element outside of all these, one that isn't named for comments, adverts and the like stays if it holds such an element or most of the page's
+    text. A page with nothing else keeps what there is.
     The header inside an article element is part of it. White space inside a block becomes one space;
     character references are decoded; a page that breaks off inside a tag loses that tag alone.
 
