@@ -61,7 +61,8 @@ def encode(blocks: np.ndarray, n: int, table: Table) -> list[bytes]:
     filler = int(table.freq.argmax())
     padded = np.full((count, steps * LANES), filler, np.int64)
     padded[:, :n] = blocks[:, :n]
-    if (table.freq[padded] == 0).any():
+    there = np.flatnonzero(np.bincount(padded.ravel()))
+    if len(there) and (there[-1] >= len(table.freq) or not table.freq[there].all()):
         raise ValueError("a symbol has no frequency")
     grid = np.ascontiguousarray(padded.reshape(count, steps, LANES).transpose(1, 0, 2))
     x = np.full((count, LANES), LOW)

@@ -28,12 +28,13 @@ from .common import checkpointed, pieces, table
 
 TOGETHER = 64  #: blocks that are coded in one go
 END = 0  #: the id behind each document
-KNOWN = 300_000  #: words whose ids a process keeps, twice: as many as it met last and as many before
+KNOWN = 250_000  #: words whose ids a process keeps, twice: as many as it met last and as many before
 LONG = 64  #: characters; longer words of other scripts or signs aren't kept
 _SPACE = "\t-\r \x1c-\x1f\x85\xa0  -     　"
 _ODD = f"[{_SPACE}] "  # a space behind white space
 _CUT = re.compile(f"(?<=[^{_SPACE}]) ")
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
+_LINE = re.compile(f"({_LATIN.pattern})([.,;:!?])?(?:\\n({_LATIN.pattern})([.,;:!?])?)?")  # such a word, a mark, and the same on the next line
 _MARKS = ".,;:!?"
 
 
@@ -49,7 +50,7 @@ class Words:
 
     Such a tokenizer never joins a space that follows something else than white space to what is before it, so the text can be cut there;
     each distinct word is tokenised once and its ids are kept. A word of Latin letters is one unit of the model, which gets it without
-    the search for units; a mark behind such a word is a unit of its own. Everything else goes through the whole tokenizer.
+    the search for units; a mark or a line feed behind such a word is a unit of its own. Everything else goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -64,6 +65,7 @@ class Words:
         self.known: dict[str, bytes] = {}  # what words with a space before them are
         self.older: dict[str, bytes] = {}
         self.marks = {m: self.raw([m])[0] for m in _MARKS}
+        self.line = self.raw(["\n"])[0]
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
@@ -72,31 +74,44 @@ class Words:
         """The ids of words of Latin letters, `before` before each."""
         if not words:
             return []
-        tokenize, kind = self.whole.model.tokenize, self.kind
-        spelled = "\n".join(before + w for w in words).encode().decode("latin-1").translate(self.letters | {10: "\n"}).split("\n")
-        return [np.array([t.id for t in tokenize(s)], kind).tobytes() for s in spelled]
+        tokenize, flat, ends = self.whole.model.tokenize, [], [0]
+        spelled = "\n".join([before + w for w in words])
+        if not spelled.isascii() or before:
+            spelled = spelled.encode().decode("latin-1").translate(self.letters | {10: "\n"})
+        for s in spelled.split("\n"):
+            flat += [t.id for t in tokenize(s)]
+            ends.append(len(flat))
+        raw, size = np.array(flat, self.kind).tobytes(), self.kind.itemsize
+        return [raw[a * size : b * size] for a, b in zip(ends, ends[1:])]
 
     def learn(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words with a space before them, which are kept; when there are too many, those that weren't met again go."""
         if len(self.known) > KNOWN:
             self.known, self.older = {}, self.known
-        known, older, latin = self.known, self.older, _LATIN.fullmatch
-        others, marked, plain = [], [], []
+        known, older, marks = self.known, self.older, self.marks
+        plain: dict[str, None] = {}  # words of letters, with a space before them
+        bare: dict[str, None] = {}  # those at the beginning of a line
+        put, whole = [], []
         for w in words:
-            if w in older:
-                known[w] = older[w]
-            elif latin(w):
-                plain.append(w)
-            elif w and w[-1] in self.marks and latin(w, 0, len(w) - 1):
-                marked.append(w)
+            if (found := older.get(w)) is not None:
+                known[w] = found
+            elif m := _LINE.fullmatch(w):
+                a, mark, b, end = m.groups()
+                if a not in known:
+                    plain[a] = None
+                if b:
+                    bare[b] = None
+                if mark or b:
+                    put.append((w, a, mark, b, end))
             else:
-                others.append(w)
-        plain += {w[:-1] for w in marked} - known.keys() - set(plain)
-        known.update(zip(plain, self.units(plain, " ")))
-        for w in marked:
-            known[w] = known[w[:-1]] + self.marks[w[-1]]
+                whole.append(w)
+        known.update(zip(plain, self.units(list(plain), " ")))
+        starts = dict(zip(bare, self.units(list(bare), "")))
+        for w, a, mark, b, end in put:
+            ids = known[a] + marks[mark] if mark else known[a]
+            known[w] = ids + self.line + starts[b] + (marks[end] if end else b"") if b else ids
         long = {}
-        for w, ids in zip(others, self.raw([f" {w}" for w in others])):
+        for w, ids in zip(whole, self.raw([f" {w}" for w in whole])):
             (known if len(w) <= LONG else long)[w] = ids
         return [known[w] if w in known else long[w] for w in words]
 
@@ -155,7 +170,7 @@ def _tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
     def run(batches):
         words, shard, at = words_of(path), TaskContext.get().partitionId(), 0
         tail = np.array([end], words.kind).tobytes()
-        for batch in pieces(batches, 8 << 20):
+        for batch in pieces(batches, 6 << 20):
             ids = [x + tail for x in words.ids(batch.column("text"))]
             n = np.array([len(x) for x in ids], np.int64) // words.kind.itemsize
             before = at + np.cumsum(n) - n
