@@ -165,35 +165,43 @@ def words_of(path: str) -> Words:
 
 
 def _tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """doc_id, shard, at (ids before it in its shard), n and ids of sorted documents; each partition is a shard."""
+    """doc_id, shard, at (ids before it in its shard), n and ids of sorted documents; each partition is a shard.
+
+    The last row of a shard (at -1) isn't a document: it has the shard's counts by id, so that counting reads these alone.
+    """
 
     def run(batches):
-        words, shard, at = words_of(path), TaskContext.get().partitionId(), 0
-        tail = np.array([end], words.kind).tobytes()
+        words, shard, at, counts = words_of(path), TaskContext.get().partitionId(), 0, np.zeros(0, np.int64)
+        tail, kind = np.array([end], words.kind).tobytes(), None
+        names = ["doc_id", "shard", "at", "n", "ids"]
         for batch in pieces(batches, 6 << 20):
             ids = [x + tail for x in words.ids(batch.column("text"))]
             n = np.array([len(x) for x in ids], np.int64) // words.kind.itemsize
             before = at + np.cumsum(n) - n
-            at += int(n.sum())
-            yield pa.record_batch([batch.column("doc_id"), pa.array(np.full(len(n), shard), pa.int32()), pa.array(before), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "shard", "at", "n", "ids"])
+            at, kind = at + int(n.sum()), batch.column("doc_id").type
+            counts = _added(counts, np.bincount(np.frombuffer(b"".join(ids), words.kind)))
+            yield pa.record_batch([batch.column("doc_id"), pa.array(np.full(len(n), shard), pa.int32()), pa.array(before), pa.array(n), pa.array(ids, pa.binary())], names)
+        if at:
+            yield pa.record_batch([pa.nulls(1, kind), pa.array([shard], pa.int32()), pa.array([-1], pa.int64()), pa.array([len(counts)], pa.int64()), pa.array([counts.astype("<i8").tobytes()])], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, shard int, at long, n long, ids binary")
 
 
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum of two arrays, the shorter one filled up with zeros."""
+    if len(a) < len(b):
+        a, b = b.astype(np.int64), a
+    a[: len(b)] += b
+    return a
+
+
 def _counted(batches):
-    total: dict[int, np.ndarray] = {}
-    for batch in pieces(batches):
-        for width, x in ((int(w), i) for w, i in zip(batch.column("width").to_pylist(), batch.column("ids").to_pylist())):
-            got = np.bincount(np.frombuffer(x, f"<u{width}"))
-            have = total.get(0, np.zeros(0, np.int64))
-            if len(got) > len(have):
-                got, have = have, got.astype(np.int64)
-            have[: len(got)] += got
-            total[0] = have
-    if total:
-        some = np.flatnonzero(total[0])
-        yield pa.record_batch([pa.array(some), pa.array(total[0][some])], ["id", "n"])
+    for batch in batches:
+        for x in batch.column("ids").to_pylist():
+            counts = np.frombuffer(x, "<i8")
+            some = np.flatnonzero(counts)
+            yield pa.record_batch([pa.array(some), pa.array(counts[some])], ["id", "n"])
 
 
 BLOCKS = "shard int, at long, n int, record binary, docs array<struct<doc_id:{kind},n:int>>, head long, closes boolean"
@@ -266,9 +274,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     order = [F.col("doc_id"), F.col("tie")]
     sorted_docs = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange(*order).sortWithinPartitions(*order)
     _tokenised(sorted_docs, path, end).write.option("compression", "zstd").parquet(f"{folder}/ids")
-    ids = spark.read.parquet(f"{folder}/ids").withColumn("width", (F.length("ids") / F.col("n")).cast("int"))
+    rows = spark.read.parquet(f"{folder}/ids")
+    ids = rows.where("at >= 0").withColumn("width", (F.length("ids") / F.col("n")).cast("int"))
     # a row for each id of the vocabulary at most
-    counts = ids.select("ids", "width").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = rows.where("at = -1").select("ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.array(sorted((r["id"], r["n"]) for r in counts), np.int64).reshape(-1, 2)
     dense = np.bincount(counts[:, 0], counts[:, 1]) if len(counts) else np.ones(1)
     freq = rans.quantised(dense)
