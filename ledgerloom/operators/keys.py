@@ -10,15 +10,32 @@ from pyspark.sql import functions as F
 from ..functions.rules import as_long, strip
 
 
+def trimmed_key(key: str) -> Column:
+    return strip(F.coalesce(F.col(key), F.lit("")))
+
+
+def first_rows(df: DataFrame, key: str, order: tuple[str, ...], within: tuple[str, ...] = ()) -> DataFrame:
+    """_key (trimmed, not blank), the columns of within, _first (struct of `order` of the first row) and _n, the number of rows, of each key. Only these columns are read, and
+    a key of any number of rows sends one from each task."""
+    rows = df.select(*within, trimmed_key(key).alias("_key"), F.struct(*order).alias("_at")).where("_key != ''")
+    return rows.groupBy(*within, "_key").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+
+
+def behind_first(df: DataFrame, firsts: DataFrame, key: str, order: tuple[str, ...], within: tuple[str, ...] = (), seen: Column | None = None) -> DataFrame:
+    """df and is_duplicate: whether firsts (_key, within, _first) has an earlier row for its key, or `seen` holds there."""
+    known = firsts.select(*(F.col(c).alias(f"_{c}") for c in within), "_key", "_first", (F.lit(False) if seen is None else seen).alias("_seen"))
+    on = (trimmed_key(key) == F.col("_key")) & functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in within], F.lit(True))
+    later = F.coalesce(F.col("_seen") | (F.struct(*order) > F.col("_first")), F.lit(False))
+    return df.join(known, on, "left").withColumn("is_duplicate", later).select(*df.drop("is_duplicate").columns, "is_duplicate")
+
+
 def flag_duplicates(df: DataFrame, key: str = "order_id", order: tuple[str, ...] = ("source_row_number",), within: tuple[str, ...] = ()) -> DataFrame:
     """df and is_duplicate: whether an earlier row (by `order`, in the same group of `within`) has the same trimmed key.
 
-    Blank keys are never duplicates; they are numbered apart by row, so that many blanks don't meet in one task.
+    Blank keys are never duplicates, nor are rows that share a key's first place. df is read twice, the first time by its keys alone; only keys of several rows are
+    joined to it, so that no key's rows have to meet in one task.
     """
-    trimmed = strip(F.coalesce(F.col(key), F.lit("")))
-    apart = F.when(trimmed == "", F.xxhash64(*order)).otherwise(F.lit(0))
-    w = Window.partitionBy(*within, trimmed, apart).orderBy(*order)
-    return df.withColumn("is_duplicate", (trimmed != "") & (F.row_number().over(w) > 1))
+    return behind_first(df, first_rows(df, key, order, within).where("_n > 1"), key, order, within)
 
 
 def after_row(flagged: DataFrame, row: int) -> DataFrame:
@@ -27,21 +44,18 @@ def after_row(flagged: DataFrame, row: int) -> DataFrame:
 
 
 def latest_per_key(df: DataFrame, key: str, version: str, *tie_break: str) -> DataFrame:
-    """The row of each key with the highest version (null lowest), then the highest tie_break columns."""
-    order = [F.col(c).desc_nulls_last() for c in (version, *tie_break)]
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r = 1").drop("_r")
-
+    """The row of each key with the highest version (null lowest), then the highest tie_break columns. A key's rows are compared where they lie first, so that
+    a key of any number of rows sends one from each task."""
+    order = [x for c in (version, *tie_break) for x in (F.col(c).isNotNull(), F.col(c))]
+    row = F.struct(*df.columns)
+    best = df.groupBy(F.col(key).alias("_key")).agg(F.max_by(row, F.struct(*order)).alias("_row"))
+    return best.select("_row.*")
 
-def merge_orders(current: DataFrame, incoming: DataFrame, key: str = "order_id", version: str = "version", tie_break: tuple[str, ...] = (), ingest_seq: int = 0) -> tuple[DataFrame, DataFrame]:
-    """The snapshot after a version-protected upsert, and (key, action) of each incoming key.
 
-    Several incoming rows of a key count as their latest. A key that isn't there is inserted. An incoming row without a
-    version never replaces one with a version, nor does a version that isn't newer; otherwise it updates unless all
-    columns but the version and `ingest_seq` are equal. Written rows get the number `ingest_seq`.
-    """
+def _outcome(current: DataFrame, incoming: DataFrame, key: str, version: str, tie_break: tuple[str, ...]) -> tuple[DataFrame, list[str], Column]:
+    """Current rows (c) and the latest incoming ones (i) side by side with _action, the columns beside the key, and whether the incoming row is taken."""
     columns = [c for c in incoming.columns if c not in (key, "ingest_seq")]
     payload = [c for c in columns if c != version and c not in tie_break]
-    seq = F.col("c.ingest_seq") if "ingest_seq" in current.columns else F.lit(0)
     new = latest_per_key(incoming, key, version, *tie_break)
     both = current.alias("c").join(new.alias("i"), F.col(f"c.{key}") == F.col(f"i.{key}"), "full_outer")
     cv, iv = as_long(F.col(f"c.{version}").cast("string")), as_long(F.col(f"i.{version}").cast("string"))
@@ -53,14 +67,33 @@ def merge_orders(current: DataFrame, incoming: DataFrame, key: str = "order_id",
         .when(same, "unchanged")
         .otherwise("updated")
     )
-    takes = F.coalesce(F.col("_action").isin("inserted", "updated"), F.lit(False))
-    both = both.withColumn("_action", action)
+    return both.withColumn("_action", action), columns, F.coalesce(F.col("_action").isin("inserted", "updated"), F.lit(False))
+
+
+def merge_orders(current: DataFrame, incoming: DataFrame, key: str = "order_id", version: str = "version", tie_break: tuple[str, ...] = (), ingest_seq: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The snapshot after a version-protected upsert, and (key, action) of each incoming key.
+
+    Several incoming rows of a key count as their latest. A key that isn't there is inserted. An incoming row without a
+    version never replaces one with a version, nor does a version that isn't newer; otherwise it updates unless all
+    columns but the version and `ingest_seq` are equal. Written rows get the number `ingest_seq`.
+    """
+    both, columns, takes = _outcome(current, incoming, key, version, tie_break)
+    seq = F.col("c.ingest_seq") if "ingest_seq" in current.columns else F.lit(0)
     pick = lambda c: F.when(takes, F.col(f"i.{c}")).otherwise(F.col(f"c.{c}")).alias(c)
     snapshot = both.select(F.coalesce(F.col(f"i.{key}"), F.col(f"c.{key}")).alias(key), *(pick(c) for c in columns), F.when(takes, F.lit(ingest_seq)).otherwise(seq).cast("long").alias("ingest_seq"))
     actions = both.where(F.col("_action").isNotNull()).select(F.col(f"i.{key}").alias(key), F.col("_action").alias("action"))
     return snapshot, actions
 
 
+def merged(current: DataFrame, incoming: DataFrame, key: str = "order_id", version: str = "version", tie_break: tuple[str, ...] = ()) -> DataFrame:
+    """The snapshot of merge_orders() in one pass with _action (null for keys that don't come in) and _old, the row before of an updated key;
+    ingest_seq is null where the incoming row was taken."""
+    both, columns, takes = _outcome(current, incoming, key, version, tie_break)
+    pick = lambda c: F.when(takes, F.col(f"i.{c}")).otherwise(F.col(f"c.{c}")).alias(c)
+    old = F.when(F.col("_action") == "updated", F.struct(*(F.col(f"c.{c}").alias(c) for c in (key, *columns)))).alias("_old")
+    return both.select(F.coalesce(F.col(f"i.{key}"), F.col(f"c.{key}")).alias(key), *(pick(c) for c in columns), F.when(~takes, F.col("c.ingest_seq")).cast("long").alias("ingest_seq"), "_action", old)
+
+
 def ledger_decision(ledger: DataFrame, requests: DataFrame) -> DataFrame:
     """requests (request_key, payload_hash) with decision: process, skip, retry or conflict."""
     known = ledger.select("request_key", F.col("payload_hash").alias("_hash"), F.col("status").alias("_status"))

@@ -20,6 +20,8 @@ MIXED = """m0 AS (SELECT o_orderkey k, o_custkey c, o_orderdate d, CASE o_orderk
  m5 AS (SELECT *, ok AND tot1 >= 0 AND abs(tot1 - calc) > 0.01 AS again, ok AND k % 2 = 0 AND tot1 IS NOT NULL AS pays,
   CAST(k % 11 = 0 AND k % 13 = 0 AS INT) AS none, CAST(NOT ok AS INT) + CAST(ok AND tot1 IS NULL AS INT) AS unknown FROM m4),
  m AS (SELECT *, 2 * none + CAST(dup AS INT) + unknown AS n FROM m5)"""
+MIXED_ERRORS = "concat_ws(',', CASE WHEN none = 1 THEN 'MISSING_ORDER_ID,MISSING_CUSTOMER_ID' END, CASE WHEN dup THEN 'DUPLICATE_ORDER_ID' END, CASE WHEN unknown = 1 THEN 'UNKNOWN_PRICE' END, CASE WHEN n > 1 THEN 'MULTIPLE_CONFLICTING_ERRORS' END)"
+MIXED_ID = "CASE WHEN k % 11 <> 0 THEN 'طلب-' || (k - k % 2 + 200000) WHEN k % 13 <> 0 THEN 'طلب-' || (c + 100000) ELSE '' END"
 #: How often a row has each of the 21 rule codes.
 CODES = {
     "TEXT_NORMALIZATION": "1", "STANDARDIZE_ORDER_ID": "CAST(k % 11 <> 0 AND k % 5 = 2 AS INT)", "INFER_ORDER_ID_FROM_CUSTOMER_ID": "CAST(k % 11 = 0 AND k % 13 <> 0 AS INT)",
@@ -105,7 +107,7 @@ def _refreshed(s, d):
 GOOD = f"WITH {BAD}, g AS (SELECT *, 'طلب-' || CASE WHEN k % 11 = 0 THEN 2 * k + 100000 ELSE 2 * k + 200001 END AS order_id FROM b WHERE n = 0)"
 Q = {
     "mixed_orders": (_status, f"""WITH {MIXED} SELECT k source_row_number, CASE WHEN n > 0 THEN 'quarantined' ELSE 'corrected' END quality_status,
- CASE WHEN k % 11 <> 0 THEN 'طلب-' || (k - k % 2 + 200000) WHEN k % 13 <> 0 THEN 'طلب-' || (c + 100000) ELSE '' END order_id,
+ {MIXED_ID} order_id,
  CASE WHEN k % 13 <> 0 THEN 'عميل-' || c WHEN k % 11 <> 0 THEN 'عميل-' || (k - k % 2 + 100000) ELSE '' END customer_id, CASE WHEN k % 4 = 3 THEN 'EUR' ELSE 'YER' END currency,
  CAST(delivery AS DOUBLE) delivery_cost, CAST(CASE WHEN pays THEN tot1 WHEN k % 2 = 1 THEN 5 * r END AS DOUBLE) payment_amount, CAST(CASE WHEN again THEN calc ELSE tot1 END AS DOUBLE) total_amount,
  concat_ws(',', CASE WHEN none = 1 THEN 'MISSING_ORDER_ID,MISSING_CUSTOMER_ID' END, CASE WHEN dup THEN 'DUPLICATE_ORDER_ID' END, CASE WHEN unknown = 1 THEN 'UNKNOWN_PRICE' END, CASE WHEN n > 1 THEN 'MULTIPLE_CONFLICTING_ERRORS' END) AS errors FROM m"""),

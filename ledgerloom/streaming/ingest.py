@@ -53,7 +53,7 @@ def upsert_stream(stream: DataFrame, checkpoint: str, table: BucketTable, versio
     def each(batch: DataFrame, number: int) -> None:
         batch = batch.persist()  # a merge reads it several times
         try:
-            table.merge(batch, version, tie_break)
+            table.merge(batch, version, tie_break, by=f"{checkpoint}#{number}")
         finally:
             batch.unpersist()
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.classify import FIELDS
 from ..operators.keys import latest_per_key
-from ..plans.adapter import table
+from ..plans.adapter import mixed_orders, table
+from ..plans.queries_mixed import MIXED, MIXED_ERRORS, MIXED_ID
 from ..plans.scratch import scratch
 from ..sources.buckets import BucketTable
 from . import ingest as I
+from .loads import SeenKeys, StreamLoad
 
 
 def _daily(s, d):
@@ -53,7 +56,80 @@ def _marked(s, d):
     return after.join(known, "source_key").select("source_key", (F.col("content_hash") == F.col("now")).alias("current"), "last_version")
 
 
+class _Broken(Exception):
+    """What stands for a lost driver."""
+
+
+def _stream_load(s, d):
+    """Mixed orders in three drops of CSV files, a batch for each, of which the second breaks off twice, behind its merge and behind its quarantine."""
+    at = scratch(s, "stream-load")
+    k = F.col("source_row_number")
+    load = StreamLoad(s, f"{at}/w", f"{at}/in")
+    for drop in range(3):
+        rows = mixed_orders(s, d).where(k % 3 == drop).repartitionByRange(k).sortWithinPartitions(k).select(*FIELDS)
+        rows.write.option("header", True).option("escape", '"').csv(f"{at}/in/{drop}")
+        for broken in ("_held", "_measured") if drop == 1 else ():
+            def fail(*_):
+                raise _Broken
+            setattr(load, broken, fail)
+            try:
+                load.run(f"{at}/state")
+            except Exception as e:  # the stream's own exception, around ours
+                if "_Broken" not in str(e):
+                    raise
+            delattr(load, broken)
+        load.run(f"{at}/state")
+    held = s.read.parquet(load.w.path("quarantine"))
+    mail = F.regexp_extract("customer_email", "^u([0-9]+)@", 1).cast("long")
+    runs = s.read.parquet(load.w.path("run_metrics")).agg(F.sum("raw").alias("raw"), F.count("*").alias("batches")).first()
+    return held.select(mail.alias("k"), F.array_join("error_codes", ",").alias("errors")).withColumns({"raw": F.lit(runs["raw"]), "batches": F.lit(runs["batches"]), "orders": F.lit(load.w.orders.read().count())})
+
+
+def _stream_duplicates(s, d):
+    """Events as five batches, users as keys, against the keys of earlier batches; the third batch comes twice."""
+    at, out = scratch(s, "seen"), None
+    seen = SeenKeys(s, f"{at}/keys", 16)
+    e = table(s, d, "events").select(F.when(F.col("event_id") % 11 == 0, " ").otherwise(F.concat(F.lit(" "), F.col("user_id").cast("string"))).alias("order_id"), F.col("event_id").alias("source_row_number"))
+    for n in (0, 1, 2, 2, 3, 4):
+        rows = e.where((F.col("source_row_number") * 7 + F.floor(F.col("source_row_number") / 3)) % 5 == n)
+        flagged = seen.flag(rows, "order_id", ("source_row_number",), n, f"{at}/work{n}")
+        flagged.write.mode("overwrite").parquet(f"{at}/out/n={n}")
+        seen.mark(n, f"{at}/work{n}")
+    return s.read.parquet(f"{at}/out").select("order_id", "source_row_number", "is_duplicate")
+
+
+class _Interleaved(BucketTable):
+    """A table whose merge lets another one commit after it has read and before it commits."""
+
+    other = None
+
+    def _committed(self, *a):
+        other, self.other = self.other, None
+        if other:
+            other()
+        return super()._committed(*a)
+
+
+def _merge_conflict(s, d):
+    """Two merges at a time, twice: of the same users, of which the first must run again, and of users that share no bucket."""
+    at = scratch(s, "conflict")
+    e = table(s, d, "events").select(F.col("user_id").cast("string").alias("order_id"), F.col("event_id").alias("version"), "event_type", "value")
+    one, two = _Interleaved(s, f"{at}/t", buckets=8), BucketTable(s, f"{at}/t", buckets=8)
+    part = lambda n: e.where(F.col("version") % 5 == n)
+    one.merge(part(0))
+    one.other = lambda: two.merge(part(1))
+    one.merge(part(2))
+    low = F.pmod(F.xxhash64("order_id"), F.lit(8)) < 4
+    one.other = lambda: two.merge(part(3).where(low))
+    one.merge(part(3).where(~low))
+    return one.read().select("order_id", "version", "event_type", "value").withColumn("states", F.lit(one.state()[0]))
+
+
+STREAM_MIXED = MIXED.replace("ORDER BY k)", "ORDER BY k % 3, k)")
 Q = {
+    "stream_load": (_stream_load, f"WITH {STREAM_MIXED} SELECT k, {MIXED_ERRORS} AS errors, (SELECT count(*) FROM m) raw, CAST(3 AS BIGINT) batches, (SELECT count(DISTINCT {MIXED_ID}) FROM m WHERE n = 0) orders FROM m WHERE n > 0"),
+    "stream_duplicates": (_stream_duplicates, "SELECT CASE WHEN event_id % 11 = 0 THEN ' ' ELSE ' ' || user_id END order_id, event_id source_row_number, event_id % 11 <> 0 AND row_number() OVER (PARTITION BY CASE WHEN event_id % 11 = 0 THEN 'b' ELSE CAST(user_id AS VARCHAR) END ORDER BY (event_id * 7 + event_id // 3) % 5, event_id) > 1 is_duplicate FROM events"),
+    "merge_conflict": (_merge_conflict, "SELECT CAST(user_id AS VARCHAR) order_id, event_id AS version, event_type, value, CAST(5 AS INT) states FROM events WHERE event_id % 5 <> 4 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"),
     "mark_success": (_marked, "SELECT source_key, NOT (dd % 3 = 2 AND dd % 2 = 0) AS current, CASE WHEN dd % 3 = 0 THEN v WHEN dd % 2 = 0 THEN v + 5 WHEN dd % 3 = 1 THEN 0 ELSE v END last_version FROM (SELECT strftime(ts, '%Y-%m-%d') source_key, day(min(ts)) dd, max(event_id) v FROM events GROUP BY 1)"),
     "stream_daily_sales": (_daily, "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) n, round(CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE), 4) total FROM events GROUP BY 1"),
     "stream_versioned_upsert": (_upsert, "SELECT CAST(user_id AS VARCHAR) order_id, event_id AS version, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"),
