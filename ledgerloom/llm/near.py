@@ -2,12 +2,12 @@
 
 1. Equal texts are one text; one document stands for it.
 2. Every text gets a MinHash signature. Texts that agree in a band of it are candidates. Bands with the same texts count
-   once, and a band of more than HOT texts is replaced by the pairs that it forms with its texts' other bands.
+   once.
 3. The candidates of a band are compared, in block pairs where there are many: MinHash values are compared step by
    step, and a pair is dropped as soon as the posterior probability of reaching the threshold falls below TOLERANCE. A task
    gives a spanning set of the pairs that are left. Their connected components are the groups: texts that merely share
    a band, as boilerplate makes them, don't chain.
-4. Groups are cut into blocks of BLOCK texts; every two blocks of a group meet in one task. The pairs that pass the same
+4. Groups are cut into blocks of about BLOCK bytes; every two blocks of a group meet in one task, so that a text is sent once for each BLOCK of its group. The pairs that pass the same
    comparison there are verified on the exact sets of 5-grams. A task gives the number of links of each text and a
    spanning set of them, never the pairs.
 5. The connected components of the links are the classes.
@@ -30,9 +30,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 5  #: a pair at the threshold shares no band with probability (1 - 0.8 ** 5) ** 32, 3e-6
 STEP = 32  #: MinHash values compared at a time
 TOLERANCE = 1e-6
-BLOCK = 512  #: texts of a block, with their 5-grams
-SIGNED = 2048  #: texts of a block of candidates, with their signatures alone
-HOT = 50_000  #: texts of a band, for it to be refined by other bands
+BLOCK = 6 << 20  #: bytes of a block, signatures and sets of 5-grams
+SIGNED = 2 << 20  #: bytes of a block of candidates, with their signatures alone
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -186,16 +185,17 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """The keys of rows with 16 bits of each MinHash value, null for a text without words."""
+    """The keys of rows with 16 bits of each MinHash value, null for a text without words, and about how many bytes the text's signature and set of n-grams have."""
 
     def sign(batches):
         for batch in pieces(batches, 2 << 20):
             sig = signatures(batch.column("text").to_pylist())
             few = [None if (r == 0xFFFFFFFF).all() else r.astype(np.uint16).tobytes() for r in sig]
-            yield pa.record_batch([*(batch.column(c) for c in ("_key", "named", "_h1", "_h2")), pa.array(few, pa.binary())], ["_key", "named", "_h1", "_h2", "sig"])
+            yield pa.record_batch([*(batch.column(c) for c in ("_key", "named", "_h1", "_h2", "bytes")), pa.array(few, pa.binary())], ["_key", "named", "_h1", "_h2", "bytes", "sig"])
 
-    rows = docs.select("_key", F.col("doc_id").isNotNull().alias("named"), "_h1", "_h2", "text")
-    return rows.mapInArrow(sign, "_key long, named boolean, _h1 long, _h2 long, sig binary")
+    size = (4 * BANDS * ROWS + 2 * F.length("text")).cast("long")  # a word and its n-gram's 8 bytes: mostly more than four characters
+    rows = docs.select("_key", F.col("doc_id").isNotNull().alias("named"), "_h1", "_h2", F.coalesce(size, F.lit(0)).cast("long").alias("bytes"), "text")
+    return rows.mapInArrow(sign, "_key long, named boolean, _h1 long, _h2 long, bytes long, sig binary")
 
 
 def _banded(texts: DataFrame) -> DataFrame:
@@ -216,24 +216,15 @@ def _distinct_groups(bands: DataFrame) -> DataFrame:
 
 
 def candidate_groups(bands: DataFrame) -> DataFrame:
-    """key, n and tid of the groups of texts within which all pairs that share a band meet.
-
-    A band of more than HOT texts gives way to its pairs with other bands: a pair of texts at the threshold that shares it
-    shares no other one with probability (1 - 0.8 ** 5) ** 31, 4e-6.
-    """
+    """key, total (bytes of all signatures) and tid of the groups of texts within which all pairs that share a band meet."""
     groups = checkpointed(_distinct_groups(bands))
-    members = bands.join(groups.where(F.col("n") <= HOT), "key").select("key", "n", "tid")
-    hot = groups.where(F.col("n") > HOT)
-    if hot.isEmpty():
-        return members
-    inside = bands.join(hot.select("key"), "key").select("tid", F.col("key").alias("band"))
-    finer = checkpointed(inside.join(bands, "tid").where("key != band").select("tid", F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key")).distinct())
-    return members.unionByName(finer.join(_distinct_groups(finer), "key").select("key", "n", "tid"))
+    return bands.join(groups, "key").select("key", (F.col("n") * (2 * BANDS * ROWS)).alias("total"), "tid")
 
 
 def _dealt(members: DataFrame, group: str, block: int, what: list[str]) -> DataFrame:
-    """Rows (group, n, tid, what) once for each pair (i, j) of blocks of their group that their own block is in, sorted by these."""
-    blocks = F.ceil(F.col("n") / block)
+    """Rows (group, total, tid, what) once for each pair (i, j) of blocks of their group that their own block is in, sorted by these; a group of `total` bytes has
+    a block for each `block` bytes."""
+    blocks = F.ceil(F.col("total") / block)
     placed = members.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("tid"), blocks)})
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = met.select(F.col(group).alias("root"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "tid", *what)
@@ -320,7 +311,7 @@ def _verified(batches):
 
 
 def _with_grams(rows: DataFrame) -> DataFrame:
-    """Rows (tid, root, n, text) with the signature and the set of n-grams in place of the text."""
+    """Rows (tid, root, total, text) with the signature and the set of n-grams in place of the text."""
 
     def run(batches):
         for batch in pieces(batches, 2 << 20):
@@ -328,27 +319,28 @@ def _with_grams(rows: DataFrame) -> DataFrame:
             h, starts = shingles(texts)
             sig = pa.array([r.tobytes() for r in signatures(texts)], pa.binary())
             grams = pa.array([np.unique(h[a:b]).tobytes() for a, b in zip(starts, starts[1:])], pa.binary())
-            yield pa.record_batch([*(batch.column(c) for c in ("tid", "root", "n")), sig, grams], ["tid", "root", "n", "sig", "grams"])
+            yield pa.record_batch([*(batch.column(c) for c in ("tid", "root", "total")), sig, grams], ["tid", "root", "total", "sig", "grams"])
 
-    return rows.select("tid", "root", "n", "text").mapInArrow(run, "tid long, root long, n long, sig binary, grams binary")
+    return rows.select("tid", "root", "total", "text").mapInArrow(run, "tid long, root long, total long, sig binary, grams binary")
 
 
 def _classed(rows: DataFrame) -> DataFrame:
     """_h1, _h2, text_id, class_id, n_links and leads (whether it is the one of its class that stays) of each text of keyed() rows."""
-    texts = _signed(rows).groupBy("_h1", "_h2").agg(F.coalesce(F.min(F.when(F.col("named"), F.col("_key"))), F.col("_h1")).alias("text_id"), F.first("sig").alias("sig"))
+    texts = _signed(rows).groupBy("_h1", "_h2").agg(F.coalesce(F.min(F.when(F.col("named"), F.col("_key"))), F.col("_h1")).alias("text_id"), F.first("sig").alias("sig"), F.first("bytes").alias("bytes"))
     texts = checkpointed(texts).withColumn("tid", F.monotonically_increasing_id())  # of a written table: the same each time
     members = candidate_groups(_banded(texts)).join(texts.select("tid", "sig"), "tid")
     peers = checkpointed(_dealt(members, "key", SIGNED, ["sig"]).mapInArrow(_plausible, PEERS))
     groups = components(peers.select(F.col("tid").alias("a"), F.col("peer").alias("b"))).withColumnRenamed("node", "tid")
-    sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
-    inside = groups.join(sizes, "root").join(texts.drop("sig"), "tid").select("tid", "root", "n", "text_id", F.col("_h1").alias("_a"), F.col("_h2").alias("_b"))
+    groups = groups.join(texts.drop("sig"), "tid")
+    sizes = groups.groupBy("root").agg(F.sum("bytes").alias("total"))
+    inside = groups.join(sizes, "root").select("tid", "root", "total", "text_id", F.col("_h1").alias("_a"), F.col("_h2").alias("_b"))
     inside, _ = small(checkpointed(inside), 500_000)  # 48 bytes a row
     # of equal texts the row with the least id alone
     whole = rows.join(inside, (F.col("_key") == F.col("text_id")) & (F.col("_h1") == F.col("_a")) & (F.col("_h2") == F.col("_b")))
     links = checkpointed(_dealt(_with_grams(whole), "root", BLOCK, ["sig", "grams"]).mapInArrow(_verified, LINKS))
     counts = links.groupBy("tid").agg(F.sum("n").alias("n_links"))
     found = components(links.select(F.col("tid").alias("a"), F.col("peer").alias("b"))).withColumnRenamed("node", "tid")
-    known = texts.drop("sig").join(counts, "tid", "left").join(found, "tid", "left")
+    known = texts.drop("sig", "bytes").join(counts, "tid", "left").join(found, "tid", "left")
     linked = known.where("root is not null")
     first = linked.groupBy("root").agg(F.min(F.struct("text_id", "tid")).alias("lead")).select("root", "lead")
     linked = linked.join(first, "root").select("_h1", "_h2", "text_id", F.col("lead.text_id").alias("class_id"), "n_links", (F.col("lead.tid") == F.col("tid")).alias("leads"))

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("ledgerloom.llm")
 from ledgerloom.llm import audio, decontaminate, html, language, mixing, near, pii, substrings, toxicity, urls  # noqa: E402
@@ -214,8 +215,6 @@ def test_urls(spark):
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule)
         assert got[i].verdict == given if given else got[i].verdict in ("allow", "block")
     # the best mined rule, by trying them all
-    from pyspark.sql import functions as F
-
     tokens = {x.page_id: set(x.t) for x in df.select("page_id", urls.tokens(F.col("url"), urls.host(F.col("url")), urls.path(F.col("url"))).alias("t")).collect()}
     labelled = spark.createDataFrame([(sorted(tokens[i]), verdict(u)[3]) for i, u in data if verdict(u)[3]], "tokens array<string>, verdict string")
     rules = urls.mine(labelled).collect()
@@ -309,16 +308,23 @@ def test_near_duplicates_of_a_large_group(spark, monkeypatch):
         words = data[r.randrange(len(data))][1].split()
         words[r.randrange(len(words))] = f"w{i}"
         data.append((i, " ".join(words)))
-    monkeypatch.setattr(near, "BLOCK", 16)
-    monkeypatch.setattr(near, "SIGNED", 8)
     want = brute_classes(data)
     docs = spark.createDataFrame(data, "doc_id long, text string")
-    for hot in (50_000, 4):  # with bands refined by others too
-        monkeypatch.setattr(near, "HOT", hot)
+    for block, signed in ((near.BLOCK, near.SIGNED), (20_000, 3_000)):  # in one block, and in many
+        monkeypatch.setattr(near, "BLOCK", block)
+        monkeypatch.setattr(near, "SIGNED", signed)
         got = near.classes(docs).collect()
         assert {x.doc_id: (x.text_id, x.class_id, x.n_links) for x in got} == want
 
 
+def test_near_duplicates_send_a_text_once_for_each_block_of_its_group(spark):
+    rows = spark.range(20_000).select(F.lit(1).alias("g"), F.col("id").alias("tid"), F.lit(20_000 * 1_000).cast("long").alias("total"))
+    sent = near._dealt(rows, "g", near.BLOCK, [])
+    assert sent.count() == 20_000 * 4  # 20 MB in blocks of 6 MB
+    most = sent.groupBy("i", "j").count().agg(F.max("count")).first()[0]
+    assert most < 2 * 20_000 / 4 * 1.1
+
+
 def test_near_duplicates_find_similar_pairs(spark):
     r, data = random.Random(8), []
     for i in range(300):
