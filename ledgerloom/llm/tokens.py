@@ -95,6 +95,8 @@ class Words:
         for w in words:
             if (found := older.get(w)) is not None:
                 known[w] = found
+            elif w.isascii() and w.isalpha():
+                plain[w] = None
             elif m := _LINE.fullmatch(w):
                 a, mark, b, end = m.groups()
                 if a not in known:
@@ -174,7 +176,7 @@ def _tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
         words, shard, at, counts = words_of(path), TaskContext.get().partitionId(), 0, np.zeros(0, np.int64)
         tail, kind = np.array([end], words.kind).tobytes(), None
         names = ["doc_id", "shard", "at", "n", "ids"]
-        for batch in pieces(batches, 6 << 20):
+        for batch in pieces(batches, 8 << 20):
             ids = [x + tail for x in words.ids(batch.column("text"))]
             n = np.array([len(x) for x in ids], np.int64) // words.kind.itemsize
             before = at + np.cumsum(n) - n
