@@ -1,6 +1,7 @@
 """Loads, replays, deltas and view refreshes over folders; merges that don't depend on the order of arrival."""
 
 import csv
+import decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ def test_load_replay_delta_and_refresh(spark, tmp_path):
     w = jobs.Warehouse(spark, root)
     orders = w.orders.read()
     for name, build in (("mv_daily", views.daily_sales), ("mv_products", views.product_sales)):
-        assert sorted(map(tuple, w.get(name).collect())) == sorted(map(tuple, build(orders).collect()))
+        assert sorted(map(tuple, w.view(name).select(*build(orders).columns).collect())) == sorted(map(tuple, build(orders).collect()))
     assert {r["order_id"]: r["city"] for r in orders.collect()}["طلب-2"] == "تعز"
     assert jobs.snapshot_job(spark, root).first()["total_orders"] == 4
     assert jobs.read_view(w, "mv_daily", 1).count() == 1
@@ -49,6 +50,39 @@ def test_load_replay_delta_and_refresh(spark, tmp_path):
         jobs.full_load(spark, root, delta, "r1")
 
 
+def test_views_follow_the_feed_alone(spark, tmp_path):
+    import random
+
+    w, r, n = jobs.Warehouse(spark, str(tmp_path)), random.Random(3), 0
+    schema = "order_id string, version long, order_date string, status string, total_amount decimal(18,2), items_json array<struct<sku:string,name:string,qty:decimal(20,8),unit_price:decimal(24,8),total:decimal(18,2)>>"
+    D = decimal.Decimal
+
+    def order(i, version):
+        items = [(r.choice([None, "a", "b", "c"]), r.choice(["n1", "n2", None]), D(r.randint(1, 9)), r.choice([None, D("1.005"), D(7)]), D(r.randint(1, 99)) / 100) for _ in range(r.randint(0, 3))]
+        return (f"o{i}", version, r.choice([None, "2024-01-0" + str(r.randint(1, 4))]), r.choice(["تم التسليم", "x"]), r.choice([None, D(r.randint(-500, 5000)) / 100]), items or None)
+
+    for step in range(6):
+        for _ in range(r.randint(1, 2)):
+            w.orders.merge(spark.createDataFrame([order(i, step) for i in r.sample(range(30), 12)], schema))
+        assert jobs.refresh_job(spark, w.root) == ("incremental" if step else "success") and jobs.refresh_job(spark, w.root) == "up_to_date"
+        for name, build in (("mv_daily", views.daily_sales), ("mv_products", views.product_sales)):
+            whole = build(w.orders.read())
+            assert sorted(map(str, w.view(name).select(*whole.columns).collect())) == sorted(map(str, whole.collect())), (step, name)
+    # what a refresh reads
+    w.orders.merge(spark.createDataFrame([order(99, 9)], schema))
+    seq = w.views.read(w.views.numbers()[-1])["seq"]
+    feed = w.orders.changes(seq)
+    plan = views.move_daily(spark.read.parquet(w.path(w.views.read(w.views.numbers()[-1])["daily"])), feed)._jdf.queryExecution().optimizedPlan().toString()
+    touched = w.orders.commit()
+    assert len(touched["touched"]) == 1 and set(feed.inputFiles()) == {f for f in w.orders.read().inputFiles() if touched["buckets"][str(touched["touched"][0])][0] in f}
+    assert "total_amount" in plan and jobs.refresh_job(spark, w.root) == "incremental"
+    # a feed that is gone
+    w.orders.merge(spark.createDataFrame([order(98, 9)], schema))
+    w.orders.merge(spark.createDataFrame([order(97, 9)], schema))
+    w.orders.expire(keep=1, older_than_s=-1)
+    assert jobs.refresh_job(spark, w.root) == "success" and jobs.refresh_job(spark, w.root, force=True) == "success"
+
+
 def test_merge_does_not_depend_on_order(spark):
     schema = "order_id string, version long, row long, v string"
     none = spark.createDataFrame([], schema + ", ingest_seq long")
