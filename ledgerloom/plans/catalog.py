@@ -5,7 +5,7 @@ from __future__ import annotations
 import decimal
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -141,6 +141,29 @@ def run_metrics(classified: DataFrame) -> DataFrame:
     return m.withColumn("consistent", F.col("raw") == F.col("valid") + F.col("corrected") + F.col("quarantined"))
 
 
+def counted_write(classified: DataFrame, path: str) -> dict[str, int]:
+    """Writes classified rows and gives raw, valid, corrected, quarantined and surplus (rows with surplus columns), observed while they are written."""
+    seen = Observation()
+    status = lambda s: F.count_if(F.col("quality_status") == s).alias(s)
+    surplus = F.count("surplus_text") if "surplus_text" in classified.columns else F.lit(0).cast("long")
+    classified.observe(seen, F.count(F.lit(1)).alias("raw"), status("valid"), status("corrected"), status("quarantined"), surplus.alias("surplus")).write.mode("overwrite").parquet(path)
+    return seen.get
+
+
+def counts_of(path: str, spark: SparkSession) -> dict[str, int]:
+    """What counted_write() gave, from the rows it wrote."""
+    rows = spark.read.parquet(path)
+    surplus = F.count("surplus_text") if "surplus_text" in rows.columns else F.lit(0).cast("long")
+    return run_metrics(rows).drop("consistent").crossJoin(rows.agg(surplus.alias("surplus"))).first().asDict()
+
+
+def metrics_row(spark: SparkSession, counts: dict[str, int], run_id: str, name: str) -> DataFrame:
+    """run_metrics() from counts, with run_id, name and started_at."""
+    raw, valid, corrected, quarantined = (counts[k] for k in ("raw", "valid", "corrected", "quarantined"))
+    row = (raw, valid, corrected, quarantined, raw == valid + corrected + quarantined, run_id, name)
+    return spark.createDataFrame([row], "raw long, valid long, corrected long, quarantined long, consistent boolean, run_id string, name string").withColumn("started_at", F.current_timestamp())
+
+
 def max_error_counts(runs: DataFrame) -> DataFrame:
     """error_code and its highest count in any run, from rows (run_id, error_code, count)."""
     return runs.groupBy("error_code").agg(F.max("count").alias("count")).orderBy(F.desc("count"), "error_code")

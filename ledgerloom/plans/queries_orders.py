@@ -162,6 +162,24 @@ def _json(s, d):
     return S.to_json_rows(table(s, d, "customer").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("segment")))
 
 
+def _nested_json(s, d):
+    k = F.col("c_custkey")
+    day = F.date_add(F.lit("2020-01-01").cast("date"), (k % 700).cast("int"))
+    items = F.transform(F.sequence(F.lit(1), (k % 3).cast("int")), lambda i: F.struct(i.alias("n"), F.when(i == 2, F.lit(None)).otherwise((k + i).cast("decimal(18,2)") / 2).cast("decimal(18,2)").alias("price")))
+    c = table(s, d, "customer").select(
+        "c_custkey", (k.cast("decimal(18,2)") / 4).cast("decimal(18,2)").alias("quarter"), day.alias("day"), F.timestamp_add("SECOND", k % 86400, day.cast("timestamp_ntz")).alias("at"),
+        F.when(k % 2 == 0, F.encode(F.lit('a"é'), "utf-8")).otherwise(F.unhex(F.lit("ff00"))).alias("raw"), F.when(k % 3 > 0, items).alias("items"), F.create_map(F.lit("x"), k % 2 == 0, F.lit("y"), F.lit(None).cast("boolean")).alias("flags"),
+    )
+    return S.to_json_rows(c)
+
+
+NESTED_JSON = """WITH c AS (SELECT c_custkey k, DATE '2020-01-01' + CAST(c_custkey % 700 AS INT) AS dd FROM customer),
+ i AS (SELECT k, dd, k % 3 AS n FROM c)
+ SELECT '{"c_custkey":' || k || ',"quarter":' || CASE WHEN k % 4 = 0 THEN CAST(k // 4 AS VARCHAR) ELSE CAST(CAST(k AS DOUBLE) / 4 AS VARCHAR) END || ',"day":"' || strftime(dd, '%Y-%m-%d') || '","at":"' || strftime(CAST(dd AS TIMESTAMP) + to_seconds(k % 86400), '%Y-%m-%dT%H:%M:%S')
+ || '","raw":' || CASE WHEN k % 2 = 0 THEN '"a\\"é"' ELSE '"ff00"' END || ',"items":' || CASE n WHEN 0 THEN 'null' WHEN 1 THEN '[{"n":1,"price":' || p || '}]' ELSE '[{"n":1,"price":' || p || '},{"n":2,"price":null}]' END || ',"flags":{"x":' || CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END || ',"y":null}}' AS json
+ FROM (SELECT *, CASE WHEN (k + 1) % 2 = 0 THEN CAST((k + 1) // 2 AS VARCHAR) ELSE CAST(CAST(k + 1 AS DOUBLE) / 2 AS VARCHAR) END p FROM i)"""
+
+
 def _history(s, d):
     e = table(s, d, "events").select(F.col("event_id").cast("string").alias("run_id"), F.col("event_type").alias("name"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("started_at"))
     first = e.agg(F.min("name").alias("first"))
@@ -221,6 +239,7 @@ Q = {
     "sample_rows": (_sample, "SELECT o_orderkey source_row_number, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 100"),
     "exact_row_numbers": (_numbers, "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) + 1 AS row_number FROM orders"),
     "orders_as_json": (_json, """SELECT '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","segment":' || CASE WHEN c_custkey % 2 = 0 THEN '"' || c_mktsegment || '"' ELSE 'null' END || '}' AS json FROM customer"""),
+    "nested_as_json": (_nested_json, NESTED_JSON),
     "table_counts": (_counts, "SELECT 'orders' AS name, count(*) AS rows FROM orders UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'lineitem', count(*) FROM lineitem"),
     "run_history": (_history, "SELECT CAST(event_id AS VARCHAR) run_id, event_type AS name, strftime(ts, '%Y-%m-%d %H:%M:%S') started_at FROM events WHERE event_type = (SELECT min(event_type) FROM events) ORDER BY started_at DESC, run_id LIMIT 30"),
     "layout_lookup": (_layout, f"WITH {ORDERS}, {ITEMS} SELECT {FLAT_SQL} FROM od WHERE order_id IN (SELECT order_id FROM it WHERE sku = '1')"),

@@ -70,21 +70,22 @@ class StreamLoad:
         self.version_field, self.find_duplicates, self.files = version_field, find_duplicates, files_per_batch
         self.keys = SeenKeys(spark, self.w.path(f"streams/{name}/keys"))
 
-    def _classified(self, paths: list[str], number: int, work: str) -> None:
+    def _classified(self, paths: list[str], number: int, work: str) -> dict:
         rows = S.stamp_lineage(S.read_orders_csv(self.spark, paths, self.version_field), f"{self.name}-{number}")
         rows = self.keys.flag(rows, "order_id", ("source_file", "source_row_number"), number, work) if self.find_duplicates else rows
         done = classify(rows.drop("raw_record"))
         version = F.expr(f"try_cast({self.version_field} as bigint)") if self.version_field else F.lit(None).cast("long")
         done = done.withColumn("version", version)
-        done.drop(*({self.version_field} - {None, "version"})).write.mode("overwrite").parquet(f"{work}/classified")
+        counts = catalog.counted_write(done.drop(*({self.version_field} - {None, "version"})), f"{work}/classified")
         if self.find_duplicates:
             self.keys.mark(number, work)
+        return counts
 
     def batch(self, files: DataFrame, number: int) -> None:
         """Does what is left to do of a batch of files (path, ...)."""
         run, work = f"{self.name}-{number}", self.w.path(f"work/{self.name}-{number}")
         log = CommitLog(self.spark, self.w.path(f"streams/{self.name}/batches/{number:08d}"))
-        steps: list[Callable[[], dict]] = [lambda: self._first(files, number, work), lambda: self._merged(work, run), lambda: self._held(work, run), lambda: self._measured(work, run)]
+        steps: list[Callable[[], dict]] = [lambda: self._first(files, number, work), lambda: self._merged(work, run), lambda: self._held(work, run), lambda: self._measured(log, run)]
         have = log.numbers()
         for k, (step, name) in enumerate(zip(steps, self.STEPS), 1):
             if k not in have:
@@ -92,9 +93,7 @@ class StreamLoad:
 
     def _first(self, files: DataFrame, number: int, work: str) -> dict:
         paths = sorted(r["path"] for r in files.select("path").collect())  # files_per_batch names at most
-        if paths:
-            self._classified(paths, number, work)
-        return {"files": len(paths)}
+        return {"files": len(paths), "counts": self._classified(paths, number, work)}
 
     def _merged(self, work: str, run: str) -> dict:
         good, _ = split_by_status(self.spark.read.parquet(f"{work}/classified"))
@@ -105,10 +104,10 @@ class StreamLoad:
         S.append_quarantine(self.spark, bad, self.w.path("quarantine"), run)
         return {}
 
-    def _measured(self, work: str, run: str) -> dict:
-        metrics = catalog.run_metrics(self.spark.read.parquet(f"{work}/classified"))
-        S.append_run_metrics(metrics.withColumns({"run_id": F.lit(run), "name": F.lit(self.name), "started_at": F.current_timestamp()}), self.w.path("run_metrics"))
-        return metrics.first().asDict()
+    def _measured(self, log: CommitLog, run: str) -> dict:
+        counts = log.read(1)["counts"]  # observed while the rows were written
+        S.append_run_metrics(catalog.metrics_row(self.spark, counts, run, self.name), self.w.path("run_metrics"))
+        return counts
 
     def run(self, checkpoint: str, timeout_s: int = 3600) -> int:
         """Takes the files that are there and new since the checkpoint, and what is left of a batch that broke off; gives the number of batches."""

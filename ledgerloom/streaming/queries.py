@@ -12,6 +12,7 @@ from ..plans.scratch import scratch
 from ..sources.buckets import BucketTable
 from . import ingest as I
 from .loads import SeenKeys, StreamLoad
+from .polls import Poller
 
 
 def _daily(s, d):
@@ -125,8 +126,37 @@ def _merge_conflict(s, d):
     return one.read().select("order_id", "version", "event_type", "value").withColumn("states", F.lit(one.state()[0]))
 
 
+def _polls(s, d):
+    """Users' events as twelve sources, polled three times. Before the second time a quarter stays as it is, one is written again, one loses its newest events, and one gets
+    newer ones; before the third nothing changes."""
+    at = scratch(s, "polls")
+    e = table(s, d, "events").select("user_id", "event_id", "value")
+
+    def write(rows, i):
+        rows.where(F.col("user_id") % 12 == i).select(F.col("event_id").alias("version"), "value").write.mode("overwrite").option("header", True).csv(f"{at}/in/{i:02d}")
+
+    read = lambda paths: s.read.schema("version long, value double").option("header", True).csv(paths).select("version", "value", F.col("_metadata.file_path").alias("_path"))
+    poller, loaded = Poller(s, f"{at}/state", f"{at}/in", read, by_folder=True), []
+    for i in range(12):
+        write(e, i)
+    for n in range(3):
+        decided = poller.run(loaded.extend)
+        decided.select(F.lit(n).alias("poll"), F.right("source_key", F.lit(2)).cast("int").alias("source"), "opened", "decision", "max_version").write.parquet(f"{at}/out/{n}")
+        if n == 0:
+            changed = {1: e, 2: e.where("event_id % 10 < 9"), 3: e.withColumn("event_id", F.col("event_id") + 1_000_000_000)}
+            for i in range(12):
+                if i % 4:
+                    write(changed[i % 4], i)
+    return s.read.option("recursiveFileLookup", True).parquet(f"{at}/out")
+
+
+POLLS = """WITH v AS (SELECT CAST(user_id % 12 AS INT) source, max(event_id) m, max(event_id) FILTER (WHERE event_id % 10 < 9) AS less FROM events GROUP BY 1), p AS (SELECT unnest([0, 1, 2]) AS poll)
+ SELECT CAST(poll AS INT) AS poll, source, poll = 0 OR (poll = 1 AND source % 4 <> 0) OR (poll = 2 AND source % 4 = 2) AS opened,
+ CASE WHEN poll = 0 OR (poll = 1 AND source % 4 = 3) THEN 'process' WHEN source % 4 = 2 THEN 'not_newer' ELSE 'unchanged' END AS decision,
+ CASE WHEN poll = 0 THEN m WHEN source % 4 = 2 THEN less WHEN source % 4 = 3 THEN m + 1000000000 ELSE m END max_version FROM v, p"""
 STREAM_MIXED = MIXED.replace("ORDER BY k)", "ORDER BY k % 3, k)")
 Q = {
+    "poll_decisions": (_polls, POLLS),
     "stream_load": (_stream_load, f"WITH {STREAM_MIXED} SELECT k, {MIXED_ERRORS} AS errors, (SELECT count(*) FROM m) raw, CAST(3 AS BIGINT) batches, (SELECT count(DISTINCT {MIXED_ID}) FROM m WHERE n = 0) orders FROM m WHERE n > 0"),
     "stream_duplicates": (_stream_duplicates, "SELECT CASE WHEN event_id % 11 = 0 THEN ' ' ELSE ' ' || user_id END order_id, event_id source_row_number, event_id % 11 <> 0 AND row_number() OVER (PARTITION BY CASE WHEN event_id % 11 = 0 THEN 'b' ELSE CAST(user_id AS VARCHAR) END ORDER BY (event_id * 7 + event_id // 3) % 5, event_id) > 1 is_duplicate FROM events"),
     "merge_conflict": (_merge_conflict, "SELECT CAST(user_id AS VARCHAR) order_id, event_id AS version, event_type, value, CAST(5 AS INT) states FROM events WHERE event_id % 5 <> 4 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"),

@@ -1,5 +1,7 @@
 """CSV by header, surplus columns, row numbers, replay-safe ids, the bucket table, and loads that broke off."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ledgerloom.sources import orders as S
 from ledgerloom.sources.buckets import BucketTable, Conflict
 from ledgerloom.sources.commits import CommitLog
 from ledgerloom.streaming.loads import StreamLoad
+from ledgerloom.streaming.polls import Poller
 
 
 def write(path, *lines, bom=False):
@@ -56,6 +59,37 @@ def test_ids_do_not_depend_on_splits(spark, tmp_path):
     assert ids[0] == ids[1] and len({x[0] for x in ids[0]}) == 40
 
 
+def test_json_of_any_type(spark):
+    import datetime
+    from decimal import Decimal as D
+
+    kind = "a decimal(10,2), d date, t timestamp, n timestamp_ntz, b binary, s string, f double, ok boolean, l array<struct<x:decimal(5,1),y:array<binary>>>, m map<int,array<date>>"
+    day, at = datetime.date(2024, 2, 29), datetime.datetime(2024, 2, 29, 1, 2, 3, 450)
+    rows = [(D("5.00"), day, at, at.replace(microsecond=0), b"\xff\x00", 'q"\n\u0001', 1.5, True, [(D("1.5"), [b"x", None, b"\xc3"]), None, (None, None), (D("-3.0"), [])], {1: [day, None], 2: None}), tuple([None] * 10)]
+    got = [json.loads(r.json) for r in S.to_json_rows(spark.createDataFrame(rows, kind)).collect()]
+    assert got[0] == {"a": 5, "d": "2024-02-29", "t": "2024-02-29T01:02:03.000450", "n": "2024-02-29T01:02:03", "b": "ff00", "s": 'q"\n\u0001', "f": 1.5, "ok": True, "l": [{"x": 1.5, "y": ["x", None, "c3"]}, None, {"x": None, "y": None}, {"x": -3, "y": []}], "m": {"1": ["2024-02-29", None], "2": None}}
+    assert isinstance(got[0]["a"], int) and isinstance(got[0]["l"][3]["x"], int) and got[1] == dict.fromkeys(got[0])
+    assert [json.loads(r.json) for r in S.to_json_rows(spark.createDataFrame([], kind)).collect()] == []
+
+
+def test_unchanged_sources_are_not_opened_and_one_poller_loads(spark, tmp_path):
+    box, opened, loaded = tmp_path / "in", [], []
+    write(box, "version,v", "1,a")
+    write(box, "version,v", "5,b")
+    read = lambda paths: opened.append(len(paths)) or spark.read.schema("version long, v string").option("header", True).csv(paths).select("*", F.col("_metadata.file_path").alias("_path"))
+    poller = lambda **k: Poller(spark, str(tmp_path / "state"), str(box), read, **k)
+    with pytest.raises(ZeroDivisionError):  # a load that breaks off isn't remembered
+        poller(lease_s=-1).run(lambda paths: 1 / 0)
+    one = poller()
+    assert {r.decision for r in one.run(loaded.extend).collect()} == {"process"} and len(loaded) == 2
+    assert {r.decision for r in one.run(loaded.extend).collect()} == {"unchanged"} and len(loaded) == 2 and opened == [2, 2]
+    (box / "f1.csv").write_text("version,v\n6,b\n7,c\n")
+    two, seen = poller(), []
+    assert sorted(r.decision for r in one.run(lambda p: seen.extend(r.decision for r in two.run(loaded.extend).collect()) or loaded.extend(p)).collect()) == ["process", "unchanged"]
+    assert sorted(seen) == ["claimed", "unchanged"] and len(loaded) == 3
+    assert {r.source_key.rpartition("/")[2]: r.last_version for r in one.state().collect()} == {"f0.csv": 1, "f1.csv": 7}
+
+
 def test_bucket_table_rewrites_touched_buckets(spark, tmp_path):
     t = BucketTable(spark, str(tmp_path / "t"), buckets=16)
     rows = lambda *x: spark.createDataFrame(list(x), "order_id string, version long, v string")
