@@ -126,6 +126,20 @@ def _merge_conflict(s, d):
     return one.read().select("order_id", "version", "event_type", "value").withColumn("states", F.lit(one.state()[0]))
 
 
+def _differences(s, d):
+    """What differs between users' newest events without a fifth of them and with it, where every tenth user has all."""
+    at = scratch(s, "differences")
+    e = table(s, d, "events").select(F.col("user_id").cast("string").alias("order_id"), F.col("event_id").alias("version"), "event_type", "value")
+    one, two = BucketTable(s, f"{at}/a", buckets=8), BucketTable(s, f"{at}/b", buckets=8)
+    old = e.where("version % 5 > 0 and cast(order_id as long) % 7 > 0")
+    one.merge(old)
+    two.merge(old)
+    few = F.col("order_id").cast("long") % 10 == 3
+    two.merge(e.where(few))
+    one.merge(e.where(few & (F.col("version") % 5 > 0)))
+    return one.differences(two)
+
+
 def _polls(s, d):
     """Users' events as twelve sources, polled three times. Before the second time a quarter stays as it is, one is written again, one loses its newest events, and one gets
     newer ones; before the third nothing changes."""
@@ -155,7 +169,11 @@ POLLS = """WITH v AS (SELECT CAST(user_id % 12 AS INT) source, max(event_id) m,
  CASE WHEN poll = 0 OR (poll = 1 AND source % 4 = 3) THEN 'process' WHEN source % 4 = 2 THEN 'not_newer' ELSE 'unchanged' END AS decision,
  CASE WHEN poll = 0 THEN m WHEN source % 4 = 2 THEN less WHEN source % 4 = 3 THEN m + 1000000000 ELSE m END max_version FROM v, p"""
 STREAM_MIXED = MIXED.replace("ORDER BY k)", "ORDER BY k % 3, k)")
+DIFFERENCES = """WITH e AS (SELECT *, user_id % 7 > 0 AND event_id % 5 > 0 AS old, user_id % 10 = 3 AS few FROM events),
+ a AS (SELECT user_id, max(event_id) v FROM e WHERE old OR (few AND event_id % 5 > 0) GROUP BY 1), b AS (SELECT user_id, max(event_id) v FROM e WHERE old OR few GROUP BY 1)
+ SELECT CAST(coalesce(a.user_id, b.user_id) AS VARCHAR) order_id, CASE WHEN a.v IS NULL THEN 'added' WHEN b.v IS NULL THEN 'missing' ELSE 'changed' END kind FROM a FULL JOIN b ON a.user_id = b.user_id WHERE a.v IS DISTINCT FROM b.v"""
 Q = {
+    "table_differences": (_differences, DIFFERENCES),
     "poll_decisions": (_polls, POLLS),
     "stream_load": (_stream_load, f"WITH {STREAM_MIXED} SELECT k, {MIXED_ERRORS} AS errors, (SELECT count(*) FROM m) raw, CAST(3 AS BIGINT) batches, (SELECT count(DISTINCT {MIXED_ID}) FROM m WHERE n = 0) orders FROM m WHERE n > 0"),
     "stream_duplicates": (_stream_duplicates, "SELECT CASE WHEN event_id % 11 = 0 THEN ' ' ELSE ' ' || user_id END order_id, event_id source_row_number, event_id % 11 <> 0 AND row_number() OVER (PARTITION BY CASE WHEN event_id % 11 = 0 THEN 'b' ELSE CAST(user_id AS VARCHAR) END ORDER BY (event_id * 7 + event_id // 3) % 5, event_id) > 1 is_duplicate FROM events"),

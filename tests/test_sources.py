@@ -155,6 +155,32 @@ def test_merges_at_a_time_lose_nothing(spark, tmp_path):
         one.merge(rows((same[0], 99, "one")))
 
 
+def test_differences_are_found_by_fingerprints(spark, tmp_path):
+    import random
+
+    r = random.Random(4)
+    rows = lambda x: spark.createDataFrame(x, "order_id string, version long, v array<string>")
+    one, two = (BucketTable(spark, str(tmp_path / n), buckets=8) for n in "ab")
+    assert one.differences(two) is None
+    data = [(f"k{i}", 1, [f"v{i}", None]) for i in range(60)]
+    one.merge(rows(data))
+    for k in range(3):  # the same rows in another order and several merges
+        two.merge(rows([x for i, x in enumerate(data) if i % 3 == k]))
+    assert one.commit()["prints"] == two.commit()["prints"] and one.differences(two) is None
+    change = [(f"k{i}", 2, ["new"]) for i in r.sample(range(60), 3)] + [("n1", 1, None)]
+    two.merge(rows(change))
+    assert {(x.order_id, x.kind) for x in one.differences(two).collect()} == {(k, "added" if k == "n1" else "changed") for k, _, _ in change}
+    assert {(x.order_id, x.kind) for x in two.differences(one).collect()} == {(k, "missing" if k == "n1" else "changed") for k, _, _ in change}
+    unlike = {b for b, x in two.commit()["prints"].items() if x != one.commit()["prints"].get(b)}
+    assert 1 <= len(unlike) <= 4 and all(any(f"_bucket={b}/" in f for b in unlike) for f in one.differences(two).inputFiles())
+    one.merge(rows(change))
+    assert one.differences(two) is None and one.differences(one, 1) is not None
+    # a fingerprint moved on is that of all rows
+    fresh = BucketTable(spark, str(tmp_path / "c"), buckets=8)
+    fresh.merge(two.read().drop("ingest_seq"))
+    assert fresh.commit()["prints"] == two.commit()["prints"]
+
+
 def test_named_merges_are_done_once_and_old_states_go(spark, tmp_path):
     rows = lambda *x: spark.createDataFrame(list(x), "order_id string, version long, v string")
     t = BucketTable(spark, str(tmp_path / "t"), buckets=2)
