@@ -1,13 +1,16 @@
 """Cases that once went wrong: comments longer than the article, contaminated rows that share an id with clean ones, many languages."""
 
 import itertools
+import math
 import random
+import re
 import time
 
+import numpy as np
 import pytest
 
 pytest.importorskip("ledgerloom.llm")
-from ledgerloom.llm import decontaminate, html, language, urls  # noqa: E402
+from ledgerloom.llm import decontaminate, html, language, toxicity, urls  # noqa: E402
 
 WORDS = "river stone market garden winter letter harbour window bridge music teacher village paper mountain summer road station ticket planet forest".split()
 
@@ -149,3 +152,62 @@ def test_tokens_that_nearly_go_together(spark, mixed):
         got = {x.page_id: x.verdict for x in urls.judge(df).collect()}
         assert time.time() - began < 60
         assert [got[len(labelled) + i] for i in range(3)] == ["block" if mixed else "allow", "allow", urls.DEFAULT]
+
+
+def plain_score(net, text):
+    """The score of a text by loops over windows, tokens and numbers, from the definition of the network alone."""
+    mask = (1 << 64) - 1
+    word_of, gram_of = {w: i for i, w in enumerate(net.inputs.words)}, {int(g): i for i, g in enumerate(net.inputs.grams)}
+    w = {k: np.asarray(v, float) for k, v in net.w.items()}
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+
+    def vector(token):
+        out = w["word"][word_of[token]].copy() if token in word_of else np.zeros(toxicity.DIM)
+        marked = [2, *map(ord, token), 3]
+        for n in (3, 4, 5):
+            for a in range(len(marked) - n + 1):
+                h = marked[a]
+                for c in marked[a + 1 : a + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + c) & mask
+                g = (h * 0xD6E8FEB86659FD93 + n) & mask
+                g ^= g >> 32
+                if g in gram_of:
+                    out += w["gram"][gram_of[g]]
+        return out
+
+    def states(xs, d):
+        h, out = [0.0] * toxicity.HIDDEN, []
+        for x in xs:
+            p, new = x @ w["W" + d] + w["b" + d], []
+            g = [sum(h[k] * w["U" + d][k][j] for k in range(toxicity.HIDDEN)) for j in range(3 * toxicity.HIDDEN)]
+            for j in range(toxicity.HIDDEN):
+                z, r = sigmoid(p[j] + g[j]), sigmoid(p[toxicity.HIDDEN + j] + g[toxicity.HIDDEN + j])
+                c = math.tanh(p[2 * toxicity.HIDDEN + j] + r * g[2 * toxicity.HIDDEN + j])
+                new.append(z * h[j] + (1 - z) * c)
+            h = new
+            out.append(h)
+        return out
+
+    def logit(window):
+        xs = [vector(t) for t in window] + [np.zeros(toxicity.DIM)] * (toxicity.WINDOW - len(window))
+        both = [f + b for f, b in zip(states(xs, "f"), states(xs[::-1], "b")[::-1])]
+        e = [math.exp(sum(a * b for a, b in zip(s, w["v"]))) for s in both[: len(window)]]
+        return sum(x / sum(e) * sum(a * b for a, b in zip(s, w["o"])) for x, s in zip(e, both)) + w["ob"][0]
+
+    tokens, step = re.findall(r"\w+", text.lower()), toxicity.WINDOW // 2
+    starts = range(0, max(1, len(tokens) - step), step) if tokens else []
+    top = max((logit(tokens[a : a + toxicity.WINDOW]) for a in starts), default=-20.0)
+    return sigmoid(net.scale[0] * top + net.scale[1])
+
+
+def test_toxicity_scores_are_those_of_plain_loops(spark):
+    r = random.Random(13)
+    texts = [" ".join(r.choice(WORDS) + ("" if r.random() < 0.8 else "s") for _ in range(r.randint(1, 90))) for _ in range(60)]
+    labels = [int(i % 3 == 0) for i in range(60)]
+    texts = [t + (" you grobnak " + r.choice(WORDS) if y else "") for t, y in zip(texts, labels)]
+    net = toxicity.fit(texts, labels)
+    assert len(net.inputs.words) and len(net.inputs.grams)
+    odd = [*texts[:25], "", "   ", "grobnaks", "Zürich GROBNAK!! " * 20, "x" * 300, "one two three", " ".join(["word"] * 24), " ".join(["word"] * 25), " ".join(["grobnak"] * 36 + ["end"]), None]
+    df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    got = {x.doc_id: x.score for x in toxicity.score(df, net).collect()}
+    assert {i: got[i] for i, t in enumerate(odd)} == {i: pytest.approx(plain_score(net, t or ""), abs=2e-4) for i, t in enumerate(odd)}
