@@ -41,11 +41,11 @@ def correction(field: str, before: Column, after: Column, rule: str | Column) ->
     return F.when(~before.cast("string").eqNullSafe(after.cast("string")), note)
 
 
-def classify(df: DataFrame, whole_titles: bool = False, compat_dayfirst: bool = False) -> DataFrame:
+def classify(df: DataFrame, whole_titles: bool = False, compat_dayfirst: bool = False, only: tuple[str, ...] | None = None) -> DataFrame:
     """df (the columns FIELDS as text, optionally is_duplicate and has_surplus, and others, which pass) with cleaned and typed fields and
 
     quality_status, error_codes, error_details, corrections, materially_corrected, raw_record. Missing columns of FIELDS
-    and null values count as blank.
+    and null values count as blank. only: of what classification makes these columns alone, so that Spark leaves out what they don't need (error codes need no audit trail).
     """
     made = ("is_duplicate", "has_surplus", "quality_status", "error_codes", "error_details", "corrections", "materially_corrected", "raw_record")
     others = [c for c in df.columns if c not in FIELDS and c not in made]
@@ -144,7 +144,10 @@ def classify(df: DataFrame, whole_titles: bool = False, compat_dayfirst: bool =
     outcome = final | {"quality_status": status, "error_codes": codes, "error_details": details, "corrections": c("corrections"), "materially_corrected": material}
     # A filter on the outcome must not be pushed down: substituting it through all groups would multiply the expressions at
     # each. Spark pushes nothing on what a generator makes, and filters on the columns that merely pass go down to the scan.
-    made = F.explode(F.array(F.struct(*(v.alias(k) for k, v in outcome.items()))))
+    wanted = {k: v for k, v in outcome.items() if only is None or k in only}
+    made = F.explode(F.array(F.struct(*(v.alias(k) for k, v in wanted.items()))))
+    if only is not None:
+        return s.select(*others, made.alias("_outcome")).select(*others, "_outcome.*")
     return s.select(*others, "raw_record", made.alias("_outcome")).select(*others, "_outcome.*", "raw_record")
 
 

@@ -84,8 +84,8 @@ def _text(s, d):
     return table(s, d, "documents").select("doc_id", F.md5(R.clean_text(F.col("text"))).alias("clean"))
 
 
-def classified(s, d):
-    return classify(dirty_orders(s, d))
+def classified(s, d, only=None):
+    return classify(dirty_orders(s, d), only=only)
 
 
 # what dirty_orders must become, by key arithmetic
@@ -104,7 +104,7 @@ def _status(s, d):
 
 
 def _errors(s, d):
-    return classified(s, d).select("source_row_number", F.explode("error_codes").alias("error_code"))
+    return classified(s, d, ("error_codes",)).select("source_row_number", F.explode("error_codes").alias("error_code"))
 
 
 def _corrections(s, d):
@@ -189,7 +189,7 @@ Q = {
     "classify_corrections": (_corrections, f"""WITH {BAD} SELECT k source_row_number, 'customer_phone' field, '+967 7' || lpad(CAST(k % 100000000 AS VARCHAR), 8, '0') original_value, '7' || lpad(CAST(k % 100000000 AS VARCHAR), 8, '0') corrected_value, 'PHONE_REMOVE_SPACES_AND_COUNTRY_CODE' rule_code FROM b
  UNION ALL SELECT k, 'currency', 'ريال يمني', 'YER', 'CURRENCY_TO_YER' FROM b UNION ALL SELECT k, 'order_id', 'طلب ' || (k + 200000), 'طلب-' || (k + 200000), 'STANDARDIZE_ORDER_ID' FROM b WHERE k % 11 <> 0
  UNION ALL SELECT k, 'customer_id', '', 'عميل-' || (k + 100000), 'INFER_CUSTOMER_ID_FROM_ORDER_ID' FROM b WHERE k % 13 = 0 AND k % 11 <> 0"""),
-    "quality_error_counts": (lambda s, d: C.error_counts(classified(s, d)), f"WITH {BAD}, x AS ({ERRORS}) SELECT error_code, count(*) AS count FROM x GROUP BY 1"),
+    "quality_error_counts": (lambda s, d: C.error_counts(classified(s, d, ("error_codes",))), f"WITH {BAD}, x AS ({ERRORS}) SELECT error_code, count(*) AS count FROM x GROUP BY 1"),
     "quality_status_counts": (lambda s, d: C.status_counts(classified(s, d)), f"WITH {BAD} SELECT CASE WHEN n > 0 THEN 'quarantined' ELSE 'corrected' END quality_status, count(*) AS count FROM b GROUP BY 1"),
     "run_metrics": (lambda s, d: C.run_metrics(classified(s, d)), f"WITH {BAD} SELECT count(*) raw, CAST(0 AS BIGINT) valid, count(*) FILTER (WHERE n = 0) corrected, count(*) FILTER (WHERE n > 0) quarantined, true AS consistent FROM b"),
     "run_summary": (lambda s, d: C.run_summary(classified(s, d)), f"WITH {BAD} SELECT count(*) raw_loaded, count(*) FILTER (WHERE n > 0) quarantine_count FROM b"),
