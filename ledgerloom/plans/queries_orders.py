@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.rules import stable_id
 from ..operators import keys as K
 from ..sources import orders as S
+from ..sources.buckets import BucketTable
+from ..sources.layout import RangeLayout
 from . import catalog as C
 from . import jobs, views
 from .adapter import DELIVERED, MONEY, item_rows, order_heads, orders_doc, raw_skus, table
@@ -154,6 +156,19 @@ def _layout(s, d):
     return _flat(jobs.orders_by_sku(s, at, "1"))
 
 
+def _layout_updated(s, d):
+    """Orders of a city from ranges of cities, of which an update rewrote those of the orders that moved there."""
+    at = scratch(s, "ranges")
+    rows = order_heads(s, d).withColumn("version", F.lit(1).cast("long"))
+    orders, layout = BucketTable(s, f"{at}/orders", buckets=8), RangeLayout(s, f"{at}/layout", ranges=8)
+    orders.merge(rows)
+    layout.build(orders.read(), orders.state()[0])
+    moved = rows.where(F.col("order_id").cast("long") % 10 == 0).withColumns({"city": F.lit("NATION_1"), "version": F.lit(2).cast("long")})
+    orders.merge(moved)
+    layout.update(orders.changes(layout.commit()["seq"]), orders.state()[0])
+    return _flat(layout.read(city="NATION_1"))
+
+
 def _counts(s, d):
     return S.table_counts({t: table(s, d, t) for t in ("orders", "customer", "lineitem")})
 
@@ -242,5 +257,6 @@ Q = {
     "nested_as_json": (_nested_json, NESTED_JSON),
     "table_counts": (_counts, "SELECT 'orders' AS name, count(*) AS rows FROM orders UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'lineitem', count(*) FROM lineitem"),
     "run_history": (_history, "SELECT CAST(event_id AS VARCHAR) run_id, event_type AS name, strftime(ts, '%Y-%m-%d %H:%M:%S') started_at FROM events WHERE event_type = (SELECT min(event_type) FROM events) ORDER BY started_at DESC, run_id LIMIT 30"),
+    "layout_updated": (_layout_updated, f"WITH {ORDERS} SELECT {FLAT_SQL} FROM (SELECT * REPLACE (CASE WHEN k % 10 = 0 THEN 'NATION_1' ELSE city END AS city) FROM od) WHERE city = 'NATION_1'"),
     "layout_lookup": (_layout, f"WITH {ORDERS}, {ITEMS} SELECT {FLAT_SQL} FROM od WHERE order_id IN (SELECT order_id FROM it WHERE sku = '1')"),
 }

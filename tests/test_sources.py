@@ -10,6 +10,7 @@ from ledgerloom.plans import jobs
 from ledgerloom.sources import orders as S
 from ledgerloom.sources.buckets import BucketTable, Conflict
 from ledgerloom.sources.commits import CommitLog
+from ledgerloom.sources.layout import RangeLayout
 from ledgerloom.streaming.loads import StreamLoad
 from ledgerloom.streaming.polls import Poller
 
@@ -181,6 +182,32 @@ def test_differences_are_found_by_fingerprints(spark, tmp_path):
     assert fresh.commit()["prints"] == two.commit()["prints"]
 
 
+def test_a_layout_rewrites_the_ranges_of_what_changed(spark, tmp_path):
+    import random
+
+    r = random.Random(6)
+    schema = "order_id string, version long, city string, status string, v int"
+    t, layout = BucketTable(spark, str(tmp_path / "t"), buckets=4), RangeLayout(spark, str(tmp_path / "l"), ranges=8)
+    row = lambda i, version: (f"o{i}", version, r.choice([None, *"abcdefghij"]), r.choice(["new", "sent", "done"]), r.randint(0, 99))
+    t.merge(spark.createDataFrame([row(i, 1) for i in range(400)], schema))
+    folders = layout.build(t.read(), t.state()[0])
+    assert 4 <= folders <= 8
+    for k in range(3):
+        t.merge(spark.createDataFrame([row(r.randrange(410), 2 + k)], schema))
+        t.merge(spark.createDataFrame([row(r.randrange(410), 2 + k)], schema))
+        before = layout.commit()["folders"]
+        n = layout.update(t.changes(layout.commit()["seq"]), t.state()[0])
+        assert 1 <= n <= 4 and sum(before.get(i) != f for i, f in layout.commit()["folders"].items()) <= n
+        whole = t.read().drop("ingest_seq")
+        for equal in ({"city": "c"}, {"city": "j", "status": "sent"}, {"city": "zz"}, {}):
+            want = whole
+            for c, v in equal.items():
+                want = want.where(F.col(c) == v)
+            got = layout.read(**equal)
+            assert sorted(map(str, got.select(*whole.columns).collect())) == sorted(map(str, want.collect()))
+        assert len(layout.read(city="c", status="new").inputFiles()) < len(layout.read().inputFiles()) / 2
+
+
 def test_named_merges_are_done_once_and_old_states_go(spark, tmp_path):
     rows = lambda *x: spark.createDataFrame(list(x), "order_id string, version long, v string")
     t = BucketTable(spark, str(tmp_path / "t"), buckets=2)
