@@ -156,6 +156,28 @@ def test_merges_at_a_time_lose_nothing(spark, tmp_path):
         one.merge(rows((same[0], 99, "one")))
 
 
+def test_few_incoming_rows_move_alone(spark, tmp_path, monkeypatch):
+    import random
+
+    from ledgerloom.operators.keys import merged
+    from ledgerloom.sources import buckets as B
+
+    r, schema = random.Random(9), "order_id string, version long, v string"
+    rows = lambda n, v: spark.createDataFrame([(f"k{r.randrange(90)}", r.choice([None, v, v + 1]), r.choice("ab")) for _ in range(n)], schema)
+    batches = [rows(60, v).cache() for v in range(1, 5)]
+    tables = []
+    for few in (200_000, 0):
+        monkeypatch.setattr(B, "FEW_ROWS", few)
+        t = BucketTable(spark, str(tmp_path / f"t{few}"), buckets=4)
+        counts = [t.merge(b, tie_break=("v",)) for b in batches]
+        tables.append((counts, sorted(map(str, t.read().collect())), t.commit()["prints"], sorted(map(str, t.changes(1).collect()))))
+    assert tables[0] == tables[1]
+    t.read().write.parquet(f"{tmp_path}/current")
+    batches[0].dropDuplicates(["order_id"]).write.parquet(f"{tmp_path}/new")
+    plan = merged(spark.read.parquet(f"{tmp_path}/current"), spark.read.parquet(f"{tmp_path}/new"), few=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_differences_are_found_by_fingerprints(spark, tmp_path):
     import random
 
