@@ -38,7 +38,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those in which a benchmark item occurs (decontaminate.matches()); null and empty texts stay."""
+    """docs without those in which a benchmark item occurs (decontaminate.matches()). Each row is judged by its own text, whatever its id, which may be
+    null or repeat; null and empty texts stay."""
     return decontaminate.without_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
