@@ -149,3 +149,21 @@ def test_filters_on_what_passes_reach_the_scan(spark, tmp_path):
     kept = classify(spark.read.parquet(f"{tmp_path}/raw")).where("run_id = 'r1' and quality_status = 'corrected'")
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(run_id" in plan and kept.count() == 3
+
+
+def test_status_alone_needs_no_trail(spark):
+    rows = [tuple((BASE | {"order_id": f"طلب-{i}"} | more)[c] for c in FIELDS) for i, more in enumerate(({}, {"items_json": "[]"}, {"currency": "usd"}, {"order_date": "31/02/2025", "city": " x"}))]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in FIELDS))
+    alone = classify(df, only=("order_id", "quality_status", "error_codes"))
+    whole = classify(df).select(*alone.columns)
+    assert sorted(map(str, alone.collect())) == sorted(map(str, whole.collect()))
+    # lists of notes and errors are compiled, not filtered by an interpreted lambda over all that makes them
+    for made in (alone, whole):
+        assert "filter(array(" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_split_classifies_once(spark):
+    from ledgerloom.plans.queries_rules import Q
+
+    plan = Q["split_by_status"][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and plan.count("Relation") == 2
