@@ -114,3 +114,26 @@ def test_lookups_read_what_they_need(spark, tmp_path):
     assert sorted(r.order_id for r in found.collect()) == sorted(r.order_id for r in want.collect())
     high = catalog.filter_orders(spark.read.parquet(f"{tmp_path}/by_city"), min_amount=200000.005)
     assert "GreaterThanOrEqual(total_amount,200000.01)" in high._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_merge_ranks_its_rows_once(spark):
+    from ledgerloom.operators import keys
+
+    schema = "order_id string, version long, v string"
+    rows = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], schema)
+    current = spark.createDataFrame([("a", 0, "w", 1)], schema + ", ingest_seq long")
+    again = keys.merged(current, rows)
+    once = keys.merged(current, rows, latest=True)
+    assert sorted(map(str, again.collect())) == sorted(map(str, once.collect()))
+    assert "max_by" in again._jdf.queryExecution().optimizedPlan().toString() and "max_by" not in once._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_merges_of_many_rows_make_no_json_of_them(spark, tmp_path, monkeypatch):
+    from ledgerloom.sources import buckets
+
+    monkeypatch.setattr(buckets, "FEW_ROWS", 1)
+    monkeypatch.setattr(buckets.F, "to_json", lambda *_: pytest.fail("rows were written as JSON"))
+    table = buckets.BucketTable(spark, str(tmp_path))
+    rows = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("a", 2, "z")], "order_id string, version long, v string")
+    assert table.merge(rows) == {"inserted": 2} and table.merge(rows) == {"unchanged": 2}
+    assert sorted((r.order_id, r.v) for r in table.read().collect()) == [("a", "z"), ("b", "y")]
