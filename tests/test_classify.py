@@ -125,6 +125,29 @@ def test_no_text_is_slow(spark):
     assert classify(one).where("quality_status = 'quarantined'").count() == 1 and time.time() - began < 15
 
 
+def test_status_alone_is_that_of_the_audit_trail(spark, results):
+    """Without the trail the first correction decides, and no note is made; texts that need no cleaning stay as they are."""
+    schema = ", ".join(f"{c} string" for c in ("n", *FIELDS)) + ", is_duplicate boolean, has_surplus boolean"
+    rows = [(str(i), *((BASE | change).get(c) for c in FIELDS), bool(change.get("is_duplicate")), bool(change.get("has_surplus"))) for i, (change, *_) in enumerate(CASES)]
+    clean = {c: "x" for c in FIELDS} | {"order_id": "طلب-7", "order_date": "2024-09-14", "customer_id": "عميل-3", "customer_email": "a@b.c", "currency": "YER", "items_json": '[{"sku":"a","qty":1,"unit_price":NaN}]'}
+    clean |= {"delivery_cost": "?", "payment_amount": "?", "total_amount": "?"}
+    odd = [clean, clean | {"items_json": '[{"sku":"a","sku":"b","qty":1,"unit_price":2}]'}, clean | {"items_json": ' [{"qty":"\u0663","unit_price":2}]'}, clean | {"items_json": '[{"qty":1,"unit_price":2},5]'}]
+    df = spark.createDataFrame(rows + [(f"odd {i}", *(x[c] for c in FIELDS), False, False) for i, x in enumerate(odd)], schema)
+    alone = classify(df, only=("quality_status",))
+    assert "original_value" not in alone._jdf.queryExecution().optimizedPlan().toString()
+    whole = {r["n"]: r for r in classify(df).collect()}
+    assert {r["n"]: r["quality_status"] for r in alone.collect()} == {n: r["quality_status"] for n, r in whole.items()}
+    assert all(results[i]["corrections"] == whole[str(i)]["corrections"] for i in results)
+    assert [[e for e in whole[f"odd {i}"]["error_codes"] if "ITEMS" in e] for i in range(4)] == [["CORRUPTED_ITEMS_JSON"], [], [], ["CORRUPTED_ITEMS_JSON"]]
+
+
+def test_texts_that_are_clean_are_left_alone(spark):
+    texts = ["", " ", "a", " a", "a ", "\u00a0a", "a\u3000", "\u1680م", "م\u2028", "م", "\u0085", "٣ ", "a٣", "12", "é", "𝟙", "\x00a"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+    got = df.select(R.strip(F.col("t")) == R.trimmed(F.col("t")), R.normalize_digits(F.col("t")) == R.ascii_digits(F.col("t"))).collect()
+    assert all(all(r) for r in got)
+
+
 def test_items_are_typed(results):
     item = results[0]["items_json"][0]
     assert (float(item["qty"]), float(item["unit_price"]), float(item["total"])) == (4.0, 2000.0, 8000.0)
