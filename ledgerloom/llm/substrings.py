@@ -262,7 +262,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     apart = F.when(F.col("repeated") | (F.col("kind") == _SPLIT), F.xxhash64("_key", "at").bitwiseOR(1)).otherwise(0)
     seen = seen.select("a", apart.alias("apart"), "_key", "at", "repeated", "kind")
     buckets = _with_buckets(seen, ["a", "apart"], n=F.count("*"), most=F.max("kind")).where(F.col("kind") != _MARK)
-    judged = checkpointed(buckets.where((F.col("n") > 1) | (F.col("apart") != 0) | (F.col("most") == _MARK)).select("_key", "at", "repeated"))
+    judged = checkpointed(buckets.where((F.col("n") > 1) | (F.col("apart") != 0) | (F.col("most") == _MARK)).select("_key", "at", "repeated"), shuffles_go=True)  # two shuffles of all units, together over twice the input
 
     unsettled = judged.where("not repeated").groupBy("_key").agg(F.collect_list(F.struct("at")).alias("open"))
     # all joins with texts read the same columns, so that one shuffle of them serves all
