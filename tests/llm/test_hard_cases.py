@@ -133,6 +133,55 @@ def test_mined_rules_are_the_best_of_all(spark):
     assert got >= 0.95 * 56  # sets that improve on no pair by IMPROVEMENT aren't mined
 
 
+def test_sets_that_tell_only_in_threes_are_found(spark):
+    # the verdict is the parity of three tokens: none and no pair of them tells anything
+    rows = [({x for j, x in enumerate("abc") if i >> j & 1} | ({"d"} if i % 5 == 0 else set()), "block" if (i & 7).bit_count() % 2 else "allow") for i in range(400)]
+    labelled = spark.createDataFrame([(sorted(t), v) for t, v in rows], "tokens array<string>, verdict string")
+    asked = [some for n in range(1, 5) for some in itertools.combinations("abcd", n)]
+    rules = urls.mine(labelled, 0.01, 0.8, sets=spark.createDataFrame([(list(x),) for x in asked], "t array<string>")).collect()
+    assert len({(tuple(x.tokens), x.verdict) for x in rules}) == len(rules)
+    assert [(x.verdict, x.confidence, x.support) for x in rules if x.tokens == ["a", "b", "c"]] == [("block", 1.0, 0.125)]
+    for some in asked:
+        fit = [((-x.confidence, -x.support, len(x.tokens), x.tokens), x.verdict) for x in rules if set(x.tokens) <= set(some)]
+        assert (min(fit)[1] if fit else urls.DEFAULT) == all_rules(rows, some, 0.01, 0.8)
+    assert any(x.tokens == ["a", "b", "c"] for x in urls.mine(labelled, 0.01, 0.8).collect())  # as a labelled row has them
+
+
+@pytest.mark.parametrize("most", [0, 14])
+def test_the_search_for_sets_is_exact(monkeypatch, most):
+    monkeypatch.setattr(urls, "LISTED", most)  # 0: by branch and bound alone
+    r = random.Random(3)
+    for _ in range(150):
+        k, tell = r.randrange(2, 8), r.random()
+        rows = []
+        for _ in range(r.randrange(5, 60)):
+            t = {x for x in "abcdefg"[:k] if r.random() < 0.7}
+            rows.append((t, "block" if (len(t) % 2 and r.random() < tell) or r.random() < 0.2 else "allow"))
+        support, confidence = r.choice([0.01, 0.1, 0.3]), r.choice([0.4, 0.8, 1.0])
+        want = None
+        for n in range(1, k + 1):
+            for some in itertools.combinations("abcdefg"[:k], n):
+                have = [v for t, v in rows if set(some) <= t]
+                for v in set(have):
+                    if have.count(v) >= support * len(rows) and have.count(v) / len(have) >= confidence:
+                        new = ((-have.count(v) / len(have), -have.count(v), n, list(some)), v, have.count(v), len(have))
+                        want = min(want or new, new)
+        got = urls.best_set(list("abcdefg"[:k]), [(sorted(t), v, 1) for t, v in rows if t], support * len(rows), confidence)
+        assert got == (want and (want[0][3], *want[1:]))
+
+
+@pytest.mark.parametrize("noise", [0, 0.1, 0.5])
+def test_the_search_for_sets_ends_on_templates(noise):
+    # each row lacks another one of 40 tokens, and by which one it lacks has its verdict
+    r, names = random.Random(5), [f"t{i:02}" for i in range(40)]
+    rows = [([t for t in names if t != names[i % 40]], "allow" if (i % 2 == 0) ^ (r.random() < noise) else "block", 1) for i in range(800)]
+    began = time.time()
+    rule = urls.best_set(names, rows, 8, 0.8)
+    assert time.time() - began < 20
+    assert noise or rule == (names[::2], "block", 400, 400)  # as many allow without the others; the first in order stays
+    assert noise == 0.5 or rule[2] / rule[3] >= 0.8
+
+
 @pytest.mark.parametrize("mixed", [False, True])
 def test_tokens_that_nearly_go_together(spark, mixed):
     # each url lacks another one of k segments; with `mixed` both verdicts have them, and the last segment tells
