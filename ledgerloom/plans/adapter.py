@@ -16,12 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df, dealt out over all cores if it is a scan of fewer splits than there are cores: rules cost far more than reading.
+    """df, dealt out evenly over all cores by its rows: rules cost far more than reading or a shuffle of what they read.
 
-    A table of many splits, the rule at scale, is left as it is and not shuffled.
+    The number of a scan's splits tells nothing: a Parquet file is split by bytes, but each row group is read whole by one of its splits, and the others stay empty.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(max(2 * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()), *df.columns)
 
 
 def order_heads(spark: SparkSession, sf_dir: str) -> DataFrame:

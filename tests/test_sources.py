@@ -285,3 +285,22 @@ def test_load_goes_on_behind_what_it_had_finished(spark, tmp_path, monkeypatch):
     rows = sorted(r.source_row_number for r in spark.read.parquet(f"{tmp_path}/w/raw").collect())
     part = jobs.full_load(spark, str(tmp_path / "w2"), at, "r1", after_row=rows[1])
     assert part["raw"] == 1 and "DUPLICATE_ORDER_ID" in spark.read.parquet(f"{tmp_path}/w2/quarantine").first().error_codes
+
+
+def test_rows_of_one_row_group_are_spread(spark, tmp_path):
+    # a file of many splits whose rows are all in one row group, which one task reads
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from ledgerloom.plans.adapter import spread
+
+    pq.write_table(pa.table({"id": list(range(100_000))}), f"{tmp_path}/t.parquet", row_group_size=100_000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = spark.read.parquet(f"{tmp_path}/t.parquet")
+        assert rows.rdd.getNumPartitions() > 8 and max(r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()) == 100_000
+        got = [r["count"] for r in spread(rows).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sum(got) == 100_000 and len(got) >= 8 and max(got) < 2 * 100_000 / len(got)
