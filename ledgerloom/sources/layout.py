@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .commits import CommitLog
+from .commits import CommitLog, share_of
 
 
 class RangeLayout:
@@ -35,7 +35,7 @@ class RangeLayout:
     def _write(self, rows: DataFrame, bounds: list[list[str]]) -> str:
         name = f"data/{uuid.uuid4().hex}"
         placed = rows.withColumn("_range", self._number(bounds))
-        placed.repartition("_range").sortWithinPartitions("_range", *self.columns, self.key).write.partitionBy("_range").parquet(f"{self.path}/{name}")
+        placed.repartition("_range", share_of(self.spark, self.key, max(1, len(bounds)))).sortWithinPartitions("_range", *self.columns, self.key).write.partitionBy("_range").parquet(f"{self.path}/{name}")
         return name
 
     def _put(self, seq: int, bounds: list[list[str]], folders: dict[str, str]) -> None:

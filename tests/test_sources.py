@@ -304,3 +304,22 @@ def test_rows_of_one_row_group_are_spread(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sum(got) == 100_000 and len(got) >= 8 and max(got) < 2 * 100_000 / len(got)
+
+
+def test_several_tasks_write_a_range_or_a_bucket(spark, tmp_path):
+    rows = spark.range(4000).select(F.col("id").cast("string").alias("order_id"), F.lit("c").alias("city"), F.lit("s").alias("status"), F.lit(1).cast("long").alias("version"), F.lit("x" * 2000).alias("pad"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or so few rows are put together again
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        layout = RangeLayout(spark, f"{tmp_path}/l", ranges=2)
+        layout.build(rows, 1)
+        table = BucketTable(spark, f"{tmp_path}/t", buckets=1)
+        table.merge(rows.withColumn("pad", F.repeat(F.lit("y"), 20_000)))  # too much to be broadcast
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    folders = [f"{tmp_path}/l/{f}" for f in layout.commit()["folders"].values()], [f"{tmp_path}/t/{f}" for f, _ in table.commit()["buckets"].values()]
+    for some in folders:
+        assert len(spark.read.parquet(*some).inputFiles()) > 2
+    assert layout.read(city="c").count() == table.read().count() == 4000
