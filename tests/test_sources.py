@@ -323,3 +323,17 @@ def test_several_tasks_write_a_range_or_a_bucket(spark, tmp_path):
     for some in folders:
         assert len(spark.read.parquet(*some).inputFiles()) > 2
     assert layout.read(city="c").count() == table.read().count() == 4000
+
+
+def test_lookup_layout_makes_its_orders_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(300).select(F.col("id").cast("string").alias("order_id"), (F.col("id") % 3).cast("string").alias("city"), F.lit("s").alias("status"), F.lit("2020-01-01").alias("order_date"), F.lit("c").alias("customer_id"), F.array(F.struct(F.lit("a").alias("sku"))).alias("items_json"))
+    jobs.write_lookup_layout(rows.mapInArrow(count, rows.schema), str(tmp_path))
+    assert seen.value == 300
+    assert jobs.orders_by_sku(spark, str(tmp_path), "a").count() == 300 and not [x for x in tmp_path.iterdir() if x.name.startswith("held")]
