@@ -114,9 +114,13 @@ def _fingerprint(s, d):
     return whole.join(parts, (whole["x"] == parts["xor"]) & (whole["sum"] == parts["sum"])).select(parts["n"].alias("n"))
 
 
-def _refresh(s, d):
-    """Orders before and after a change of every tenth (new amounts and dates; every hundredth goes to another day)."""
+def _refresh(s, d, items=False):
+    """Orders before and after a change of every tenth (new amounts and dates; every hundredth goes to another day). items: theirs are read too, and are put together once for all who do."""
     before = orders_doc(s, d).withColumn("ingest_seq", F.lit(1).cast("long"))
+    if items:
+        at = scratch(s, "refresh")
+        before.write.parquet(at)
+        before = s.read.parquet(at)
     k = F.col("order_id").cast("long")
     after = before.where(k % 50 != 1).withColumns({
         "total_amount": F.when(k % 10 == 0, F.col("total_amount") + 100).otherwise(F.col("total_amount")).cast(MONEY),
@@ -135,14 +139,14 @@ def _refresh_daily(s, d):
 
 
 def _refresh_products(s, d):
-    before, after, gone = _refresh(s, d)
+    before, after, gone = _refresh(s, d, items=True)
     _, skus = views.affected_keys(before, after, 1)
     skus = skus.unionByName(C.exploded_items(gone).select("sku")).distinct()
     return views.refresh_products(views.product_sales(before), after, skus)
 
 
 def _affected(s, d):
-    before, after, _ = _refresh(s, d)
+    before, after, _ = _refresh(s, d, items=True)
     dates, skus = views.affected_keys(before, after, 1)
     return dates.select(F.lit("date").alias("kind"), F.col("date").alias("key")).unionByName(skus.select(F.lit("sku").alias("kind"), F.col("sku").alias("key")))
 

@@ -337,3 +337,11 @@ def test_lookup_layout_makes_its_orders_once(spark, tmp_path):
     jobs.write_lookup_layout(rows.mapInArrow(count, rows.schema), str(tmp_path))
     assert seen.value == 300
     assert jobs.orders_by_sku(spark, str(tmp_path), "a").count() == 300 and not [x for x in tmp_path.iterdir() if x.name.startswith("held")]
+
+
+def test_refresh_of_products_puts_items_together_once(spark):
+    from ledgerloom.plans import queries_orders
+
+    for name in ("mv_refresh_products", "mv_affected_keys"):
+        plan = queries_orders.Q[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_orderkey" not in plan
