@@ -11,8 +11,8 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
-import re
 import tempfile
 import uuid
 
@@ -30,12 +30,72 @@ TOGETHER = 64  #: blocks that are coded in one go
 END = 0  #: the id behind each document
 KNOWN = 250_000  #: words whose ids a process keeps, twice: as many as it met last and as many before
 LONG = 64  #: characters; longer words of other scripts or signs aren't kept
-_SPACE = "\t-\r \x1c-\x1f\x85\xa0  -     　"
-_ODD = f"[{_SPACE}] "  # a space behind white space
-_CUT = re.compile(f"(?<=[^{_SPACE}]) ")
-_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
-_LINE = re.compile(f"({_LATIN.pattern})([.,;:!?])?(?:\\n({_LATIN.pattern})([.,;:!?])?)?")  # such a word, a mark, and the same on the next line
-_MARKS = ".,;:!?"
+TOLD = 1 << 14  #: words that the library gets in one text
+#: Classes of bytes: Latin letters, digits, other ASCII signs, space, other ASCII white space, apostrophe, parts of other characters, and
+#: what is or may be white space elsewhere in Unicode.
+_L, _N, _P, _S, _W, _A, _U, _X = range(8)
+
+
+def _class_of_bytes() -> np.ndarray:
+    kinds = np.full(256, _U, np.uint8)
+    kinds[:128] = _P
+    for b in range(128):
+        if chr(b).isalnum():
+            kinds[b] = _L if chr(b).isalpha() else _N
+    kinds[[32, 39]] = _S, _A
+    kinds[[9, 10, 13]] = _W
+    kinds[[11, 12, 28, 29, 30, 31]] = _X
+    kinds[0xC3:0xC9] = _L  # U+00C0 to U+023F, see _classes
+    return kinds
+
+
+def _cuts_of_pairs() -> np.ndarray:
+    """For two neighbours' classes (8 * first + second): 1 if the second begins a unit whatever is around them, 2 if the first does, 3 if both do.
+
+    The units are those of the pattern of a ByteLevel pre-tokenizer. They end where white space begins. The last of several white characters
+    is a unit's first, as a space or alone. Letters, digits and signs are units of their own, but letters behind an apostrophe may belong to it.
+    """
+    cuts = np.zeros((8, 8), np.uint8)
+    for first in (_L, _N, _P, _A, _U):
+        cuts[first, [_S, _W]] = 1
+        cuts[_S, first], cuts[_W, first] = 2, 3
+    for first in (_L, _N, _P):
+        cuts[first, [x for x in (_L, _N, _P) if x != first]] = 1
+    cuts[[_L, _N], _A] = 1
+    return cuts.ravel()
+
+
+_CLASS, _CUTS = _class_of_bytes(), _cuts_of_pairs()
+
+
+def _classes(data: np.ndarray) -> np.ndarray:
+    """The class of each byte of UTF-8."""
+    kinds = _CLASS[data]
+    wide = np.flatnonzero(data >= 0xC2)  # where characters beyond ASCII begin
+    lead = data[wide]
+    latin = wide[(lead >= 0xC3) & (lead <= 0xC8)]
+    kinds[latin + 1] = _L
+    signs = latin[(data[latin] == 0xC3) & (data[latin + 1] | 0x20 == 0xB7)]  # the signs of multiplication and division
+    kinds[signs] = kinds[signs + 1] = _U
+    two = wide[lead == 0xC2]
+    two = two[(data[two + 1] == 0x85) | (data[two + 1] == 0xA0)]
+    kinds[two] = kinds[two + 1] = _X
+    three = wide[(lead >= 0xE1) & (lead <= 0xE3)]
+    a, b, c = data[three], data[three + 1], data[three + 2]
+    general = (a == 0xE2) & ((b == 0x81) | ((b == 0x80) & ((c <= 0x8F) | ((c >= 0xA8) & (c <= 0xAF)))))
+    three = three[general | ((a == 0xE1) & ((b == 0x9A) | (b == 0xA0))) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))]
+    for k in range(3):
+        kinds[three + k] = _X
+    return kinds
+
+
+def _bytes_of(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text begins, and behind them the end; and the bytes of all."""
+    _, offsets, data = texts.buffers()
+    if not len(texts) or data is None:
+        return np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.uint8)
+    bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return bounds - bounds[0], np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -48,115 +108,122 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 class Words:
     """Ids of whole texts by a byte-level BPE of the tokenizers library, word by word.
 
-    Such a tokenizer never joins a space that follows something else than white space to what is before it, so the text can be cut there;
-    each distinct word is tokenised once and its ids are kept. A word of Latin letters is one unit of the model, which gets it without
-    the search for units; a mark or a line feed behind such a word is a unit of its own. Everything else goes through the whole tokenizer.
+    Such a tokenizer takes texts apart by a pattern first. Where a unit of it begins whatever is around, texts are cut; each distinct word
+    between two cuts is tokenised once and its ids are kept. Words that are one unit go to the model in one text, spelled as its vocabulary
+    has it; others (an apostrophe, other scripts) through the whole tokenizer. So do texts with a special token's own string,
+    and all texts if the tokenizer is of another kind.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
-        self.letters = {b: chr(256 + hidden.index(b)) for b in hidden}  # how such a vocabulary spells bytes
-        self.known: dict[str, bytes] = {}  # what words with a space before them are
+        self.letters = np.arange(256, dtype="<u4")  # how such a vocabulary spells bytes
+        self.letters[hidden] = np.arange(256, 256 + len(hidden))
+        model, vocab = made["model"], made["model"].get("vocab")
+        self.cuts = (
+            (made.get("pre_tokenizer") or {}) | {"trim_offsets": True} == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+            and model.get("type") == "BPE"
+            and not any(made.get(x) for x in ("normalizer", "truncation", "padding"))
+            and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+            and all(chr(c) in vocab for c in self.letters.tolist())
+        )
+        self.special = [t["content"] for t in made.get("added_tokens") or []]
+        self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.marks = {m: self.raw([m])[0] for m in _MARKS}
-        self.line = self.raw(["\n"])[0]
+        if self.cuts:
+            self.letters[255] = 10  # no byte of UTF-8; a line feed isn't spelled as itself
+            self.units = Tokenizer(self.whole.model)
+            self.units.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+            self.length = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each id
+            self.length[list(vocab.values())] = [len(x) for x in vocab]
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def units(self, words: list[str], before: str) -> list[bytes]:
-        """The ids of words of Latin letters, `before` before each."""
-        if not words:
+    def raw_units(self, words: pa.LargeStringArray) -> list[bytes]:
+        """The ids of words that are one unit each."""
+        found = []
+        for at in range(0, len(words), TOLD):
+            bounds, data = _bytes_of(words.slice(at, TOLD))
+            spelled = self.letters[np.insert(data, bounds[1:-1], 255)].tobytes().decode("utf-32-le")
+            ids = np.array(self.units.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, np.int64)
+            behind = np.cumsum(self.length[ids])
+            last = np.searchsorted(behind, bounds[1:])
+            if len(behind) == 0 or behind[-1] != bounds[-1] or (behind[last] != bounds[1:]).any():
+                raise ValueError("the ids of words don't fit their bytes")
+            raw, ends = ids.astype(self.kind).tobytes(), [0, *((last + 1) * self.kind.itemsize).tolist()]
+            found += [raw[a:b] for a, b in zip(ends, ends[1:])]
+        return found
+
+    def learn(self, words: pa.LargeStringArray, names: list[str]) -> list[bytes]:
+        """The ids of distinct words, which are kept by their names but for long ones of several units."""
+        if not len(words):
             return []
-        tokenize, flat, ends = self.whole.model.tokenize, [], [0]
-        spelled = "\n".join([before + w for w in words])
-        if not spelled.isascii() or before:
-            spelled = spelled.encode().decode("latin-1").translate(self.letters | {10: "\n"})
-        for s in spelled.split("\n"):
-            flat += [t.id for t in tokenize(s)]
-            ends.append(len(flat))
-        raw, size = np.array(flat, self.kind).tobytes(), self.kind.itemsize
-        return [raw[a * size : b * size] for a, b in zip(ends, ends[1:])]
-
-    def learn(self, words: list[str]) -> list[bytes]:
-        """The ids of distinct words with a space before them, which are kept; when there are too many, those that weren't met again go."""
+        bounds, data = _bytes_of(words)
+        several = np.logical_or.reduceat(_classes(data) >= _A, bounds[:-1])
+        raw = np.empty(len(words), object)
+        raw[~several] = self.raw_units(words.filter(pa.array(~several)))
+        hard = np.flatnonzero(several).tolist()
+        for i, ids in zip(hard, self.raw([names[i] for i in hard])):
+            raw[i] = ids
+        raw, keep = raw.tolist(), ~several
+        keep[[i for i in hard if len(names[i]) <= LONG]] = True
+        self.known.update((w, x) for w, x, k in zip(names, raw, keep.tolist()) if k)
+        return raw
+
+    def of(self, distinct: pa.LargeStringArray) -> list[bytes]:
+        """The ids of distinct words; when too many are kept, those that weren't met again go."""
         if len(self.known) > KNOWN:
             self.known, self.older = {}, self.known
-        known, older, marks = self.known, self.older, self.marks
-        plain: dict[str, None] = {}  # words of letters, with a space before them
-        bare: dict[str, None] = {}  # those at the beginning of a line
-        put, whole = [], []
-        for w in words:
-            if (found := older.get(w)) is not None:
-                known[w] = found
-            elif w.isascii() and w.isalpha():
-                plain[w] = None
-            elif m := _LINE.fullmatch(w):
-                a, mark, b, end = m.groups()
-                if a not in known:
-                    plain[a] = None
-                if b:
-                    bare[b] = None
-                if mark or b:
-                    put.append((w, a, mark, b, end))
-            else:
-                whole.append(w)
-        known.update(zip(plain, self.units(list(plain), " ")))
-        starts = dict(zip(bare, self.units(list(bare), "")))
-        for w, a, mark, b, end in put:
-            ids = known[a] + marks[mark] if mark else known[a]
-            known[w] = ids + self.line + starts[b] + (marks[end] if end else b"") if b else ids
-        long = {}
-        for w, ids in zip(whole, self.raw([f" {w}" for w in whole])):
-            (known if len(w) <= LONG else long)[w] = ids
-        return [known[w] if w in known else long[w] for w in words]
-
-    def firsts(self, words: list[str]) -> list[bytes]:
-        """The ids of words at the beginning of a text."""
-        plain = [w for w in words if _LATIN.fullmatch(w)]
-        others = [w for w in words if not _LATIN.fullmatch(w)]
-        found = dict(zip(plain, self.units(plain, ""))) | dict(zip(others, self.raw(others)))
-        return [found[w] for w in words]
+        words = distinct.to_numpy(zero_copy_only=False).tolist()
+        raw, missing = list(map(self.known.get, words)), []
+        for i, found in enumerate(raw):
+            if found is None:
+                if (found := self.older.get(words[i])) is None:
+                    missing.append(i)
+                else:
+                    raw[i] = self.known[words[i]] = found
+        for i, found in zip(missing, self.learn(distinct.take(pa.array(missing, pa.int64())), [words[i] for i in missing])):
+            raw[i] = found
+        return raw
 
     def ids(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text, as bytes of self.kind (null: none)."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
-        cut = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
-        starts = cut.offsets.to_numpy().astype(np.int64)
-        words = cut.flatten().dictionary_encode()
-        distinct, codes = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
-        inner = np.ones(len(codes), bool)
-        inner[starts[:-1]] = False  # they have no space before them; each text has one
-        rest = codes[inner]
-        used = np.flatnonzero(np.bincount(rest, minlength=len(distinct))).tolist()
-        raw: list[bytes | None] = [b""] * len(distinct)
-        get, missing = self.known.get, []
-        for c in used:
-            raw[c] = found = get(distinct[c])
-            if found is None:
-                missing.append(c)
-        for c, found in zip(missing, self.learn([distinct[c] for c in missing])):
-            raw[c] = found
-        size = np.array([len(r) for r in raw], np.int64) // self.kind.itemsize
-        flat, begin = np.frombuffer(b"".join(raw), self.kind), np.cumsum(size) - size
-        n = size[rest]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        out = flat[np.repeat(begin[rest] - ends[:-1], n) + np.arange(ends[-1])]
-        heads = self.firsts([distinct[c] for c in codes[starts[:-1]].tolist()])
-        at = ends[starts - np.arange(len(starts))].tolist()  # of each text, its words but the first
-        result = [head + out[a:b].tobytes() for head, a, b in zip(heads, at, at[1:])]
-        for i in np.flatnonzero(odd).tolist():
-            first, *more = _CUT.split(texts[i].as_py())
-            several = list(dict.fromkeys(more))
-            known = dict(zip(several, self.learn(several)))
-            result[i] = b"".join([*self.raw([first]), *(known[w] for w in more)])
+        odd = np.full(len(texts), not self.cuts)
+        for s in self.special:
+            odd |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        alone = np.flatnonzero(odd).tolist()
+        bounds, data = _bytes_of(pc.if_else(pa.array(odd), "", texts) if alone else texts)
+        result = [b""] * len(texts)
+        if len(data):
+            kinds = _classes(data)
+            pairs = _CUTS[kinds[:-1] << 3 | kinds[1:]]
+            inner = bounds[(bounds > 0) & (bounds < len(data))]
+            pairs[inner - 1] = 0  # two texts
+            cut = np.zeros(len(data), bool)
+            cut[:-1] = pairs >> 1
+            cut[1:] |= (pairs & 1).view(bool)
+            cut[0] = cut[inner] = True
+            starts = np.flatnonzero(cut)
+            words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)).dictionary_encode()
+            raw, codes = self.of(words.dictionary), words.indices.to_numpy()
+            size = np.fromiter(map(len, raw), np.int64, len(raw)) // self.kind.itemsize
+            flat, begin = np.frombuffer(b"".join(raw), self.kind), np.cumsum(size) - size
+            n = size[codes]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            out = flat[np.repeat(begin[codes] - ends[:-1], n) + np.arange(ends[-1])]
+            at = ends[np.searchsorted(starts, bounds)].tolist()
+            result = [out[a:b].tobytes() for a, b in zip(at, at[1:])]
+        for i in alone:
+            result[i] = self.raw([texts[i].as_py()])[0]
         return result
 
 

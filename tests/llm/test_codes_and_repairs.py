@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -88,6 +89,24 @@ def test_a_full_memory_of_words_changes_nothing(monkeypatch):
     assert [np.frombuffer(x, words.kind).tolist() for t in texts for x in words.ids(pa.array([t]))] == whole_ids(texts)
 
 
+def test_a_word_is_tokenised_once_whatever_marks_and_lines_are_around():
+    words = tokens.Words(tokens.tokenizer_path())
+    some = [f"{a}{b}{c}" for a in ("ra", "thé", "Wör") for b in ("ti", "hein", "ço") for c in ("n", "ly", "ñe")]
+    texts = [" ".join(f"{x}{mark} ({x}){mark}\n{y}={i}{mark}\n\n{y}" for i, mark in enumerate((".", ",", "%%%", "?!"))) for x in some for y in some]
+    assert [np.frombuffer(x, words.kind).tolist() for x in words.ids(pa.array(texts))] == whole_ids(texts)
+    assert len(words.known) <= 2 * len(some) + 40  # with and without a space; marks, digits and line feeds
+
+
+def test_cuts_are_where_units_begin_whatever_the_characters():
+    words = tokens.Words(tokens.tokenizer_path())
+    around = [*range(0x80, 0x500), 0x1680, 0x180E, *range(0x2000, 0x2070), 0x3000, 0x3001, 0xFEFF, 0xFFFF, 0x1F600]
+    texts = [f"a{c}b{c} {c}1{c}\n{c}.{c}'s  {c}\t\n{c}{c} x" for c in map(chr, around)] + [f"{c}{d}" for c in map(chr, range(128)) for d in "a1. \n'é你"]
+    texts += ["".join(x) for x in itertools.product(["a", "7", ".", " ", "\n", "'", "s", "é", "你", "×", "\xa0"], repeat=4)]
+    assert [np.frombuffer(x, words.kind).tolist() for x in words.ids(pa.array(texts))] == whole_ids(texts)
+    part = pa.array(["left out", *texts[:50], None, "left out"]).slice(1, 51)
+    assert [np.frombuffer(x, words.kind).tolist() for x in words.ids(part)] == whole_ids([*texts[:50], ""])
+
+
 def test_documents_are_read_back_from_their_blocks(spark, tmp_path):
     long = " ".join(f"w{i}" for i in range(90_000))  # over several blocks
     texts = [*ODD_TEXTS, None, long, "after", "same", "same"]
