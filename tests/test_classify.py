@@ -190,3 +190,33 @@ def test_split_classifies_once(spark):
 
     plan = Q["split_by_status"][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "from_json" not in plan and plan.count("Relation") == 2
+
+
+def test_lists_of_any_length_give_the_same_items(spark):
+    from ledgerloom.functions import rules as R
+
+    items = ['{"sku":"a","name":"x","qty":"٢","unit_price":"1,500 ريال","color":"red"}', '{"sku":"b","qty":1.5,"unit_price":"ألفين"}', '{"qty":"3","unit_price":"7"}', '{"sku":"d","qty":"x","unit_price":"7"}', "null", '{"qty":"-1","unit_price":"7"}', "{}"]
+    texts = [f"[{','.join(items[(i + j) % len(items)] for j in range(n))}]" for n in range(5) for i in range(len(items))]
+    df = spark.createDataFrame([(BASE | {"items_json": t, "currency": money})[f] for f in FIELDS] for t in texts for money in ("YER", "usd"))
+    df = df.toDF(*FIELDS).withColumn("text", F.col("items_json"))
+    found = classify(df, only=("items_json", "error_codes", "corrections", "currency"))
+    parsed = R.parse_items(F.col("text"), F.when(F.col("usd"), 530).otherwise(1).cast(R.MONEY))
+    want = df.withColumn("usd", F.col("currency") == "usd").withColumn("p", parsed).select("text", "usd", "p.items", "p.errors", "p.notes").collect()
+    want = {(r["text"], r["usd"]): (r["items"], r["errors"], r["notes"]) for r in want}
+    rows = found.withColumn("usd", F.exists("corrections", lambda x: x["rule_code"] == "CURRENCY_CONVERSION_TO_YER")).collect()
+    assert len(rows) == 2 * len(texts)
+    codes = {"EMPTY_ITEMS", "CORRUPTED_ITEMS_JSON", "UNKNOWN_PRICE", "AMBIGUOUS_NEGATIVE_VALUE"}
+    for r in rows:
+        listed, errors, notes = want[r["text"], r["usd"]]
+        assert r["items_json"] == listed and [e for e in r["error_codes"] if e in codes] == errors, r
+        assert [tuple(c) for c in r["corrections"] if c["field"].startswith("items[")] == [tuple(n) for n in notes], r
+
+
+def test_steps_pass_on_few_columns(spark, tmp_path):
+    def widths(plan):
+        yield plan.output().size()
+        for i in range(plan.children().size()):
+            yield from widths(plan.children().apply(i))
+
+    spark.createDataFrame([tuple(BASE[f] for f in FIELDS)], list(FIELDS)).write.parquet(str(tmp_path / "rows"))
+    assert max(widths(classify(spark.read.parquet(str(tmp_path / "rows")))._jdf.queryExecution().optimizedPlan())) < 35
