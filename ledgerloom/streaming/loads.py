@@ -97,7 +97,7 @@ class StreamLoad:
 
     def _merged(self, work: str, run: str) -> dict:
         good, _ = split_by_status(self.spark.read.parquet(f"{work}/classified"))
-        return self.w.orders.merge(jobs.business_columns(good), tie_break=("source_row_number",), by=run)
+        return self.w.orders.merge(jobs.business_columns(good), tie_break=("source_row_number",), by=run, stays=True)
 
     def _held(self, work: str, run: str) -> dict:
         _, bad = split_by_status(self.spark.read.parquet(f"{work}/classified"))
