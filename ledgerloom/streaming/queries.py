@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.classify import FIELDS
 from ..operators.keys import latest_per_key
-from ..plans.adapter import mixed_orders, table
+from ..plans.adapter import mixed_rows, table
 from ..plans.queries_mixed import MIXED, MIXED_ERRORS, MIXED_ID
 from ..plans.scratch import scratch
 from ..sources.buckets import BucketTable
@@ -67,7 +67,7 @@ def _stream_load(s, d):
     k = F.col("source_row_number")
     load = StreamLoad(s, f"{at}/w", f"{at}/in")
     for drop in range(3):
-        rows = mixed_orders(s, d).where(k % 3 == drop).repartitionByRange(k).sortWithinPartitions(k).select(*FIELDS)
+        rows = mixed_rows(s, d).where(k % 3 == drop).repartitionByRange(k).sortWithinPartitions(k).select(*FIELDS)
         rows.write.option("header", True).option("escape", '"').csv(f"{at}/in/{drop}")
         for broken in ("_held", "_measured") if drop == 1 else ():
             def fail(*_):

@@ -137,3 +137,40 @@ def test_merges_of_many_rows_make_no_json_of_them(spark, tmp_path, monkeypatch):
     rows = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("a", 2, "z")], "order_id string, version long, v string")
     assert table.merge(rows) == {"inserted": 2} and table.merge(rows) == {"unchanged": 2}
     assert sorted((r.order_id, r.v) for r in table.read().collect()) == [("a", "z"), ("b", "y")]
+
+
+def test_a_merge_of_single_rows_writes_them_once(spark, tmp_path, monkeypatch):
+    from ledgerloom.sources import buckets
+
+    schema = "order_id string, version long, v string"
+    spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], schema).write.parquet(str(tmp_path / "rows"))
+    spark.createDataFrame([("a", 2, "z"), ("a", 3, "w"), ("c", 1, "q")], schema).write.parquet(str(tmp_path / "more"))
+    table, ranked = buckets.BucketTable(spark, str(tmp_path / "t")), []
+    monkeypatch.setattr(buckets, "latest_per_key", lambda *a, real=buckets.latest_per_key: ranked.append(a) or real(*a))
+    assert table.merge(spark.read.parquet(str(tmp_path / "rows")), stays=True) == {"inserted": 2} and not ranked
+    assert table.merge(spark.read.parquet(str(tmp_path / "more")), stays=True) == {"inserted": 1, "updated": 1} and len(ranked) == 1
+    assert sorted((r.order_id, r.v) for r in table.read().collect()) == [("a", "w"), ("b", "y"), ("c", "q")]
+    whole = buckets.BucketTable(spark, str(tmp_path / "whole"))
+    whole.merge(table.read().drop("ingest_seq"))
+    assert whole.commit()["prints"] == table.commit()["prints"]
+
+
+def test_quarantine_compares_no_whole_rows(spark, tmp_path, monkeypatch):
+    from ledgerloom.sources import orders as S
+
+    rows = [("r", "f", i, (str(i // 3),)) for i in range(30)]
+    df = spark.createDataFrame(rows, "run_id string, source_file string, source_row_number long, raw_record struct<order_id:string>")
+    df.where("source_row_number % 3 = 0").write.parquet(str(tmp_path / "single"))
+    df.write.parquet(str(tmp_path / "rows"))
+    single = S.with_ids(spark.read.parquet(str(tmp_path / "single")), "k")
+    assert "Window" not in single._jdf.queryExecution().optimizedPlan().toString()
+    ids = []
+    for most in (S.FEW_ALIKE, 3):
+        monkeypatch.setattr(S, "FEW_ALIKE", most)
+        found = S.with_ids(spark.read.parquet(str(tmp_path / "rows")), "k").collect()
+        ids.append({r.source_row_number: r["_id"] for r in found})
+        assert len(found) == 30 and len(set(ids[-1].values())) == 30
+    assert ids[0] == ids[1] and {r.source_row_number: r["_id"] for r in single.collect()}.items() <= ids[0].items()
+    for _ in range(2):
+        S.append_quarantine(spark, df, str(tmp_path / "q"), "k")
+    assert spark.read.parquet(str(tmp_path / "q")).count() == 30
